@@ -372,6 +372,29 @@ def _describe(rows: DataFrame, rules: dict[str, list[Rule]], entropy_threshold:
         F.when(F.col('category') == 'api_keys', url_directory(F.col('url'))).alias('directory'))
 
 
+def raw_matches(files: DataFrame, families: list[str], profile_rules: dict[str, list[Rule]] | None = None) -> DataFrame:
+    """Every match of every rule, before filters and de-duplication, with its place and groups."""
+    rules = profile_rules or {f: rules_of(f) for f in families}
+    spots = bind(F.col('spots'), SPOT_FIELDS, one=_group(1)) if all(r.groups for rs in rules.values() for r in rs) \
+        else bind(F.col('spots'), SPOT_FIELDS, one=lambda s: F.lit(None).cast('string'))
+    rows = locate(files, rules).select(*FILE_KEYS, 'family', F.size('lines').alias('n_lines'), F.inline(spots))
+    catalog = rule_catalog(files.sparkSession, [r for rs in rules.values() for r in rs])
+    return rows.drop('regex').join(F.broadcast(catalog.select(
+        'family', F.col('ord').alias('rule_ord'), F.col('label').alias('type'), 'checks_fp')), ['family', 'rule_ord'])
+
+
+def context_frame(files: DataFrame, families: list[str], before: int, after: int) -> DataFrame:
+    """Matches with the lines around them."""
+    rules = {f: rules_of(f) for f in families}
+    lines = F.col('lines')
+    spots = bind(F.col('spots'), SPOT_FIELDS,
+                 first=lambda s: context_range(lines, s['line'], F.lit(before), F.lit(after))[0],
+                 end=lambda s: context_range(lines, s['line'], F.lit(before), F.lit(after))[1])
+    spots = bind(spots, ('rule_ord', 'match_ord', 'line', 'first', 'end'),
+                 context=lambda s: context_text(lines, s['first'], s['end']))
+    return locate(files, rules).select(*FILE_KEYS, 'family', F.inline(spots))
+
+
 def scan_all_patterns(files: DataFrame, **options) -> DataFrame:
     return scan_files(files, PATTERN_FAMILIES, **options)
 
