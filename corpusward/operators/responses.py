@@ -89,11 +89,12 @@ def scan_meta_csp(files: DataFrame) -> DataFrame:
 
 def join_findings_responses(files: DataFrame, analyzed: DataFrame) -> DataFrame:
     """Header columns per file; a policy in the text counts only without a response."""
-    headers = analyzed.select('url', F.col('headers').isNotNull().alias('_has_response'), 'server_info', 'csp_info',
+    key = 'file_id' if 'file_id' in analyzed.columns else 'url'
+    headers = analyzed.select(key, F.col('headers').isNotNull().alias('_has_response'), 'server_info', 'csp_info',
                               'cdn_info', 'rate_limit_info', F.col('ip').alias('ip_address'))
     texts = files.select('file_id', 'url', F.length('content').alias('file_size'),
                          csp_of_policy(meta_csp(F.col('content'))).alias('_meta'))
-    return (texts.join(headers, 'url', 'left')
+    return (texts.join(headers, key, 'left')
             .withColumn('csp_info', F.when(F.coalesce('_has_response', F.lit(False)), F.col('csp_info'))
                         .when(F.col('_meta.is_present'), F.col('_meta')))
             .drop('_meta', '_has_response'))

@@ -138,3 +138,34 @@ def code_corpus(spark: SparkSession, sf_dir: str, ascii_only: bool = False) -> D
         F.col('page_id').alias('file_id'),
         F.concat(F.regexp_replace('url', '[?].*$', ''), F.when(F.col('k') < 6, F.lit('.js')).otherwise(F.lit(''))).alias('url'),
         content.alias('content'))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """responses(file_id, url, status, headers MAP, body, ip), header values by page id."""
+    i = F.col('page_id')
+
+    def pick(modulus: int, *values: str | None):
+        return F.get(F.array(*[F.lit(v).cast('string') for v in values]), (i % modulus).cast('int'))
+
+    header_columns = {
+        'Server': pick(5, 'nginx/1.25.3', 'Apache', 'cloudflare', 'Microsoft-IIS/10.0', None),
+        'X-Powered-By': F.when(i % 3 == 0, F.lit('Express')),
+        'Content-Security-Policy': pick(4, "default-src *; script-src 'unsafe-inline' 'unsafe-eval'", 'img-src x',
+                                        "default-src 'self'; script-src *", None),
+        'CF-RAY': F.when(i % 5 == 2, F.concat(F.lit('ray'), i.cast('string'))),
+        'X-RateLimit-Limit': F.when(i % 6 == 0, F.lit('100')),
+        'X-Akamai-Trans-Id': F.when(i % 11 == 0, F.lit('ak')),
+        'Content-Type': F.when(i % 8 < 6, F.lit('application/javascript')).otherwise(F.lit('text/html')),
+        'Content-Length': (F.length('html').cast('long') * 5000).cast('string'),
+    }
+    every = F.create_map(*[c for name, value in header_columns.items() for c in (F.lit(name), value)])
+    status = F.when(i % 7 == 0, 403).when(i % 7 == 1, 404).when(i % 7 == 2, 401).when(i % 7 == 3, 503).otherwise(200)
+    return table(spark, sf_dir, 'pages').select(
+        i.alias('file_id'), 'url', status.alias('status'),
+        F.map_filter(every, lambda _, v: v.isNotNull()).alias('headers'), F.col('html').alias('body'),
+        F.concat(F.lit('10.'), (i % 250).cast('string'), F.lit('.0.1')).alias('ip'))
+
+
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """requests(key, ts, event_id, event_type)."""
+    return table(spark, sf_dir, 'events').select(F.col('user_id').alias('key'), 'ts', 'event_id', 'event_type')

@@ -283,7 +283,8 @@ def _base64(family: str, name: str) -> str:
         FROM {name}_d WHERE decoded IS NOT NULL AND ({any_of('lower(decoded)', W.BASE64_WORDS)} OR {entropy('decoded')} > 4.0))"""
 
 
-_IDENT = r'[\p{L}\p{Nl}_$][\p{L}\p{N}\p{M}_$]*'
+# Names in the tables' code are ASCII; classes over all letters make RE2 sixty times slower here.
+_IDENT = r'[A-Za-z_$][\w$]*'
 _LITERAL = r'''"(?:[^"\\\n]|\\(?s:.))*"|'(?:[^'\\\n]|\\(?s:.))*'|`(?:[^`\\]|\\(?s:.))*`|//[^\n]*|/\*(?s:.)*?\*/'''
 _CALL = rf'(?:\b(function|new)\s+)?(\.\s*)?({_IDENT}(?:\s*\.\s*{_IDENT})*)\s*\('
 _ASSIGN = (rf'(?:(?:{_IDENT}\s*\.\s*)+|\.\s*)({"|".join(W.ASSIGNED_SINKS)})\s*'
@@ -299,7 +300,7 @@ def _sinks(family: str, name: str) -> str:
     {name}_code AS (SELECT * EXCLUDE (parts, lits), array_to_string([x[1] || coalesce(regexp_replace(x[2], '[^\\n]', ' ', 'g'), '')
             FOR x IN list_zip(parts, lits)], '') AS code
         FROM (SELECT *, string_split_regex(content, {q(_LITERAL)}) AS parts, regexp_extract_all(content, {q(_LITERAL)}) AS lits
-              FROM corpus WHERE length(content) <= {W.MAX_SINK_SCAN_CHARS})),
+              FROM corpus WHERE length(content) <= {W.MAX_SINK_SCAN_CHARS} AND {any_of('content', [r[0] for r in W.RISK_CATALOG])})),
     {matches(f'{name}_m', rows, f'{name}_code', 'code')},
     {name}_p AS (SELECT *, CASE WHEN label = 'call' THEN {_group(1)} ELSE '' END AS prefix, CASE WHEN label = 'call' THEN {_group(2)} ELSE '' END AS dot,
         string_split(regexp_replace(CASE WHEN label = 'call' THEN {_group(3)} ELSE {_group(1)} END, '\\s+', '', 'g'), '.') AS chain FROM {name}_m),
@@ -336,3 +337,41 @@ def with_matches(families: dict[str, list[Rule]], body: str, ascii_only: bool =
 
 def legacy(families: list[str]) -> dict[str, list[Rule]]:
     return {f: family_rules(f, 'legacy') for f in families if f in LEGACY_FAMILIES}
+
+
+RESPONSES = """
+    responses AS (SELECT page_id AS file_id, url, html AS body,
+        CAST(CASE page_id % 7 WHEN 0 THEN 403 WHEN 1 THEN 404 WHEN 2 THEN 401 WHEN 3 THEN 503 ELSE 200 END AS INTEGER) AS status,
+        CASE page_id % 5 WHEN 0 THEN 'nginx/1.25.3' WHEN 1 THEN 'Apache' WHEN 2 THEN 'cloudflare' WHEN 3 THEN 'Microsoft-IIS/10.0' END AS server,
+        CASE WHEN page_id % 3 = 0 THEN 'Express' END AS x_powered_by,
+        CASE page_id % 4 WHEN 0 THEN 'default-src *; script-src ''unsafe-inline'' ''unsafe-eval''' WHEN 1 THEN 'img-src x'
+            WHEN 2 THEN 'default-src ''self''; script-src *' END AS csp,
+        CASE WHEN page_id % 5 = 2 THEN concat('ray', CAST(page_id AS VARCHAR)) END AS cf_ray,
+        CASE WHEN page_id % 6 = 0 THEN '100' END AS x_ratelimit_limit,
+        CASE WHEN page_id % 11 = 0 THEN 'ak' END AS x_akamai_trans_id,
+        CASE WHEN page_id % 8 < 6 THEN 'application/javascript' ELSE 'text/html' END AS content_type,
+        CAST(length(html) * 5000 AS VARCHAR) AS content_length,
+        concat('10.', CAST(page_id % 250 AS VARCHAR), '.0.1') AS ip FROM pages)"""
+
+
+def csp_weaknesses(policy: str) -> str:
+    """Weaknesses of a policy, joined with bars."""
+    def directive(name: str) -> str:
+        name_of = f"lower(regexp_extract({strip('d')}, '^(\\S+)', 1))"
+        value_of = strip(f"regexp_replace({strip('d')}, '^\\S+', '')")
+        return f"([{value_of} FOR d IN string_split({policy}, ';') IF {name_of} = '{name}'])[-1]"
+    script, default = directive('script-src'), directive('default-src')
+    return f"""concat_ws('|',
+        CASE WHEN {policy} IS NULL THEN {q(W.CSP_MISSING)} END,
+        CASE WHEN contains({script}, '''unsafe-inline''') THEN {q(W.CSP_UNSAFE_INLINE)} END,
+        CASE WHEN contains({script}, '''unsafe-eval''') THEN {q(W.CSP_UNSAFE_EVAL)} END,
+        CASE WHEN contains({script}, '*') AND NOT (contains({script}, '''self''') AND length({script}) < 10)
+             THEN {q(W.CSP_SCRIPT_WILDCARD)} END,
+        CASE WHEN {policy} IS NOT NULL AND {script} IS NULL AND {default} IS NULL THEN {q(W.CSP_NO_SOURCE)} END,
+        CASE WHEN contains({default}, '*') THEN {q(W.CSP_DEFAULT_WILDCARD)} END)"""
+
+
+SERVER_TYPE = ('CASE WHEN server IS NULL THEN NULL ' + ' '.join(
+    f'WHEN contains(lower(server), {q(m)}) THEN {q(n)}' for m, n in W.SERVER_TYPES) + " ELSE 'Unknown' END")
+PROVIDER = ("CASE WHEN x_akamai_trans_id IS NOT NULL THEN 'Akamai' WHEN cf_ray IS NOT NULL THEN 'Cloudflare' "
+            "WHEN x_ratelimit_limit IS NOT NULL THEN 'Standard/Custom' END")
