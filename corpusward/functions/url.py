@@ -86,7 +86,7 @@ def _without_dots(path: Column) -> Column:
     tail = F.element_at(segments, -1)
     closed = F.when(tail.isin('.', '..'), F.concat(kept, F.array(F.lit('')))).otherwise(kept)
     joined = F.array_join(closed, '/')
-    return F.when(joined == '', F.lit('/')).otherwise(joined)
+    return F.when(F.startswith(joined, F.lit('/')), joined).otherwise(F.concat(F.lit('/'), joined))
 
 
 def resolve_url(base: Column, ref: Column) -> Column:

@@ -9,6 +9,8 @@ the scan, so later stages move findings and not files.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..catalog import (FAMILIES, PATTERN_FAMILIES, Rule, family_rules, risk_catalog,
@@ -276,7 +278,7 @@ def scan_files(files: DataFrame, families: list[str] = ALL_FAMILIES, *, rules: d
     turns the endpoint filters off.  ``with_text=False`` leaves out line text and
     context, for roll-ups that only count or link findings.
     """
-    rules = rules or {f: rules_of(f) for f in families}
+    rules = {f: [replace(r, family=f) for r in own] for f, own in rules.items()} if rules else {f: rules_of(f) for f in families}
     located = locate(files, rules)
     said = F
     for family, own in rules.items():

@@ -120,7 +120,6 @@ def scan_documents(spark, d):
 
 def _documents_sql():
     families = ['api_keys', 'credentials', 'emails', 'ip_addresses']
-    # the rules' word edges are ASCII in RE2, so only matches with ASCII surroundings are comparable: see README
     source = "corpus AS (SELECT doc_id AS file_id, 'local' AS url, text AS content FROM documents)"
     ctes = [source] + [O.family_cte(f) for f in families]
     union = ' UNION ALL '.join(f'SELECT * FROM f_{f}' for f in families)
@@ -314,23 +313,33 @@ def _gate(spark, d):
 
 
 CHECKED = ['api_keys', 'credentials', 'comments', 'libraries', 'obfuscation']
-_RAW_KEY = 'family, file_id, CAST(ord AS INTEGER) AS rule_ord, match_ord, label AS type, match'
 
 
-def _fp_query(name: str, families: list[str], flag, condition: Callable[[], str]) -> None:
-    """Matches a filter drops, out of all matches before filters."""
-    QUERIES[name] = lambda spark, d: raw_matches(corpus(spark, d), families).where(flag(F.col('match'), F.col('type'))).select(
-        'family', 'file_id', 'rule_ord', 'match_ord', 'type', 'match')
-    ORACLE[name] = lambda: raw_sql(families, f'SELECT {_RAW_KEY} FROM raw WHERE {condition()}')
+# Matches with an ending by file, so that every filter has something to drop.
+_ENDING = """CASE CAST(file_id % 6 AS INT) WHEN 0 THEN concat(match, ' Your_API_Key') WHEN 1 THEN concat(match, 'x123456789')
+    WHEN 2 THEN concat(match, '@LocalHost') WHEN 3 THEN concat(match, 'Undefined') WHEN 4 THEN concat(match, '.PlaceHolder') ELSE match END"""
 
 
-_LOW = 'lower(match)'
-_fp_query('filter_fp_general', EVERY[:13], lambda m, t: P.fp_general(m), lambda: O.any_of(_LOW, W.FP_GENERAL))
-_fp_query('filter_fp_placeholder', EVERY[:13], lambda m, t: P.fp_placeholder(m), lambda: O.any_of(_LOW, W.FP_PLACEHOLDERS))
+def _fp_query(name: str, families: list[str], flag, condition: Callable[[], str], variant: str = _ENDING) -> None:
+    """Matches and whether a filter drops them, out of all matches before filters."""
+    def build(spark, d):
+        rows = raw_matches(corpus(spark, d), families).withColumn('text', F.expr(variant))
+        return rows.select('family', 'file_id', 'rule_ord', 'match_ord', 'type', 'text', flag(F.col('text'), F.col('type')).alias('dropped'))
+    QUERIES[name] = build
+    ORACLE[name] = lambda: raw_sql(families, f"""SELECT family, file_id, CAST(ord AS INTEGER) AS rule_ord, match_ord, label AS type, text,
+        {condition()} AS dropped FROM (SELECT *, {variant} AS text FROM raw)""")
+
+
+_LOW = 'lower(text)'
+_fp_query('filter_fp_general', CHECKED, lambda m, t: P.fp_general(m), lambda: O.any_of(_LOW, W.FP_GENERAL))
+_fp_query('filter_fp_placeholder', CHECKED, lambda m, t: P.fp_placeholder(m), lambda: O.any_of(_LOW, W.FP_PLACEHOLDERS))
+_fp_query('filter_endpoint_fp', ['endpoints'], lambda m, t: P.fp_endpoint(m), lambda: O.any_of(_LOW, W.FP_ENDPOINT_WORDS))
+_fp_query('filter_path_fp', ['paths'], lambda m, t: P.fp_path(m), lambda: O.any_of(_LOW, W.FP_PATH_WORDS))
 _fp_query('filter_fp_css_object', ['parameters'], lambda m, t: P.fp_css_object(m, t),
-          lambda: f"label = 'Object Parameters' AND {O.any_of(_LOW, [p + ':' for p in W.CSS_PROPERTIES])}")
+          lambda: f"(label = 'Object Parameters' AND {O.any_of(_LOW, [p + ':' for p in W.CSS_PROPERTIES])})")
 _fp_query('filter_fp_jwt', CHECKED, lambda m, t: P.fp_jwt(m, t),
-          lambda: "label = 'JWT Token' AND (len(string_split(match, '.')) < 3 OR length(match) < 50)")
+          lambda: "(label = 'JWT Token' AND (len(string_split(text, '.')) < 3 OR length(text) < 50))",
+          'substr(match, 1, CAST(20 + file_id % 90 AS INT))')
 
 
 @query('filter_fp_credential', lambda: _credential_sql())
@@ -361,18 +370,6 @@ def _grouped(spark, d, families):
     return raw_matches(corpus(spark, d), families)
 
 
-@query('filter_endpoint_fp', lambda: f"""WITH {O.corpus(False)}, {O.matches('m', O._rule_values(family_rules('endpoints')))}
-    SELECT file_id, CAST(ord AS INTEGER) AS rule_ord, match_ord, {O._group(1)} AS one FROM m WHERE {O.any_of(f'lower({O._group(1)})', W.FP_ENDPOINT_WORDS)}""")
-def _endpoint_fp(spark, d):
-    return _grouped(spark, d, ['endpoints']).where(P.fp_endpoint(F.col('one'))).select('file_id', 'rule_ord', 'match_ord', 'one')
-
-
-@query('filter_path_fp', lambda: f"""WITH {O.corpus(False)}, {O.matches('m', O._rule_values(family_rules('paths')))}
-    SELECT file_id, CAST(ord AS INTEGER) AS rule_ord, match_ord, {O._group(1)} AS one FROM m WHERE {O.any_of(f'lower({O._group(1)})', W.FP_PATH_WORDS)}""")
-def _path_fp(spark, d):
-    return _grouped(spark, d, ['paths']).where(P.fp_path(F.col('one'))).select('file_id', 'rule_ord', 'match_ord', 'one')
-
-
 _WORDS = r"""w AS (SELECT doc_id, CAST(i AS INTEGER) AS pos, words[i + 1] AS word FROM (SELECT doc_id, words, unnest(range(len(words))) AS i
     FROM (SELECT doc_id, string_split_regex(text, '[ \n]') AS words FROM documents)))"""
 
@@ -405,9 +402,14 @@ def _css_join(spark, d):
     return join_css_props(_words(spark, d).withColumnRenamed('word', 'name'))
 
 
-@query('filter_css_values', lambda: f"WITH {_WORDS} SELECT doc_id, pos, word FROM w WHERE {O.css_value('word')}")
+_CSS_WORD = """CASE CAST(pos % 50 AS INT) WHEN 0 THEN '"1.5EM"' WHEN 1 THEN '-12px' WHEN 2 THEN 'Hidden' WHEN 3 THEN '12pxx' WHEN 4 THEN '50%'
+    ELSE word END"""
+
+
+@query('filter_css_values', lambda: f"WITH {_WORDS} SELECT doc_id, pos, value FROM (SELECT *, {_CSS_WORD} AS value FROM w) WHERE {O.css_value('value')}")
 def _css_values(spark, d):
-    return _words(spark, d).where(P.is_css_value(F.col('word')))
+    """Words of the documents, some of them turned into style values by their place."""
+    return _words(spark, d).select('doc_id', 'pos', F.expr(_CSS_WORD).alias('value')).where(P.is_css_value(F.col('value')))
 
 
 _SUB = """CASE page_id % 6 WHEN 0 THEN concat('https://api.', regexp_extract(url, '//([^/?#]*)', 1), '/v1') WHEN 1 THEN url
@@ -455,7 +457,7 @@ def _base64_candidates(spark, d):
 def _base64_text(spark, d):
     """Round trip of the documents' first characters that are printable ASCII."""
     start = documents(spark, d).select('doc_id', head(F.col('text'), 60).alias('start'))
-    plain = start.where(F.rlike('start', F.lit('^[ -~]+$')))
+    plain = start.where(F.rlike('start', F.lit(r'^[ -~]+\z')))
     return plain.select('doc_id', base64_text(F.base64(F.col('start').cast('binary'))).alias('decoded'))
 
 
@@ -507,8 +509,9 @@ _NEAR = """, keys AS (SELECT * FROM findings WHERE category = 'api_keys'), eps A
 
 
 @query('join_keys_endpoints', lambda: findings_sql(LINKED, """SELECT k.file_id, k.part, k.rule_ord, k.match_ord,
-    CASE WHEN k.file_id IN (SELECT file_id FROM eps) THEN coalesce(string_agg(n.method || ' ' || n.path || ' ' || CAST(n.e_line AS VARCHAR), '|'
-    ORDER BY rk), '') END AS related FROM keys k LEFT JOIN near n USING (file_id, part, rule_ord, match_ord) GROUP BY ALL""", _NEAR))
+    CASE WHEN k.file_id IN (SELECT file_id FROM eps) THEN coalesce(related, '') END AS related FROM keys k LEFT JOIN
+    (SELECT file_id, part, rule_ord, match_ord, string_agg(method || ' ' || path || ' ' || CAST(e_line AS VARCHAR), '|' ORDER BY rk) AS related
+     FROM near GROUP BY ALL) n USING (file_id, part, rule_ord, match_ord)""", _NEAR))
 def _link(spark, d):
     found = materialize(scan_files(corpus(spark, d), LINKED, with_text=False), 'file_id')
     related = F.array_join(F.transform('related_endpoints', lambda e: F.concat_ws(' ', e['method'], e['path'], e['line'].cast('string'))), '|')

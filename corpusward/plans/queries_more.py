@@ -79,7 +79,7 @@ def _status(spark, d):
     CASE status WHEN 403 THEN 'Access Denied (403 Forbidden). Analyzing returned content.' WHEN 404 THEN 'File not found (404). Analyzing returned content.'
     WHEN 401 THEN 'Unauthorized (401). Analyzing returned content.' WHEN 503 THEN 'Server returned status 503. Analyzing returned content.' END AS a,
     CASE WHEN CAST(content_length AS BIGINT) > 10485760 THEN format('File too large ({{:.1f}}MB). Max limit is 10MB.', CAST(content_length AS DOUBLE) / 1048576) END AS b
-    FROM responses) SELECT file_id, concat_ws('|', a, b) AS errors FROM e WHERE a IS NOT NULL OR b IS NOT NULL""")
+    FROM responses) SELECT file_id, array_to_string(list_sort([x FOR x IN [a, b] IF x IS NOT NULL]), '|') AS errors FROM e WHERE a IS NOT NULL OR b IS NOT NULL""")
 def _errors(spark, d):
     crawl = S.with_status_errors(S.cap_body_size(responses(spark, d)))
     rows = V.union_errors(crawl.select('file_id', F.col('status_error').alias('error')), crawl.select('file_id', F.col('fetch_error').alias('error')))
@@ -253,8 +253,8 @@ def _legacy_ctes() -> str:
 
 
 @query('topk_report_items', lambda: _legacy_ctes() + """ SELECT file_id, category, CAST(row_number() OVER w AS INTEGER) AS rank, rule_ord, match_ord FROM findings
-    QUALIFY category = 'xss_vulnerabilities' OR row_number() OVER w <= CASE category WHEN 'api_endpoints' THEN 20 ELSE 10 END
-    WINDOW w AS (PARTITION BY file_id, category ORDER BY rule_ord, match_ord)""")
+    WINDOW w AS (PARTITION BY file_id, category ORDER BY rule_ord, match_ord)
+    QUALIFY category = 'xss_vulnerabilities' OR row_number() OVER w <= CASE category WHEN 'api_endpoints' THEN 20 ELSE 10 END""")
 def _report_items(spark, d):
     return T.topk_report_items(_legacy_findings(spark, d)).select('file_id', 'category', 'rank', 'rule_ord', 'match_ord')
 
