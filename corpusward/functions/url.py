@@ -70,15 +70,15 @@ def is_subdomain(url: Column, base: Column) -> Column:
     return F.coalesce(absolute & named & (_bare_host(url) != _bare_host(base)) & below, F.lit(False))
 
 
-def _without_dots(path: Column) -> Column:
+def _without_dots(path: Column, merged: Column) -> Column:
     """Path with '.' and '..' segments resolved.
 
-    Inner empty segments of the merged path are dropped, as URL joining does;
-    a trailing dot segment leaves a trailing slash.
+    Inner empty segments are dropped where the path was merged with the base's,
+    as URL joining does; a trailing dot segment leaves a trailing slash.
     """
     segments = F.split(path, '/')
     last = F.size(segments) - 1
-    inner = F.filter(segments, lambda s, i: (i == 0) | (i == last) | (s != ''))
+    inner = F.filter(segments, lambda s, i: (i == 0) | (i == last) | (s != '') | ~merged)
     kept = F.aggregate(
         inner, F.array().cast('array<string>'),
         lambda acc, s: F.when(s == '..', F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
@@ -111,7 +111,7 @@ def resolve_url(base: Column, ref: Column) -> Column:
     merged = F.when(F.startswith(path, F.lit('/')), path).otherwise(
         F.concat(F.when(directory == '', F.lit('/')).otherwise(directory), path))
     relative = F.when(path == '', F.concat(origin, base_path, F.when(query != '', query).otherwise(base_query), fragment)) \
-        .otherwise(F.concat(origin, _without_dots(merged), query, fragment))
+        .otherwise(F.concat(origin, _without_dots(merged, ~F.startswith(path, F.lit('/'))), query, fragment))
     authority = F.concat(F.when(base_scheme != '', F.concat(base_scheme, F.lit(':'))).otherwise(F.lit('')), ref_rest)
     return (F.when((base == '') | base.isNull(), ref)
             .when(ref == '', base)
