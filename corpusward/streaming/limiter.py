@@ -94,13 +94,17 @@ def limit_requests(requests: DataFrame, limit: int = 100, window_seconds: float
                 admitted.append(passed)
                 remaining.append(left)
             out = batch.assign(admitted=admitted, remaining=remaining)
-            yield out.loc[~(out['_seed'] | out['reset']), [*columns, 'admitted', 'remaining']]
+            yield out.loc[~(out['_seed'].astype(bool) | out['reset'].astype(bool)), [*columns, 'admitted', 'remaining']]
 
     return ordered.mapInPandas(fold, f'{schema}, {DECISION}')
 
 
 class SlidingLog(StatefulProcessor):
-    """The same decision on a stream; the log is the key's state and expires with the window."""
+    """The same decision on a stream; a key's state is its log, at most ``limit`` times long.
+
+    The rows of a key in one micro-batch are put in order first; the trigger's
+    input limit bounds them.
+    """
 
     def __init__(self, limit: int, window_us: int):
         self.limit, self.window_us = limit, window_us
@@ -110,9 +114,9 @@ class SlidingLog(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         log = deque(at for (at,) in self.log.get())
-        batch = pd.concat(list(rows)).sort_values(['_us', 'event_id'])
+        batch = pd.concat(list(rows)).sort_values(['at_us', 'event_id'])
         admitted, remaining = [], []
-        for now, reset in zip(batch['_us'], batch['reset']):
+        for now, reset in zip(batch['at_us'], batch['reset']):
             if reset:
                 log.clear()
                 passed, left = False, self.limit
@@ -124,8 +128,8 @@ class SlidingLog(StatefulProcessor):
             self.log.put([(at,) for at in log])
         else:
             self.log.clear()
-        out = batch.assign(admitted=admitted, remaining=remaining)
-        yield out.loc[~out['reset'], ['key', 'ts', 'event_id', 'admitted', 'remaining']]
+        out = batch.assign(key=key[0], admitted=admitted, remaining=remaining)
+        yield out.loc[~out['reset'].astype(bool), ['key', 'ts', 'event_id', 'admitted', 'remaining']]
 
     def close(self) -> None:
         pass
@@ -137,7 +141,7 @@ def limit_request_stream(requests: DataFrame, limit: int = 100, window_seconds:
     if 'reset' not in requests.columns:
         requests = requests.withColumn('reset', F.lit(False))
     key_type = requests.schema['key'].dataType.simpleString()
-    return (requests.select('key', 'ts', 'event_id', 'reset', F.unix_micros(F.col('ts').cast('timestamp')).alias('_us')).groupBy('key')
+    return (requests.select('key', 'ts', 'event_id', 'reset', F.unix_micros(F.col('ts').cast('timestamp')).alias('at_us')).groupBy('key')
             .transformWithStateInPandas(
                 SlidingLog(limit, window_us), outputMode='append', timeMode='None',
                 outputStructType=f'key {key_type}, ts timestamp, event_id long, {DECISION}'))
