@@ -12,7 +12,7 @@ from ..functions.labels import confidence_of, technique_of
 from ..functions.regex import java_regex
 from . import rules as R
 from . import words as W
-from .prefilter import NEEDS
+from .prefilter import NEEDS, SHAPES
 
 # Category of the findings table each rule family feeds.
 FAMILIES = {
@@ -30,6 +30,7 @@ FAMILIES = {
     'libraries': ('libraries', R.LIBRARIES),
     'obfuscation': ('obfuscation_findings', R.OBFUSCATION),
 }
+CURRENT_ROWS = {row for _, rows in FAMILIES.values() for row in rows}
 SCRIPT_FAMILY = {'script_refs': ('paths_directories', R.SCRIPT_REFS)}
 LEGACY_FAMILIES = {
     'api_keys': ('api_keys', R.LEGACY_API_KEYS),
@@ -46,12 +47,27 @@ PATTERN_FAMILIES = [f for f in FAMILIES if f not in ('endpoints', 'parameters',
 #    tries every way to cut the text into pairs: exponential on long bodies.
 #  * A name can only start where the last match ended or after a non-name
 #    character; without saying so, every character of a long blob is tried.
+#  * Word edges next to a known kind of character need one look instead of two,
+#    and the cheap test of the next character goes first.
+#  * A quoted text without a query mark is left at once instead of being walked
+#    back character by character.
 _SAME_MATCHES = {
     'Object Parameters': r'\{([^};]+:[^,};]+)\}',
     'Arrow function with DOM manipulation':
         r'(?:\G|(?<!\w))(\w++)\s*[:=]\s*function\s*\([^)]*\)\s*\{[^}]*\.(innerHTML|outerHTML|write)',
+    'IPv4 Address':
+        r'(?=[0-9])(?<!\w)(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)(?!\w)',
+    'IPv6 Address': r'(?=[0-9a-f]{1,4}:)(?<!\w)([0-9a-f]{1,4}:){7,7}[0-9a-f]{1,4}(?!\w)',
+    'Email Address':
+        r'(?:(?=[.%+-])(?<=\w)|(?=\w)(?<!\w))[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}(?!\w)',
+    'URL Query Parameter': r'["\'](?=[^"\'?&]*+[?&])([^"\']*[?&](\w+)\s*=\s*[^"\'&\s]+)["\']',
+    'URL with Multiple Parameters':
+        r'["\'](?=[^"\'&]*+&)([^"\']*[?&][\w\-]+\s*=\s*[^"\'&\s]+(?:\s*&\s*[\w\-]+\s*=\s*[^"\'&\s]+)+)["\']',
+    'URL with Query Parameters': r'["\']([^"\'][^"\'?&]*+[?&][^"\']++)["\']',
+    'JWT Token': r'(?=eyJ)(?<!\w)eyJ[A-Za-z0-9-_=]+\.eyJ[A-Za-z0-9-_=]+\.?[A-Za-z0-9-_.+/=]{10,}\b',
 }
 
+
 @dataclass(frozen=True)
 class Rule:
     family: str
@@ -62,7 +78,8 @@ class Rule:
     java: str
     strict: bool | None
     severity: str | None
-    needs: tuple
+    needs: tuple = ()
+    shape: str | None = None
 
     @property
     def groups(self) -> int:
@@ -88,10 +105,10 @@ def make_rule(family: str, category: str, ord: int, row: tuple) -> Rule:
     flag = flag[0] if flag else False
     return Rule(
         family=family, category=category, ord=ord, label=label, regex=regex,
-        java=java_regex(_SAME_MATCHES.get(label, regex)),
+        java=java_regex(_SAME_MATCHES[label] if label in _SAME_MATCHES and row in CURRENT_ROWS else regex),
         strict=flag if isinstance(flag, bool) else None,
         severity=flag if isinstance(flag, str) else None,
-        needs=tuple(tuple(g) for g in NEEDS.get(label, ())),
+        needs=tuple(tuple(g) for g in NEEDS.get(label, ())), shape=SHAPES.get(label),
     )
 
 

@@ -27,8 +27,6 @@ NEEDS = {
     'PayPal Access Token': [['access_token$production$']],
     'Slack Token': [['xox']],
     'Firebase Cloud Messaging Token': [['aaaa'], [':']],
-    'Twilio Account SID': [['ac']],
-    'Twilio API Key': [['sk']],
     'SendGrid API Key': [['sg.']],
     'Mailgun API Key': [['key-']],
     'DigitalOcean Personal Access Token': [['dop_v1_']],
@@ -43,7 +41,6 @@ NEEDS = {
     'Database Password': [['password'], ['db', 'database']],
     'Username': [['username', 'user_name', 'user-name', 'login']],
     'Email Address': [['@']],
-    'IPv6 Address': [[':']],
     # comments
     'Interesting Comment': [['//'], _TODO + ['temp']],
     'Interesting Comment (Multi-line)': [['/*'], ['*/'], _TODO],
@@ -165,3 +162,13 @@ NEEDS = {
     'Obfuscated Variable (_0x...)': [['_0x']],
     'Hex Encoded Strings': [['\\x']],
 }
+
+# Necessary parts of rules without a telling word, as expressions on the folded
+# text that start with a plain character (and so are found fast).
+SHAPES = {
+    'Twilio Account SID': r'ac[a-z0-9]{32}',
+    'Twilio API Key': r'sk[a-z0-9]{32}',
+    'Heroku API Key': r'-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-',
+    'IPv4 Address': r'\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]',
+    'IPv6 Address': r':[0-9a-f]{1,4}:[0-9a-f]{1,4}:',
+}

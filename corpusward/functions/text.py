@@ -24,7 +24,8 @@ def fold_case(text: Column) -> Column:
 
     Three letters fold to ASCII only by way of upper case, so they are mapped first.
     """
-    return F.lower(F.translate(text, 'İıſ', 'iis'))
+    rare = F.contains(text, F.lit('İ')) | F.contains(text, F.lit('ı')) | F.contains(text, F.lit('ſ'))
+    return F.lower(F.when(rare, F.translate(text, 'İıſ', 'iis')).otherwise(text))
 
 
 def count_newlines(text: Column) -> Column:

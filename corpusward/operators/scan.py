@@ -53,6 +53,8 @@ def rules_of(family: str) -> list[Rule]:
 def needed_words(rule: Rule, folded: str = 'folded') -> str:
     """Cheap necessary condition of a rule on the folded text, as SQL."""
     groups = [' or '.join(f'contains({folded}, {sql_text(w)})' for w in group) for group in rule.needs]
+    if rule.shape:
+        groups.append(f'rlike({folded}, {sql_text(rule.shape)})')
     return ' and '.join(f'({g})' for g in groups) or 'true'
 
 
@@ -78,7 +80,7 @@ def locate(files: DataFrame, families: dict[str, list[Rule]], keep: list[str] =
     base = files.where(F.length('content') > 0).select(
         *keep, 'content', F.split('content', '\n').alias('lines'), fold_case(F.col('content')).alias('folded'))
     if with_code:
-        base = base.withColumn('code', code_of(F.col('content'), F.col('folded')))
+        base = base.withColumn('code', code_of(F.col('content')))
     text_of = {name: 'code' if name == 'sink_calls' else 'content' for name in families}
     families_with_hits = F.array(*[
         F.struct(F.lit(name).alias('family'), F.expr(_rule_matches(rules, text_of[name])).alias('hits'))

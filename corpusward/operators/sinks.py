@@ -13,13 +13,15 @@ from pyspark.sql import Column, functions as F
 from ..catalog import Rule, words as W
 from ..functions.labels import has_any
 
-_IDENT = r'[\p{L}\p{Nl}_$][\p{L}\p{N}\p{M}_$]*+'
+# A name, tried only where one starts (else every tail of every word would be tried).
+_IDENT = r'[a-zA-Z_$\p{L}\p{Nl}][a-zA-Z0-9_$\p{L}\p{N}\p{M}]*+'
+_START = r'(?<![a-zA-Z0-9_$\p{L}\p{N}\p{M}])'
 _LITERAL = (r'"[^"\\\n]*+(?:\\(?s:.)[^"\\\n]*+)*+"'
             r"|'[^'\\\n]*+(?:\\(?s:.)[^'\\\n]*+)*+'"
             r'|`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`'
             r'|//[^\n]*+|/\*(?s:.)*?\*/')
-CALL = rf'(?:\b(function|new)\s++)?(\.\s*+)?({_IDENT}(?:\s*+\.\s*+{_IDENT})*+)\s*+\('
-ASSIGNMENT = (rf'(?:(?:{_IDENT}\s*+\.\s*+)++|\.\s*+)({"|".join(W.ASSIGNED_SINKS)})'
+CALL = rf'(?:\b(function|new)\s++)?(\.\s*+)?{_START}({_IDENT}(?:\s*+\.\s*+{_IDENT})*+)\s*+\('
+ASSIGNMENT = (rf'(?:{_START}(?:{_IDENT}\s*+\.\s*+)++|\.\s*+)({"|".join(W.ASSIGNED_SINKS)})'
               r'\s*+(?:[-+*/%&|^]|\*\*|<<|>>>?|&&|\|\||\?\?)?=(?![=>])')
 
 _TRIGGERS = [row[0] for row in W.RISK_CATALOG]
@@ -36,16 +38,23 @@ def blank_literals(content: Column) -> Column:
     return F.array_join(F.zip_with(parts, blanked, lambda a, b: F.concat(a, F.coalesce(b, F.lit('')))), '')
 
 
-def code_of(content: Column, folded: Column) -> Column:
-    """Blanked code of files that are small enough and name a risky interface at all."""
-    wanted = (F.length(content) <= W.MAX_SINK_SCAN_CHARS) & has_any(folded, [t.lower() for t in _TRIGGERS])
-    return F.when(wanted, blank_literals(content)).otherwise(F.lit(''))
+def code_of(content: Column) -> Column:
+    """Blanked code of files that are small enough and name a risky interface at all.
+
+    The two-letter modules are common in other words, so these must be used as one
+    (a blank or a comment may stand in between).
+    """
+    long_names = [t for t in _TRIGGERS if len(t) > 2]
+    wanted = F.rlike(content, F.lit(r'(?:fs|vm)\s*+[.(/]'))
+    for name in long_names:
+        wanted = F.contains(content, F.lit(name.split('.')[0])) | wanted
+    return F.when((F.length(content) <= W.MAX_SINK_SCAN_CHARS) & wanted, blank_literals(content)).otherwise(F.lit(''))
 
 
 def sink_rules() -> list[Rule]:
-    shapes = [('call', CALL), ('assignment', ASSIGNMENT)]
-    return [Rule('sink_calls', 'xss_vulnerabilities', i, label, '', java, None, None, ())
-            for i, (label, java) in enumerate(shapes)]
+    shapes = [('call', CALL, ()), ('assignment', ASSIGNMENT, (tuple(s.lower() for s in W.ASSIGNED_SINKS),))]
+    return [Rule('sink_calls', 'xss_vulnerabilities', i, label, '', java, None, None, needs)
+            for i, (label, java, needs) in enumerate(shapes)]
 
 
 def triggers(match: Column, rule_ord: Column) -> Column:
