@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import documents, ship
 from .packing import cut, pack, token_ids
 from .piece_codec import decode_ids, encode_texts
+from .quality_classifier import score_quality
+from .quality_rules import judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,3 +44,22 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = token_ids(F.col('text'), public_tokenizers.path('byte_bpe_50k.tiktoken'), public_tokenizers.PATTERN)
     pieces = cut(docs.select('doc_id', ids.alias('ids')))
     return pack(pieces.select('doc_id', 'piece', 'start', 'length', F.crc32('ids').alias('ids_crc32')), 2048)
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f'{sf_dir}/labels.parquet')
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; cut-offs certified per language."""
+    judged = judge(documents(spark, sf_dir).select('doc_id', 'text', 'lang'), labels(spark, sf_dir))
+    return judged.select('doc_id', 'n_words', 'word_chars', 'n_symbols', 'n_dup_lines', 'n_repeat_words', 'base_failed',
+                         'kept', F.array_join('reasons', ',').alias('reasons'))
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    scored = score_quality(documents(spark, sf_dir).select('doc_id', 'text'), labels(spark, sf_dir))
+    return scored.select('doc_id', 'held_out', 'score', 'predicted')
