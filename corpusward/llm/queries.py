@@ -9,10 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import documents, ship
+from .langid import identify
 from .packing import cut, pack, token_ids
 from .piece_codec import decode_ids, encode_texts
 from .quality_classifier import score_quality
 from .quality_rules import judge
+from .toxicity import grade_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -63,3 +65,17 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     scored = score_quality(documents(spark, sf_dir).select('doc_id', 'text'), labels(spark, sf_dir))
     return scored.select('doc_id', 'held_out', 'score', 'predicted')
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document."""
+    graded = grade_toxicity(documents(spark, sf_dir).select('doc_id', 'text'), labels(spark, sf_dir))
+    return graded.select('doc_id', 'toxic', 'severity', 'grade', 'toxic_chance')
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    found = identify(documents(spark, sf_dir).select('doc_id', 'text', 'lang'))
+    return found.select('doc_id', 'held_out', 'lang_pred', 'score', 'rejected')
