@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import documents, ship
 from .langid import identify
+from .neighbours import nearest
 from .packing import cut, pack, token_ids
 from .piece_codec import decode_ids, encode_texts
 from .quality_classifier import score_quality
@@ -79,3 +80,9 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     found = identify(documents(spark, sf_dir).select('doc_id', 'text', 'lang'))
     return found.select('doc_id', 'held_out', 'lang_pred', 'score', 'rejected')
+
+
+@query
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every row whose id is divisible by 20."""
+    return nearest(spark.read.parquet(f'{sf_dir}/embeddings.parquet'), 'vec_id', 'embedding')
