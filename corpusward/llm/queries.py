@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import documents, ship
+from .hmm import score_texts
 from .langid import identify
 from .neighbours import nearest
 from .packing import cut, pack, token_ids
@@ -86,3 +87,9 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows of every row whose id is divisible by 20."""
     return nearest(spark.read.parquet(f'{sf_dir}/embeddings.parquet'), 'vec_id', 'embedding')
+
+
+@query
+def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document."""
+    return score_texts(documents(spark, sf_dir).select('doc_id', 'text'))
