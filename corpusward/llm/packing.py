@@ -37,11 +37,11 @@ def token_ids(text: Column, path: str, pattern: str, end: int | None = 0) -> Col
     """
     last = b'' if end is None else np.array([end], '<u4').tobytes()
 
-    @F.arrow_udf('binary')
     def ids(texts: pa.Array) -> pa.Array:
         encode = tokenizer(path, pattern).encode_to_numpy
         return pa.array([encode(t.as_py() or '').astype('<u4', copy=False).tobytes() + last for t in texts], pa.binary())
-    return ids(text)
+    # marked so, the function is evaluated once whatever reads its result
+    return F.arrow_udf(ids, 'binary').asNondeterministic()(text)
 
 
 def cut(docs: DataFrame, ids: str = 'ids', size: int = 2048) -> DataFrame:
