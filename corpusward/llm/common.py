@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -39,9 +40,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def written(frame: DataFrame, name: str) -> DataFrame:
-    """The frame as a table in the shared folder: computed once, and no lineage behind it."""
+    """The frame as a table in the shared folder: computed once, and no lineage behind it.
+
+    Shuffle files that only served earlier tables are let go: Spark removes them
+    once the driver's garbage is collected, which else may take half an hour.
+    """
     path = f'{shared_folder(frame.sparkSession).rstrip("/")}/{name}-{uuid.uuid4().hex}'
     frame.write.option('compression', 'zstd').parquet(path)
+    gc.collect()
+    frame.sparkSession.sparkContext._jvm.System.gc()
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
