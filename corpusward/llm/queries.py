@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import documents, ship
 from .hmm import score_texts
 from .langid import identify
+from .line_dedup import dedup_lines
 from .neighbours import nearest
+from .ngram_join import link_documents
 from .packing import cut, pack, token_ids
 from .piece_codec import decode_ids, encode_texts
 from .quality_classifier import score_quality
@@ -93,3 +95,17 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document."""
     return score_texts(documents(spark, sf_dir).select('doc_id', 'text'))
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated lines, as digest and line numbers."""
+    done = dedup_lines(documents(spark, sf_dir).select('doc_id', 'text'))
+    return done.select('doc_id', 'n_lines', 'n_removed', F.array_join(F.col('removed').cast('array<string>'), ',').alias('removed'),
+                       F.sha2(F.coalesce('text', F.lit('')), 256).alias('text_sha256'))
+
+
+@query
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the documents by three-word shingles at Jaccard 0.9."""
+    return link_documents(documents(spark, sf_dir).select('doc_id', 'text'), k=3, num=9, den=10)
