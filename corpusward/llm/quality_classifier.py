@@ -86,8 +86,10 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), float).reshape(len(column), len(STATISTICS))
 
 
-def fit(table: DataFrame, label: str, calibration: Column, gamma: float = 1 / 24, ridge: float = 1e-3, seed: int = 5) -> Model | None:
-    """Model from rows (x array<double>, label 0/1); rows where ``calibration`` holds fit the step line only.
+def fit(table: DataFrame, rows: DataFrame, gamma: float = 1 / 24, ridge: float = 1e-3, seed: int = 5) -> Model | None:
+    """Model from labelled rows (x array<double>, y 0 to 1, cal); those where ``cal`` holds fit the step line only.
+
+    ``table`` has the x of all documents, for their means and spreads.
 
     None without a fitting row.  Without calibration rows the raw score stands.
     """
@@ -106,7 +108,6 @@ def fit(table: DataFrame, label: str, calibration: Column, gamma: float = 1 / 24
             n += len(batch)
         yield pd.DataFrame({'total': [total.tobytes()], 'n': [n]})
 
-    rows = table.where(f'{label} is not null').select('x', F.col(label).cast('double').alias('y'), calibration.alias('cal'))
     rows = written(rows, 'labelled')
     # PARTS matrices of fixed size come to the driver, whatever the number of rows
     parts = rows.where('not cal').select('x', 'y').repartition(PARTS).mapInPandas(sums, 'total binary, n long').collect()
@@ -133,24 +134,25 @@ def _udf(score):
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, text: str = 'text', key: str = 'doc_id', folds: int = 5,
-                  threshold: float = 0.3) -> DataFrame:
+                  threshold: float = 0.3, keep_text: bool = True) -> DataFrame:
     """Adds ``held_out``, ``score`` (0 to 1) and ``predicted``; columns of these names are replaced.
 
     Labels are used of keys whose crc32 modulo ``folds`` is not 0: fold 1
     calibrates, the others fit.  A document with several labels counts with their
     mean; rows with null keys or qualities are not used.  Without labels every
     score is 0.5.  Null texts are empty texts and have a score like any other.
+    The statistics are written once, beside the other columns (``keep_text=False``
+    leaves the text out, there and in the result).
     """
     docs = docs.drop('held_out', 'score', 'predicted')
     x, mark = free_name(docs, 'x', '_mark')
-    marks = (labels.where('quality is not null').groupBy(F.col(key).alias('_key')).agg(F.avg('quality').alias('_quality'))
-             .where('_key is not null'))
     table = docs.withColumn(mark, statistics(F.col(text))).withColumn(x, features(F.col(mark))).drop(mark)
-    table = written(table.drop(text), 'statistics')
-    rows = table.select(F.col(x).alias('x'), F.col(key).alias('_id')).join(marks, F.col('_id') == F.col('_key'), 'left')
-    part = fold('_id', folds)
-    rows = rows.withColumn('_quality', F.when(part > 0, F.col('_quality')))
-    model = fit(rows, '_quality', part == 1)
+    table = written(table if keep_text else table.drop(text), 'statistics')
+    marks = (labels.where('quality is not null').groupBy(F.col(key).alias('_key')).agg(F.avg('quality').alias('y'))
+             .where((fold('_key', folds) > 0)))
+    narrow = table.select(F.col(x).alias('x'), F.col(key).alias('_id'))
+    rows = narrow.join(marks, F.col('_id') == F.col('_key')).select('x', 'y', (fold('_id', folds) == 1).alias('cal'))
+    model = fit(narrow, rows)
     score = F.lit(0.5) if model is None else _udf(model.score)(F.col(x))
     return (table.withColumns({'held_out': fold(key, folds) == 0, 'score': score})
             .withColumn('predicted', (F.col('score') >= threshold).cast('int')).drop(x))

@@ -67,7 +67,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
-    scored = score_quality(documents(spark, sf_dir).select('doc_id', 'text'), labels(spark, sf_dir))
+    scored = score_quality(documents(spark, sf_dir).select('doc_id', 'text'), labels(spark, sf_dir), keep_text=False)
     return scored.select('doc_id', 'held_out', 'score', 'predicted')
 
 
