@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 MARK = '▁'
-CACHED_WORDS = 600_000
-CACHED_PAIRS = 1_500_000
+CACHED_WORDS = 350_000
+CACHED_PAIRS = 500_000
 
 
 class _Words(dict):
@@ -206,7 +206,8 @@ def decoded(ids: Column, path: str) -> Column:
     @F.arrow_udf('string')
     def text(lists: pa.Array) -> pa.Array:
         decode = codec(path).decode
-        return pa.array([decode(x.as_py() if x.is_valid else []) for x in lists], pa.string())
+        flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+        return pa.array([decode(flat[a:b].tolist()) for a, b in zip(np.r_[0, ends], ends)], pa.string())
     return text(ids)
 
 
