@@ -64,12 +64,18 @@ def cut(docs: DataFrame, ids: str = 'ids', size: int = 2048) -> DataFrame:
             .withColumn('piece', F.col(piece)).drop(piece, all_ids, '_n', '_first'))
 
 
-def _fullest(counts: dict[int, int], lengths: list[int], room: int) -> dict[int, int]:
-    """Lengths (longest first in ``lengths``) whose sum comes nearest to ``room``, as length -> uses."""
+def _fullest(counts: dict[int, int], lengths: list[int], room: int, long_first: bool) -> dict[int, int]:
+    """Lengths (rising) whose sum comes nearest to ``room``, as length -> uses.
+
+    Of equally full combinations, ``long_first`` takes the one with the longest
+    pieces; else the one whose shortest piece is longest.
+    """
     mask = (1 << room + 1) - 1
     reached, steps = 1, []
-    for size in lengths:
+    for size in lengths if long_first else reversed(lengths):
         if size > room:
+            if long_first:
+                break
             continue
         left, uses = min(counts[size], room // size), 1
         while left:
@@ -78,31 +84,40 @@ def _fullest(counts: dict[int, int], lengths: list[int], room: int) -> dict[int,
             reached |= reached << size * uses & mask
             left -= uses
             uses *= 2
-        if reached >> room & 1:
+        if reached >> room and not long_first:
             break
     at, found = reached.bit_length() - 1, {}
     for size, uses, before in reversed(steps):
-        if not before >> at & 1:  # short lengths come last and are kept for later where possible
+        weight = size * uses
+        # without the step the sum is out of reach, or the step's long pieces are wanted and the rest can be reached
+        if not before >> at & 1 or (long_first and at >= weight and before >> at - weight & 1):
             found[size] = found.get(size, 0) + uses
-            at -= size * uses
+            at -= weight
     return found
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Rows (length, first rank, uses, bins, first bin, offset).
+    """Rows (length, first rank, uses, bins, first bin, offset) of the plan with the fewest bins.
 
     ``uses * bins`` ranks of the length from the first rank on go to ``bins``
     bins: rank r is at use ``(r - first) // bins`` of bin ``first bin + (r - first) % bins``.
+    Which of equally full combinations leaves the better rest depends on the
+    histogram, so a plan is made either way.
     """
     if any(not 0 < size <= capacity for size in histogram):
         raise ValueError(f'lengths must be 1 to {capacity}')
+    plans = [_plan(histogram, capacity, long_first) for long_first in (True, False)]
+    return min(plans, key=lambda rows: max((r[4] + r[3] for r in rows), default=0))
+
+
+def _plan(histogram: dict[int, int], capacity: int, long_first: bool) -> list[tuple[int, int, int, int, int, int]]:
     counts = {size: n for size, n in histogram.items() if n > 0}
     taken, rows, bins = dict.fromkeys(counts, 0), [], 0
-    lengths = sorted(counts, reverse=True)
+    lengths = sorted(counts)
     while lengths:
-        top = lengths[0]
+        top = lengths[-1]
         counts[top] -= 1
-        use = _fullest({s: n for s, n in counts.items() if n}, [s for s in lengths if counts[s]], capacity - top)
+        use = _fullest(counts, [s for s in lengths if counts[s]], capacity - top, long_first)
         counts[top] += 1
         use[top] = use.get(top, 0) + 1
         times = min(counts[size] // n for size, n in use.items())
