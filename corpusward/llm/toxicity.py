@@ -1,6 +1,6 @@
 """Toxicity as a severity grade: cumulative-link ordinal regression on sparse text features.
 
-P(grade >= k) = sigmoid(w.x - theta_k): one weight vector for all thresholds.  x
+P(grade >= k) = sigmoid(w.x - theta_k): one weight vector, none of it negative, for all thresholds.  x
 counts the hashed words of a text, and the hashed beginnings of its words, each
 different word once.  The labels say toxic or not; a toxic text's grade comes from
 how many of its different words are toxic vocabulary, i.e. far more frequent among
@@ -84,7 +84,7 @@ def sample(docs: DataFrame, labels: DataFrame, text: str, key: str, sample_rows:
     return rows.select('toxic', F.arrow_udf(run, 'struct<ids: array<int>, of: array<int>>')('_text').alias('f')).select('toxic', 'f.ids', 'f.of')
 
 
-def fit(rows: list, ridge: float = 2.0, steps: int = 150, min_rows: int = 5) -> Model | None:
+def fit(rows: list, ridge: float = 1.0, steps: int = 250, min_rows: int = 3) -> Model | None:
     """Model from (toxic, ids, of) rows; None without rows of both kinds."""
     toxic = np.array([r['toxic'] for r in rows], bool)
     if not toxic.any() or toxic.all():
@@ -105,7 +105,11 @@ def fit(rows: list, ridge: float = 2.0, steps: int = 150, min_rows: int = 5) ->
     for k in np.flatnonzero(toxic):
         hits = len(np.unique(of[k][vocabulary[ids[k]]]))
         grade[k] = 1 if hits <= 2 else 2 if hits <= 5 else 3
-    keep = np.flatnonzero(seen >= min_rows)
+    # only what toxic texts have significantly more often has a weight, and none is negative:
+    # no other words, however many, make a text more or less toxic
+    share = toxic.mean()
+    surplus = (bad - seen * share) / np.sqrt(seen * share * (1 - share) + 1e-9)
+    keep = np.flatnonzero((seen >= min_rows) & (surplus >= 2.5))
     column = np.full(BUCKETS, -1)
     column[keep] = np.arange(len(keep))
     cols = [c[c >= 0] for c in (column[i] for i in ids)]
@@ -132,6 +136,7 @@ def fit(rows: list, ridge: float = 2.0, steps: int = 150, min_rows: int = 5) ->
             v *= 0.99
             v += 0.01 * g * g
             a -= 0.05 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-9)
+        np.maximum(w, 0, out=w)
         theta.sort()
     weights = np.zeros(BUCKETS, np.float32)
     weights[keep] = w
