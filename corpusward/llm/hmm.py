@@ -165,28 +165,41 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select('_learn', '_key', '_text').mapInArrow(run, 'chunk long, word binary, n long')
 
 
+def classes_of(docs: DataFrame, top: list[bytes]) -> DataFrame:
+    """(symbols): classes of each training text as little-endian 16-bit numbers, the end included."""
+    def run(batches):
+        classes = Classes(top)
+        for batch in batches:
+            found = []
+            for text in batch.columns[0]:
+                words = tokens(text.as_py())
+                found.append(np.append(np.fromiter(map(classes.__getitem__, words), '<u2', len(words)), np.uint16(0)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ['symbols'])
+    return docs.where('_learn').select('_text').mapInArrow(run, 'symbols binary')
+
+
 def train(docs: DataFrame, top: list[bytes], shares: np.ndarray, passes: int) -> Model:
-    """Baum-Welch; a pass sums (place, value) rows per task, so what is gathered is a row per place."""
+    """Baum-Welch; a pass sums (place, value) rows per task, so what is gathered is a row per place.
+
+    Words become classes once; the passes read those.
+    """
     model = first_guess(shares)
-    texts = docs.where('_learn').select('_text')
+    coded = written(classes_of(docs, top), 'symbols')
     sizes = {'start': STATES, 'move': STATES * STATES, 'emit': CLASSES * STATES}
     for _ in range(passes):
         def run(batches, model=model):
-            classes = Classes(top)
             counts = {'start': np.zeros(STATES), 'move': np.zeros((STATES, STATES)), 'emit': np.zeros((CLASSES, STATES))}
-            for rows in _batches(batches, 4_000_000):
+            for rows in _batches(batches, 1_500_000):
                 parts, starts = [], []
-                for (text,) in rows:
-                    words = tokens(text)
-                    symbols = np.fromiter(map(classes.__getitem__, words), np.int32, len(words))
-                    symbols = np.append(symbols, np.int32(0))
+                for (raw,) in rows:
+                    symbols = np.frombuffer(raw, '<u2').astype(np.int32)
                     parts += [symbols[i:i + SEGMENT] for i in range(0, len(symbols), SEGMENT)]
                     starts += [i == 0 for i in range(0, len(symbols), SEGMENT)]
                 expected(model, parts, np.array(starts), counts)
             flat = np.concatenate([counts[k].ravel() for k in sizes])
             at = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(flat[at], pa.float64())], ['at', 'v'])
-        sums = texts.mapInArrow(run, 'at int, v double').groupBy('at').agg(F.sum('v').alias('v')).toPandas()
+        sums = coded.mapInArrow(run, 'at int, v double').groupBy('at').agg(F.sum('v').alias('v')).toPandas()
         flat = np.zeros(sum(sizes.values()))
         flat[sums['at'].to_numpy(int)] = sums['v'].to_numpy(float)
         start, move, emit = np.split(flat, np.cumsum(list(sizes.values()))[:-1])
