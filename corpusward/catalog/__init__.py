@@ -39,6 +39,7 @@ LEGACY_FAMILIES = {
     'xss_sinks': ('xss_vulnerabilities', R.LEGACY_XSS_SINKS),
     'endpoints': ('api_endpoints', R.LEGACY_ENDPOINTS),
 }
+BUILT_IN_ROWS = CURRENT_ROWS | {row for table in (SCRIPT_FAMILY, LEGACY_FAMILIES) for _, rows in table.values() for row in rows}
 PATTERN_FAMILIES = [f for f in FAMILIES if f not in ('endpoints', 'parameters', 'paths')]
 
 # Forms with the same matches and a bounded amount of backtracking.
@@ -103,12 +104,14 @@ class Rule:
 def make_rule(family: str, category: str, ord: int, row: tuple) -> Rule:
     regex, label, *flag = row
     flag = flag[0] if flag else False
+    # word tests and equivalent forms belong to the built-in rows, not to their labels
+    own = row in BUILT_IN_ROWS
     return Rule(
         family=family, category=category, ord=ord, label=label, regex=regex,
         java=java_regex(_SAME_MATCHES[label] if label in _SAME_MATCHES and row in CURRENT_ROWS else regex),
         strict=flag if isinstance(flag, bool) else None,
         severity=flag if isinstance(flag, str) else None,
-        needs=tuple(tuple(g) for g in NEEDS.get(label, ())), shape=SHAPES.get(label),
+        needs=tuple(tuple(g) for g in NEEDS.get(label, ())) if own else (), shape=SHAPES.get(label) if own else None,
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 from ..catalog import words as W
 from .filters import is_css_value
 from .regex import any_word
-from .text import head, strip
+from .text import strip
 
 
 def _before(text: Column, mark: str) -> Column:
@@ -59,4 +59,4 @@ def is_css_parameter(param: Column) -> Column:
 
 
 def shown_name(param: Column) -> Column:
-    return F.when(F.coalesce(param['name'], F.lit('')) != '', param['name']).otherwise(head(param['text'], 50))
+    return F.when(F.coalesce(param['name'], F.lit('')) != '', param['name']).otherwise(param['text'])

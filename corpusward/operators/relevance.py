@@ -61,8 +61,10 @@ def gate_sink_scan_size(files: DataFrame) -> DataFrame:
 
 
 def union_errors(*frames: DataFrame) -> DataFrame:
-    """Per-file error arrays from frames with (file_id, error)."""
-    rows = frames[0].select('file_id', 'error')
-    for frame in frames[1:]:
-        rows = rows.unionByName(frame.select('file_id', 'error'))
-    return rows.where(F.col('error').isNotNull()).groupBy('file_id').agg(F.collect_list('error').alias('errors'))
+    """Per-file error arrays from frames with (file_id, error), in the order of the frames."""
+    rows = None
+    for i, frame in enumerate(frames):
+        part = frame.where(F.col('error').isNotNull()).select('file_id', F.struct(F.lit(i).alias('step'), 'error').alias('e'))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy('file_id').agg(F.array_sort(F.collect_list('e')).alias('e')).select(
+        'file_id', F.transform('e', lambda e: e['error']).alias('errors'))

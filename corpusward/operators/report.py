@@ -148,7 +148,7 @@ def agg_findings_digest(files: DataFrame, findings: DataFrame, recommendations:
 def agg_collect_result(files: DataFrame, findings: DataFrame) -> DataFrame:
     """Nested result per file: one array per category, in place order.
 
-    A file's findings fit a row because a file's text does (bodies are capped).
+    A file's findings must fit a row; write rows of findings where files have no bound.
     """
     keys = {'file_id', 'url', 'category'}
     fields = [*ORDER, *[c for c in findings.columns if c not in keys and c not in ORDER]]

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..catalog import family_rules, rules as R, words as W
 from ..functions.headers import (analyze_cdn, analyze_csp, analyze_rate_headers, analyze_server, csp_of_policy,
@@ -32,17 +32,25 @@ def with_status_errors(responses: DataFrame) -> DataFrame:
 def join_local_fallback(responses: DataFrame) -> DataFrame:
     """A localhost URL without a body takes the 127.0.0.1 response, if that has one."""
     columns = [c for c in responses.columns if c not in ('url', 'file_id')]
-    other = (responses.where(F.contains('url', F.lit('127.0.0.1')) & (F.coalesce('body', F.lit('')) != ''))
-             .dropDuplicates(['url'])
+    ids = [c for c in ['file_id'] if c in responses.columns]
+    other = (one_per_url(responses.where(F.contains('url', F.lit('127.0.0.1')) & (F.coalesce('body', F.lit('')) != '')))
              .select(F.col('url').alias('_alt'), F.struct(F.col('url'), *columns).alias('_other')))
-    wants = F.col('body').isNull() & F.contains('url', F.lit('localhost'))
-    joined = responses.withColumn('_alt', F.when(wants, F.replace('url', F.lit('localhost'), F.lit('127.0.0.1')))) \
-        .join(other, '_alt', 'left')
+    wants = F.coalesce(F.col('body').isNull() & F.contains('url', F.lit('localhost')), F.lit(False))
+    # only responses that want another one take part in the join; the rest stays where it is
+    waiting = responses.where(wants).withColumn('_alt', F.replace('url', F.lit('localhost'), F.lit('127.0.0.1')))
     found = F.col('_other').isNotNull()
-    return joined.select(
-        *[c for c in ['file_id'] if c in responses.columns],
-        F.col('url').alias('original_url'),
+    filled = waiting.join(other, '_alt', 'left').select(
+        *ids, F.col('url').alias('original_url'),
         *[F.when(found, F.col('_other')[c]).otherwise(F.col(c)).alias(c) for c in ['url', *columns]])
+    return responses.where(~wants).select(*ids, F.col('url').alias('original_url'), 'url', *columns).unionByName(filled)
+
+
+def one_per_url(responses: DataFrame) -> DataFrame:
+    """One response per URL: of several, the one with the highest file id, then by status and a hash of the body."""
+    order = [F.desc(c) for c in ('file_id', 'status') if c in responses.columns]
+    order += [F.xxhash64(c) for c in ('body',) if c in responses.columns]
+    rank = F.row_number().over(Window.partitionBy('url').orderBy(*order))
+    return responses.withColumn('_rank', rank).where('_rank = 1').drop('_rank')
 
 
 def with_fetch_errors(responses: DataFrame) -> DataFrame:
@@ -67,8 +75,8 @@ def join_root_csp(analyzed: DataFrame) -> DataFrame:
     is_script = F.contains(kind, F.lit('javascript')) | F.endswith(kind, F.lit('/js'))
     needs = ~F.coalesce(F.col('csp_info.is_present'), F.lit(False)) & F.col('csp_info').isNotNull() & is_script
     roots = (analyzed.where((F.col('url') == root_url(F.col('url'))) & F.col('csp_info.is_present'))
-             .dropDuplicates(['url'])
-             .select(F.col('url').alias('_root'), F.col('csp_info').alias('_root_csp')))
+             .select('url', 'csp_info', *[c for c in ('file_id', 'status') if c in analyzed.columns])
+             .transform(one_per_url).select(F.col('url').alias('_root'), F.col('csp_info').alias('_root_csp')))
     waiting = analyzed.where(needs & root_url(F.col('url')).isNotNull())
     settled = analyzed.where(~(needs & root_url(F.col('url')).isNotNull()))
     filled = (waiting.withColumn('_root', root_url(F.col('url'))).join(roots, '_root', 'left')
@@ -90,7 +98,7 @@ def scan_meta_csp(files: DataFrame) -> DataFrame:
 def join_findings_responses(files: DataFrame, analyzed: DataFrame) -> DataFrame:
     """Header columns per file; a policy in the text counts only without a response."""
     key = 'file_id' if 'file_id' in analyzed.columns else 'url'
-    headers = analyzed.select(key, F.col('headers').isNotNull().alias('_has_response'), 'server_info', 'csp_info',
+    headers = analyzed.select(key, (F.size('headers') > 0).alias('_has_response'), 'server_info', 'csp_info',
                               'cdn_info', 'rate_limit_info', F.col('ip').alias('ip_address'))
     texts = files.select('file_id', 'url', F.length('content').alias('file_size'),
                          csp_of_policy(meta_csp(F.col('content'))).alias('_meta'))
@@ -105,9 +113,8 @@ def resolve_script_refs(files: DataFrame) -> DataFrame:
     rule = family_rules('script_refs')[0]
     refs = F.regexp_extract_all('content', F.lit(rule.java), F.lit(1))
     return (files.where(F.contains(fold_case(F.col('content')), F.lit('<script')))
-            .select('file_id', 'url', F.explode(F.array_distinct(refs)).alias('ref'))
-            .select('file_id', 'url', resolve_url(F.col('url'), F.col('ref')).alias('script_url'))
-            .dropDuplicates(['file_id', 'script_url']))
+            .select('file_id', 'url', F.explode(F.array_distinct(F.transform(
+                F.array_distinct(refs), lambda ref: resolve_url(F.col('url'), ref)))).alias('script_url')))
 
 
 def distinct_script_urls(files: DataFrame) -> DataFrame:

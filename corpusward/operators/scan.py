@@ -169,7 +169,7 @@ def _endpoints(spots, rules, url, filtered, **_):
     second = [r.ord for r in rules if r.groups > 1]
     group = _group(lambda s: F.when(s['rule_ord'].isin(second), F.lit(2)).otherwise(F.lit(1)))
     return F.transform(bind(spots, SPOT_FIELDS, path=group), lambda s: _said(
-        s, key=head(s['path'], 200), key_rule=0, path=head(s['path'], 200), full=head(s['match'], 150), detail=s['path'],
+        s, key=s['path'], key_rule=0, path=s['path'], full=s['match'], detail=s['path'],
         drop=(fp_endpoint(s['path']) | is_subdomain(s['path'], url)) if filtered else None))
 
 
@@ -182,13 +182,13 @@ def _parameters(spots, rules, **_):
     spots = bind(spots, SPOT_FIELDS, param=lambda s: param_name_value(
         s['match'], s['one'], s['two'], s['rule_ord'].isin(grouped), s['rule_ord'].isin(second)))
     return F.transform(spots, lambda s: _said(
-        s, key=shown_name(s['param']), key_rule=s['rule_ord'], match=head(s['param']['text'], 100),
+        s, key=shown_name(s['param']), key_rule=s['rule_ord'], match=s['param']['text'],
         name=shown_name(s['param']), drop=is_css_parameter(s['param'])))
 
 
 def _paths(spots, **_):
     return F.transform(bind(spots, SPOT_FIELDS, path=_group(1)), lambda s: _said(
-        s, key=head(s['path'], 200), key_rule=s['rule_ord'], path=head(s['path'], 200), match=head(s['match'], 200),
+        s, key=s['path'], key_rule=s['rule_ord'], path=s['path'], match=s['match'],
         drop=fp_path(s['path']) | is_css_value(s['path'])))
 
 
@@ -212,7 +212,7 @@ def _base64(spots, **_):
     def dull(decoded: Column) -> Column:
         return ~(has_any(F.lower(decoded), W.BASE64_WORDS) | (shannon_entropy(decoded) > W.BASE64_ENTROPY_THRESHOLD))
     return F.transform(F.filter(spots, lambda s: s['decoded'].isNotNull()), lambda s: _said(
-        s, key=s['text'], key_rule=0, key_line=0, match=s['text'], detail=head(s['decoded'], 50),
+        s, key=s['text'], key_rule=0, key_line=0, match=s['text'], detail=s['decoded'],
         drop=dull(s['decoded'])))
 
 
@@ -290,6 +290,8 @@ def scan_files(files: DataFrame, families: list[str] = ALL_FAMILIES, *, rules: d
     records = (located.withColumn('records', F.array_sort(F.filter(said, lambda r: ~r['drop'])))
                .drop('spots')
                .withColumn('records', _first_of_key('records')))
+    if with_text:
+        records = records.withColumn('stripped', F.transform('lines', strip))
     rows = records.select(*FILE_KEYS, 'family', F.inline(_rows(F.col('records'), rules, context_lines, with_text)))
     return _describe(rows, rules, entropy_threshold, with_text)
 
@@ -310,14 +312,17 @@ def _rows(records: Column, rules: dict[str, list[Rule]], context_lines: int, wit
     records = bind(records, extent,
                    first=lambda r: context_range(lines, r['line'], before, after)[0],
                    end=lambda r: context_range(lines, r['line'], before, after)[1])
-    records = bind(records, (*extent, 'first', 'end'),
-                   around=lambda r: F.when(pattern | secret, context_text(lines, r['first'], r['end'])))
+    # evaluated by the explode, and only values that all findings of a line share are
+    # not small: the stripped lines are made once, a finding points to its own
+    def around(r: Column) -> Column:
+        return context_text(lines, r['first'], r['end'])
+
     return bind(
         records, _ROW_FIELDS,
         line_content=lambda r: F.when(pattern, shortened_line(lines, r['line']))
-        .when(family != 'sink_calls', line_text(lines, r['line'])),
-        context=lambda r: F.when(pattern, context_snippet(r['around'], r['start'], r['col'], r['size']))
-        .otherwise(r['around']),
+        .when(family != 'sink_calls', F.element_at(F.col('stripped'), r['line'])),
+        context=lambda r: F.when(pattern, context_snippet(around(r), r['start'], r['col'], r['size']))
+        .when(secret, around(r)),
         context_start_line=lambda r: F.when(pattern | secret, r['first'] + 1),
         context_end_line=lambda r: F.when(pattern | secret, r['end']))
 
@@ -399,10 +404,6 @@ def context_frame(files: DataFrame, families: list[str], before: int, after: int
     return locate(files, rules).select(*FILE_KEYS, 'family', F.inline(spots))
 
 
-def scan_all_patterns(files: DataFrame, **options) -> DataFrame:
-    return scan_files(files, PATTERN_FAMILIES, **options)
-
-
 def scan_patterns_legacy(files: DataFrame, context_lines: int = 2) -> DataFrame:
     """Older semantics: every match counts, nothing is filtered or de-duplicated."""
     families = {f: family_rules(f, 'legacy') for f in ('api_keys', 'credentials', 'comments', 'xss_sinks')}
@@ -412,7 +413,7 @@ def scan_patterns_legacy(files: DataFrame, context_lines: int = 2) -> DataFrame:
         k = F.lit(context_lines)
         first, end = context_range(F.col('lines'), s['line'], k, k)
         return F.struct(s['rule_ord'].alias('rule_ord'), s['match_ord'].alias('match_ord'),
-                        head(s['match'], 100).alias('match'), s['line'].alias('line'),
+                        s['match'].alias('match'), s['line'].alias('line'),
                         context_text(F.col('lines'), first, end).alias('context'))
 
     rows = locate(files, families).select(*FILE_KEYS, 'family', F.inline(F.transform('spots', finding)))

@@ -38,8 +38,8 @@ def blank_literals(content: Column) -> Column:
     return F.array_join(F.zip_with(parts, blanked, lambda a, b: F.concat(a, F.coalesce(b, F.lit('')))), '')
 
 
-def code_of(content: Column) -> Column:
-    """Blanked code of files that are small enough and name a risky interface at all.
+def code_of(content: Column, max_chars: int | None = None) -> Column:
+    """Blanked code of files that name a risky interface at all (and are not longer than ``max_chars``, if given).
 
     The two-letter modules are common in other words, so these must be used as one
     (a blank or a comment may stand in between).
@@ -48,7 +48,9 @@ def code_of(content: Column) -> Column:
     wanted = F.rlike(content, F.lit(r'(?:fs|vm)\s*+[.(/]'))
     for name in long_names:
         wanted = F.contains(content, F.lit(name.split('.')[0])) | wanted
-    return F.when((F.length(content) <= W.MAX_SINK_SCAN_CHARS) & wanted, blank_literals(content)).otherwise(F.lit(''))
+    if max_chars is not None:
+        wanted = (F.length(content) <= max_chars) & wanted
+    return F.when(wanted, blank_literals(content)).otherwise(F.lit(''))
 
 
 def sink_rules() -> list[Rule]:

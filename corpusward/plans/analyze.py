@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.link import join_keys_endpoints
 from ..operators.recommend import recommendations
-from ..operators.relevance import gate_sink_scan_size, gate_skipped_files, score_relevance, union_errors
+from ..operators.relevance import gate_skipped_files, score_relevance, union_errors
 from ..operators.report import agg_collect_result
 from ..operators.responses import (analyze_headers, cap_body_size, join_findings_responses, join_local_fallback,
                                    join_root_csp, with_fetch_errors, with_status_errors)
 from ..operators.scan import scan_files
 
 
-def files_of(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files, analysed responses) of a crawl with file ids."""
-    prepared = with_fetch_errors(join_local_fallback(with_status_errors(cap_body_size(responses))))
+def files_of(responses: DataFrame, cap_bodies: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(files, analysed responses) of a crawl with file ids.
+
+    A response without a body is a file without content and an error.
+    ``cap_bodies`` rejects or cuts bodies over the size limit first.
+    """
+    responses = cap_body_size(responses) if cap_bodies else responses.withColumn('fetch_error', F.lit(None).cast('string'))
+    prepared = with_fetch_errors(join_local_fallback(with_status_errors(responses)))
     analyzed = join_root_csp(analyze_headers(prepared))
     files = prepared.select('file_id', 'url', F.col('body').alias('content'))
     return files, analyzed
@@ -35,12 +40,19 @@ def analyze(files: DataFrame, analyzed_responses: DataFrame | None = None, model
     """
     scored = gate_skipped_files(score_relevance(files, model))
     relevant = scored.where(~F.col('skipped')).select('file_id', 'url', 'content')
-    found = scan_files(relevant) if findings is None else findings
+    if findings is None:
+        found = scan_files(relevant)
+    else:  # a skipped file has no findings, wherever they come from
+        found = findings if model is None else findings.join(relevant.select('file_id'), 'file_id', 'left_semi')
     headers = None if analyzed_responses is None else join_findings_responses(files, analyzed_responses)
     advice = recommendations(files, found, headers)
     nested_advice = advice.groupBy('file_id').agg(F.array_sort(F.collect_list(
         F.struct('ord', 'priority', 'category', 'title', 'description'))).alias('recommendations'))
-    errors = union_errors(scored.select('file_id', F.explode('errors').alias('error')), gate_sink_scan_size(relevant))
+    lines = [scored.select('file_id', F.explode('errors').alias('error'))]
+    if analyzed_responses is not None:
+        lines += [analyzed_responses.select('file_id', F.col(c).alias('error'))
+                  for c in ('status_error', 'error') if c in analyzed_responses.columns]
+    errors = union_errors(*lines)
     result = agg_collect_result(files, link_findings(found))
     for part in (scored.select('file_id', 'skipped', 'relevance_score'), errors, nested_advice):
         result = result.join(part, 'file_id', 'left')

@@ -7,7 +7,7 @@ match is unnested, positions are running sums over windows, first-wins is
 
 from __future__ import annotations
 
-from ..catalog import FAMILIES, LEGACY_FAMILIES, Rule, family_rules, rules as R, words as W
+from ..catalog import FAMILIES, Rule, family_rules, rules as R, words as W
 from ..functions.text import BLANKS
 from .corpus import CODE_BY_KIND, PROBE_LINES
 
@@ -37,7 +37,7 @@ def re2(expression: str, ignore_case: bool = True) -> str:
         elif token == ']':
             inside = False
         out.append(token)
-    return ('(?i)' if ignore_case else '') + ''.join(out)
+    return ('(?im)' if ignore_case else '') + ''.join(out)
 
 
 def strip(x: str) -> str:
@@ -195,11 +195,11 @@ def _endpoints(family: str, name: str, filtered: bool = True) -> str:
     return matches(f'{name}_m', _rule_values(family_rules('endpoints'))) + f""",
     {name}_u AS (SELECT *, CASE WHEN groups > 1 THEN {_group(2)} ELSE {_group(1)} END AS u FROM {name}_m),
     {name} AS (SELECT {_select(
-        category="'api_endpoints'", part='CAST(0 AS INTEGER)', rule_ord='CAST(ord AS INTEGER)', method='label', path='left(u, 200)',
-        full_match='left(match, 150)', line_content=strip('lines[line]'),
+        category="'api_endpoints'", part='CAST(0 AS INTEGER)', rule_ord='CAST(ord AS INTEGER)', method='label', path='u',
+        full_match='match', line_content=strip('lines[line]'),
         detection_logic="'Matched API pattern: ' || label || ' request to ''' || u || ''''")}
         FROM {name}_u WHERE {keep}
-        QUALIFY row_number() OVER (PARTITION BY file_id, left(u, 200), line ORDER BY ord, match_ord) = 1)"""
+        QUALIFY row_number() OVER (PARTITION BY file_id, u, line ORDER BY ord, match_ord) = 1)"""
 
 
 def _parameters(family: str, name: str) -> str:
@@ -220,11 +220,11 @@ def _parameters(family: str, name: str) -> str:
         CASE WHEN kind = 'query' AND contains(pair, '=') THEN {strip("substr(pair, position('=' IN pair) + 1)")} END AS pvalue FROM {name}_k),
     {name}_t AS (SELECT *, CASE kind WHEN 'none' THEN match WHEN 'query' THEN coalesce(pname || '=' || pvalue, match)
             WHEN 'call' THEN args ELSE g1 END AS ptext FROM {name}_n),
-    {name}_s AS (SELECT *, CASE WHEN coalesce(pname, '') <> '' THEN pname ELSE left(ptext, 50) END AS shown FROM {name}_t
+    {name}_s AS (SELECT *, CASE WHEN coalesce(pname, '') <> '' THEN pname ELSE ptext END AS shown FROM {name}_t
         WHERE NOT (lower(coalesce(pname, '')) IN ({props})) AND NOT (coalesce(pvalue, '') <> '' AND {css_value("coalesce(pvalue, '')")})),
     {name} AS (SELECT {_select(
         category="'parameters'", part='CAST(0 AS INTEGER)', rule_ord='CAST(ord AS INTEGER)', type='label', name='shown',
-        match='left(ptext, 100)', line_content=strip('lines[line]'),
+        match='ptext', line_content=strip('lines[line]'),
         detection_logic="'Extracted parameter using regex: ' || label")}
         FROM {name}_s QUALIFY row_number() OVER (PARTITION BY file_id, shown, line, label ORDER BY ord, match_ord) = 1)"""
 
@@ -233,10 +233,10 @@ def _paths(family: str, name: str) -> str:
     return matches(f'{name}_m', _rule_values(family_rules('paths'))) + f""",
     {name}_u AS (SELECT *, {_group(1)} AS u FROM {name}_m),
     {name} AS (SELECT {_select(
-        category="'paths_directories'", part='CAST(0 AS INTEGER)', rule_ord='CAST(ord AS INTEGER)', type='label', path='left(u, 200)',
-        match='left(match, 200)', line_content=strip('lines[line]'), detection_logic="'Matched path pattern: ' || label")}
+        category="'paths_directories'", part='CAST(0 AS INTEGER)', rule_ord='CAST(ord AS INTEGER)', type='label', path='u',
+        match='match', line_content=strip('lines[line]'), detection_logic="'Matched path pattern: ' || label")}
         FROM {name}_u WHERE NOT {any_of('lower(u)', W.FP_PATH_WORDS)} AND NOT {css_value('u')}
-        QUALIFY row_number() OVER (PARTITION BY file_id, left(u, 200), line, label ORDER BY ord, match_ord) = 1)"""
+        QUALIFY row_number() OVER (PARTITION BY file_id, u, line, label ORDER BY ord, match_ord) = 1)"""
 
 
 def _scripts(family: str, name: str) -> str:
@@ -279,7 +279,7 @@ def _base64(family: str, name: str) -> str:
         confidence="'High'", technique=q(W.TECHNIQUE_BASE64), line_content=strip('lines[line]'),
         context=context('greatest(0, line - 3)', 'least(len(lines), line + 3)'),
         context_start_line='CAST(greatest(0, line - 3) + 1 AS INTEGER)', context_end_line='CAST(least(len(lines), line + 3) AS INTEGER)',
-        detection_logic="'Identified Base64 string and decoded it. Decoded content: ''' || left(decoded, 50) || '...'''")}
+        detection_logic="'Identified Base64 string and decoded it. Decoded content: ''' || decoded || '...'''")}
         FROM {name}_d WHERE decoded IS NOT NULL AND ({any_of('lower(decoded)', W.BASE64_WORDS)} OR {entropy('decoded')} > 4.0))"""
 
 
@@ -300,7 +300,7 @@ def _sinks(family: str, name: str) -> str:
     {name}_code AS (SELECT * EXCLUDE (parts, lits), array_to_string([x[1] || coalesce(regexp_replace(x[2], '[^\\n]', ' ', 'g'), '')
             FOR x IN list_zip(parts, lits)], '') AS code
         FROM (SELECT *, string_split_regex(content, {q(_LITERAL)}) AS parts, regexp_extract_all(content, {q(_LITERAL)}) AS lits
-              FROM corpus WHERE length(content) <= {W.MAX_SINK_SCAN_CHARS} AND {any_of('content', [r[0] for r in W.RISK_CATALOG])})),
+              FROM corpus WHERE {any_of('content', [r[0] for r in W.RISK_CATALOG])})),
     {matches(f'{name}_m', rows, f'{name}_code', 'code')},
     {name}_p AS (SELECT *, CASE WHEN label = 'call' THEN {_group(1)} ELSE '' END AS prefix, CASE WHEN label = 'call' THEN {_group(2)} ELSE '' END AS dot,
         string_split(regexp_replace(CASE WHEN label = 'call' THEN {_group(3)} ELSE {_group(1)} END, '\\s+', '', 'g'), '.') AS chain FROM {name}_m),
@@ -335,10 +335,6 @@ def with_matches(families: dict[str, list[Rule]], body: str, ascii_only: bool =
     return f"WITH {', '.join(ctes)}, raw AS ({union}) {body}"
 
 
-def legacy(families: list[str]) -> dict[str, list[Rule]]:
-    return {f: family_rules(f, 'legacy') for f in families if f in LEGACY_FAMILIES}
-
-
 RESPONSES = """
     responses AS (SELECT page_id AS file_id, url, html AS body,
         CAST(CASE page_id % 7 WHEN 0 THEN 403 WHEN 1 THEN 404 WHEN 2 THEN 401 WHEN 3 THEN 503 ELSE 200 END AS INTEGER) AS status,

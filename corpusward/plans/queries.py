@@ -13,20 +13,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..catalog import (FAMILIES, LEGACY_FAMILIES, css_properties, family_rules, legacy_rule_catalog, risk_catalog,
                        rule_catalog, words as W)
 from ..functions import filters as P, headers as H, url as U
-from ..functions.labels import refine_technique
-from ..functions.params import is_css_parameter, param_name_value, shown_name
-from ..functions.text import base64_text, fold_case, head, shannon_entropy, strip, strip_quotes
-from ..operators import dedup as D, link as L, recommend as C, relevance as V, report as T, responses as S
-from ..operators.scan import (PATTERN_FAMILIES, context_frame, raw_matches, rules_of, scan_endpoints_legacy, scan_files,
-                              scan_patterns_legacy)
-from ..operators.sinks import routed_category, routed_label, triggers
+from ..functions.text import base64_text, fold_case, strip_quotes
+from ..operators import dedup as D, link as L, relevance as V, report as T, responses as S
+from ..operators.scan import PATTERN_FAMILIES, raw_matches, scan_endpoints_legacy, scan_files, scan_patterns_legacy
+from ..operators.sinks import triggers
 from ..sources.files import decode_lenient, spread
-from ..sources.urls import order_by_file_id, route_inputs, scan_request_payloads, scan_url_list
-from ..streaming.files import stream_batch_progress
-from ..streaming.limiter import exempt_trusted, limit_requests
+from ..sources.urls import route_inputs, scan_request_payloads, scan_url_list
 from . import oracle as O
-from .corpus import code_corpus, request_log, responses, table
-from .shared import materialize, shared_folder
+from .corpus import code_corpus, responses, table
+from .shared import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, Callable[[], str]] = {}
@@ -72,7 +67,8 @@ SINK_COLUMNS = ['file_id', 'url', 'category', 'match_ord', 'type', 'match', 'lin
 
 
 def _scan(name: str, families: list[str], columns: list[str]) -> None:
-    QUERIES[name] = lambda spark, d: scan_files(corpus(spark, d), families).select(*columns)
+    with_text = not {'line_content', 'context', 'context_start_line', 'context_end_line'}.isdisjoint(columns)
+    QUERIES[name] = lambda spark, d: scan_files(corpus(spark, d), families, with_text=with_text).select(*columns)
     ORACLE[name] = lambda: findings_sql(families, f"SELECT {', '.join(columns)} FROM findings")
 
 
@@ -130,7 +126,7 @@ LEGACY_PATTERN_FAMILIES = ['api_keys', 'credentials', 'comments', 'xss_sinks']
 
 
 @query('scan_patterns_legacy', lambda: raw_sql(LEGACY_PATTERN_FAMILIES, f"""
-    SELECT file_id, family, CAST(ord AS INTEGER) AS rule_ord, match_ord, label AS type, left(match, 100) AS match, line, severity,
+    SELECT file_id, family, CAST(ord AS INTEGER) AS rule_ord, match_ord, label AS type, match, line, severity,
         {O.context('greatest(0, line - 3)', 'least(len(lines), line + 2)')} AS context FROM raw""", 'legacy'))
 def _legacy(spark, d):
     return scan_patterns_legacy(corpus(spark, d)).select(
@@ -366,10 +362,6 @@ def _fp_gate(spark, d):
         F.count('*').alias('n_matches'), F.count_if(dropped).alias('n_dropped'))
 
 
-def _grouped(spark, d, families):
-    return raw_matches(corpus(spark, d), families)
-
-
 _WORDS = r"""w AS (SELECT doc_id, CAST(i AS INTEGER) AS pos, words[i + 1] AS word FROM (SELECT doc_id, words, unnest(range(len(words))) AS i
     FROM (SELECT doc_id, string_split_regex(text, '[ \n]') AS words FROM documents)))"""
 
@@ -453,12 +445,14 @@ def _base64_candidates(spark, d):
     return raw.where(F.length('candidate') >= 20).select('file_id', 'match_ord', 'candidate', base64_text(F.col('candidate')).alias('decoded'))
 
 
-@query('base64_text', "SELECT doc_id, left(text, 60) AS decoded FROM documents WHERE regexp_matches(left(text, 60), '^[ -~]+$')")
+@query('base64_text', r"""SELECT doc_id, CASE WHEN NOT regexp_matches(t,
+    '[\p{C}\p{Zl}\p{Zp}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]') THEN t END AS decoded
+    FROM (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents WHERE text <> '')""")
 def _base64_text(spark, d):
-    """Round trip of the documents' first characters that are printable ASCII."""
-    start = documents(spark, d).select('doc_id', head(F.col('text'), 60).alias('start'))
-    plain = start.where(F.rlike('start', F.lit(r'^[ -~]+\z')))
-    return plain.select('doc_id', base64_text(F.base64(F.col('start').cast('binary'))).alias('decoded'))
+    """Round trip of whole documents, line breaks as blanks; null where one can't be printed."""
+    text = F.translate('text', '\n', ' ').cast('binary')
+    return documents(spark, d).where("text <> ''").select(
+        'doc_id', base64_text(F.translate(F.base64(text), '\r\n', '')).alias('decoded'))
 
 
 @query('gate_sink_scan_size', """SELECT doc_id, format('Skipped AST analysis for large file ({:.2f}MB). Regex analysis still performed.',

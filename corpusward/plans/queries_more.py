@@ -5,24 +5,22 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..catalog import family_rules, words as W
+from ..catalog import custom_rules, family_rules, words as W
 from ..functions import headers as H, url as U
 from ..functions.labels import confidence_of, refine_technique, technique_of
-from ..functions.params import param_name_value, shown_name
-from ..functions.text import head, shannon_entropy, strip, strip_quotes
-from ..operators import dedup as D, link as L, recommend as C, relevance as V, report as T, responses as S
+from ..functions.text import shannon_entropy, strip_quotes
+from ..operators import dedup as D, recommend as C, relevance as V, report as T, responses as S
 from ..operators.scan import PATTERN_FAMILIES, context_frame, raw_matches, scan_endpoints_legacy, scan_files, scan_patterns_legacy
-from ..sources.results import lookup_batch, lookup_file, sink_results
+from ..sources.results import lookup_batch, lookup_file, sink_results_json
 from ..sources.urls import order_by_file_id
 from ..streaming.files import stream_batch_progress, stream_scan_files
-from ..streaming.limiter import exempt_trusted, limit_request_stream, limit_requests
+from ..streaming.limiter import exempt_trusted, limit_requests
 from . import oracle as O
 from .analyze import analyze, files_of
 from .corpus import code_corpus, request_log, responses, table
-from .queries import (EVERY, LINKED, ORACLE, PATTERN_COLUMNS, QUERIES, _EXAMPLES, _NEAR, corpus, documents, findings_sql,
-                      query, raw_sql)
+from .queries import EVERY, ORACLE, QUERIES, _EXAMPLES, _NEAR, corpus, documents, findings_sql, query, raw_sql
 from .shared import materialize, shared_folder
 
 SUMMARY = ['api_keys', 'entropy', 'credentials', 'xss_sinks', 'sink_calls', 'endpoints']
@@ -218,16 +216,19 @@ def _collect(spark, d):
                          (F.size('api_keys') > 0).alias('has_key'), F.get('api_keys', F.lit(0))['match'].alias('first_key'))
 
 
-@query('sink_results_json')
+@query('sink_results_json', lambda: findings_sql(['api_keys', 'credentials', 'xss_sinks', 'emails', 'endpoints', 'parameters'], """SELECT c.file_id,
+    c.url, count(*) FILTER (category = 'api_keys') AS n_api_keys, count(*) FILTER (category = 'credentials') AS n_credentials,
+    count(*) FILTER (category = 'xss_vulnerabilities') AS n_xss_vulnerabilities, count(*) FILTER (category = 'api_endpoints') AS n_api_endpoints,
+    count(*) FILTER (category = 'parameters') AS n_parameters FROM corpus c LEFT JOIN findings f ON f.file_id = c.file_id GROUP BY c.file_id, c.url"""))
 def _json(spark, d):
     """Nested results written as JSON and read back."""
     files = corpus(spark, d)
     found_ = scan_files(files, ['api_keys', 'credentials', 'xss_sinks', 'emails', 'endpoints', 'parameters'], with_text=False)
     nested = T.agg_collect_result(files, found_)
     path = os.path.join(shared_folder(spark), f'results-{uuid.uuid4().hex}')
-    nested.write.json(path)
+    sink_results_json(nested, path)
     return spark.read.schema(nested.schema).json(path).select(
-        'file_id', 'url', *[F.size(c).alias(f'n_{c}') for c in ('api_keys', 'credentials', 'xss_vulnerabilities', 'api_endpoints', 'parameters')])
+        'file_id', 'url', *[F.size(c).cast('long').alias(f'n_{c}') for c in ('api_keys', 'credentials', 'xss_vulnerabilities', 'api_endpoints', 'parameters')])
 
 
 LEGACY = ['api_keys', 'credentials', 'comments', 'xss_sinks', 'endpoints']
@@ -248,7 +249,7 @@ def _legacy_ctes() -> str:
     ctes = [O.corpus(False), O._endpoints('endpoints', 'eps', filtered=False)]
     ctes += [O.matches(f'm_{f}', O._rule_values(rules)) for f, rules in patterns.items()]
     union = ' UNION ALL '.join(f"SELECT file_id, '{rules[0].category}' AS category, ord AS rule_ord, match_ord, label AS type, NULL AS method, NULL AS path, "
-                               f"left(match, 100) AS match, line, severity FROM m_{f}" for f, rules in patterns.items())
+                               f"match, line, severity FROM m_{f}" for f, rules in patterns.items())
     return f"""WITH {', '.join(ctes)}, findings AS ({union} UNION ALL SELECT file_id, 'api_endpoints', rule_ord, match_ord, NULL, method, path, NULL, line, NULL FROM eps)"""
 
 
@@ -334,25 +335,24 @@ def _dedup_findings(spark, d):
 def _dedup(name: str, family: str, keys: list[str], dedup) -> None:
     """First-wins over raw extraction rows whose path or name is the first group."""
     def build(spark, d):
-        rows = raw_matches(corpus(spark, d), [family]).withColumns({
-            'path': head(F.col('one'), 200), 'name': head(F.col('one'), 50)})
+        rows = raw_matches(corpus(spark, d), [family]).withColumns({'path': F.col('one'), 'name': F.col('one')})
         return dedup(rows).select('file_id', 'rule_ord', 'match_ord', 'line', 'path')
     QUERIES[name] = build
     ORACLE[name] = lambda: (f"WITH {O.corpus(False)}, {O.matches('m', O._rule_values(family_rules(family)))} SELECT file_id, CAST(ord AS INTEGER) AS rule_ord, "
-                            f"match_ord, line, left({O._group(1)}, 200) AS path FROM m QUALIFY row_number() OVER (PARTITION BY file_id, {', '.join(keys)} "
+                            f"match_ord, line, {O._group(1)} AS path FROM m QUALIFY row_number() OVER (PARTITION BY file_id, {', '.join(keys)} "
                             "ORDER BY ord, match_ord) = 1")
 
 
 _G = O._group(1)
-_dedup('dedup_first_endpoints', 'endpoints', [f'left({_G}, 200)', 'line'], D.dedup_first_endpoints)
-_dedup('dedup_first_paths', 'paths', [f'left({_G}, 200)', 'line', 'label'], D.dedup_first_paths)
+_dedup('dedup_first_endpoints', 'endpoints', [_G, 'line'], D.dedup_first_endpoints)
+_dedup('dedup_first_paths', 'paths', [_G, 'line', 'label'], D.dedup_first_paths)
 
 
 @query('dedup_first_params', lambda: f"""WITH {O.corpus(False)}, {O.matches('m', O._rule_values(family_rules('parameters')))}
-    SELECT file_id, CAST(ord AS INTEGER) AS rule_ord, match_ord, line, left(match, 50) AS name FROM m
-    QUALIFY row_number() OVER (PARTITION BY file_id, left(match, 50), line, label ORDER BY ord, match_ord) = 1""")
+    SELECT file_id, CAST(ord AS INTEGER) AS rule_ord, match_ord, line, match AS name FROM m
+    QUALIFY row_number() OVER (PARTITION BY file_id, match, line, label ORDER BY ord, match_ord) = 1""")
 def _dedup_params(spark, d):
-    rows = raw_matches(corpus(spark, d), ['parameters']).withColumn('name', head(F.col('match'), 50))
+    rows = raw_matches(corpus(spark, d), ['parameters']).withColumn('name', F.col('match'))
     return D.dedup_first_params(rows).select('file_id', 'rule_ord', 'match_ord', 'line', 'name')
 
 
@@ -422,16 +422,11 @@ _scan_columns('detection_logic', EVERY, [*_PLACE, 'category', 'type', 'method',
 _scan_columns('param_name_value', ['parameters'], [*_PLACE, 'type', 'name', 'match'])
 
 
-def _label_query(name: str, column: str, value) -> None:
-    """A label function over every match of every rule."""
-    def build(spark, d):
-        rows = raw_matches(corpus(spark, d), PATTERN_FAMILIES).groupBy('family', 'rule_ord', 'type').agg(F.count('*').alias('n'))
-        return rows.select('family', 'rule_ord', 'type', 'n', value(spark, rows).alias(column)) if not isinstance(value(spark, rows), DataFrame) else value(spark, rows)
-    QUERIES[name] = build
-    ORACLE[name] = lambda: raw_sql(PATTERN_FAMILIES, f'SELECT family, CAST(ord AS INTEGER) AS rule_ord, label AS type, count(*) AS n, {column} FROM raw GROUP BY ALL')
-
-
-_label_query('technique_of', 'technique', lambda spark, rows: technique_of(F.col('type')))
+@query('technique_of', lambda: raw_sql(PATTERN_FAMILIES, 'SELECT family, CAST(ord AS INTEGER) AS rule_ord, label AS type, count(*) AS n, technique '
+                                       'FROM raw GROUP BY ALL'))
+def _technique(spark, d):
+    rows = raw_matches(corpus(spark, d), PATTERN_FAMILIES).groupBy('family', 'rule_ord', 'type').agg(F.count('*').alias('n'))
+    return rows.withColumn('technique', technique_of(F.col('type')))
 
 
 @query('confidence_of', lambda: raw_sql(PATTERN_FAMILIES, 'SELECT family, CAST(ord AS INTEGER) AS rule_ord, count(*) AS n, confidence FROM raw GROUP BY ALL'))
@@ -685,13 +680,35 @@ def _stream_progress(spark, d):
     return _run_stream(stream_batch_progress(pages), 'complete')
 
 
-@query('analyze')
+@query('analyze', lambda: findings_sql(['api_keys', 'entropy', 'endpoints'], f"""SELECT c.file_id, c.url, CASE WHEN c.file_id % 9 <> 4 THEN length(content) END AS file_size, false AS skipped, coalesce(n_keys, 0) AS n_keys,
+    coalesce(n_endpoints, 0) AS n_endpoints, csp, {O.PROVIDER} AS provider, concat_ws('|', CASE status
+        WHEN 403 THEN 'Access Denied (403 Forbidden). Analyzing returned content.'
+        WHEN 404 THEN 'File not found (404). Analyzing returned content.' WHEN 401 THEN 'Unauthorized (401). Analyzing returned content.'
+        WHEN 503 THEN 'Server returned status 503. Analyzing returned content.' END, CASE WHEN c.file_id % 9 = 4 THEN 'Failed to fetch ' || c.url
+        || '. The file may be too large, inaccessible, or the server timed out.' END) AS errors
+    FROM corpus c JOIN responses r USING (file_id) LEFT JOIN (SELECT * FROM n WHERE file_id % 9 <> 4) USING (file_id)""",
+    f""", {O.RESPONSES.strip()}, n AS (SELECT file_id, count(*) FILTER (category = 'api_keys') AS n_keys,
+    count(*) FILTER (category = 'api_endpoints') AS n_endpoints FROM findings GROUP BY file_id)"""))
 def _analyze(spark, d):
-    """The whole analysis with responses: nested result per file, shown by sizes."""
-    files = corpus(spark, d)
-    analyzed = S.join_root_csp(S.analyze_headers(responses(spark, d)))
+    """A crawl to results, errors included; every ninth body is missing.  Shown by sizes."""
+    bodies = corpus(spark, d).select('file_id', 'url', F.when(F.col('file_id') % 9 != 4, F.col('content')).alias('body'))
+    crawl = responses(spark, d).drop('url', 'body').join(bodies, 'file_id')
+    files, analyzed = files_of(crawl)
     findings = materialize(scan_files(files, with_text=False), 'file_id')
     result = analyze(files, analyzed, findings=findings)
-    return result.select('file_id', 'url', 'file_size', 'skipped', F.size('api_keys').alias('n_keys'),
-                         F.size('api_endpoints').alias('n_endpoints'), F.size('recommendations').alias('n_recommendations'),
-                         F.col('csp_info.raw').alias('csp'), F.col('rate_limit_info.provider').alias('provider'))
+    return result.select('file_id', 'url', F.col('file_size').cast('long').alias('file_size'), 'skipped',
+                         F.size('api_keys').cast('long').alias('n_keys'), F.size('api_endpoints').cast('long').alias('n_endpoints'),
+                         F.col('csp_info.raw').alias('csp'), F.col('rate_limit_info.provider').alias('provider'),
+                         F.coalesce(F.array_join('errors', '|'), F.lit('')).alias('errors'))
+
+
+# expressions with anchors and shorthands, some under labels that built-in rules have too
+CUSTOM = [(r'passphrase\s*=\s*\w+', 'Password', True), (r'^var \w+', 'JWT Token', True), (r'[;,]$', 'Line end', True),
+          (r'\bfunction\b\W', 'Function', True), (r'\D{3}\.io', 'Email Address', True)]
+
+
+@query('scan_custom_rules', lambda: f"""WITH {O.corpus(False)}, {O.matches('m', O._rule_values(custom_rules(CUSTOM)))}
+    SELECT file_id, label AS type, match, line FROM m QUALIFY row_number() OVER (PARTITION BY file_id, line, match, label ORDER BY ord, match_ord) = 1""")
+def _custom(spark, d):
+    """Rules of the user's own."""
+    return scan_files(corpus(spark, d), rules={'custom': custom_rules(CUSTOM)}, with_text=False).select('file_id', 'type', 'match', 'line')

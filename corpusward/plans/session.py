@@ -21,8 +21,3 @@ def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder
-
-
-def checkpoint_folder(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names for checkpoints, if it names one."""
-    return spark.conf.get('spark.checkpoint.dir', None)

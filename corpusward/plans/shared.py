@@ -8,11 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a fresh one only where none is set."""
-    named = spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()
+    """The folder the cluster names in spark.checkpoint.dir.
+
+    Only a session whose executors are threads of this process gets one of its own
+    where none is set; on a cluster a local folder would lose results.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get('spark.checkpoint.dir', None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith('local[') and context.master != 'local':
+            raise ValueError('set spark.checkpoint.dir to a folder that the driver and all executors share')
         named = tempfile.mkdtemp(prefix='corpusward-')
-        spark.sparkContext.setCheckpointDir(named)
+        context.setCheckpointDir(named)
     return named
 
 

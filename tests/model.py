@@ -44,10 +44,10 @@ def endpoint_rows(rules, text):
     seen, rows = set(), []
     for rule, i, m, line in places(rules, text):
         path = m[2] if len(m.groups()) > 1 else m[1]
-        if any(w in path.lower() for w in W.FP_ENDPOINT_WORDS) or (path[:200], line) in seen:
+        if any(w in path.lower() for w in W.FP_ENDPOINT_WORDS) or (path, line) in seen:
             continue
-        seen.add((path[:200], line))
-        rows.append((rule.ord, i, rule.label, path[:200], m[0][:150], line))
+        seen.add((path, line))
+        rows.append((rule.ord, i, rule.label, path, m[0], line))
     return rows
 
 
@@ -57,9 +57,9 @@ def path_rows(rules, text):
         path = m[1]
         if any(w in path.lower() for w in W.FP_PATH_WORDS) or re.match(W.CSS_VALUE, path.strip('\'"'), re.I):
             continue
-        if (path[:200], line, rule.label) not in seen:
-            seen.add((path[:200], line, rule.label))
-            rows.append((rule.ord, i, rule.label, path[:200], m[0][:200], line))
+        if (path, line, rule.label) not in seen:
+            seen.add((path, line, rule.label))
+            rows.append((rule.ord, i, rule.label, path, m[0], line))
     return rows
 
 
@@ -93,8 +93,8 @@ def parameter_rows(rules, text):
             continue
         if value and re.match(W.CSS_VALUE, value.strip('\'"'), re.I):
             continue
-        name = name or shown[:50]
+        name = name or shown
         if (name, line, rule.label) not in seen:
             seen.add((name, line, rule.label))
-            rows.append((rule.ord, i, rule.label, name, shown[:100], line))
+            rows.append((rule.ord, i, rule.label, name, shown, line))
     return rows

@@ -76,4 +76,4 @@ def test_object_rule_is_not_exponential(spark):
 
 
 def test_shorthands_are_spelled_out():
-    assert java_regex(r'[^\w\s]\d') == '(?iud)[^' + java_regex(r'[\w]')[7:-1] + java_regex(r'[\s]')[7:-1] + r']\p{Nd}'
+    assert java_regex(r'[^\w\s]\d') == '(?iumd)[^' + java_regex(r'[\w]')[8:-1] + java_regex(r'[\s]')[8:-1] + r']\p{Nd}'

@@ -1,7 +1,6 @@
 import datetime as dt
 import random
 
-from pyspark.sql import functions as F
 
 from corpusward.streaming.files import FILE_SCHEMA, read_file_stream, stream_batch_progress, stream_scan_files, write_findings
 from corpusward.streaming.limiter import _segments, exempt_trusted, limit_request_stream, limit_requests

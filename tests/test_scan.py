@@ -1,5 +1,8 @@
 import random
 import re
+import warnings
+
+import pytest
 
 from corpusward.catalog import custom_rules, family_rules, words as W
 from corpusward.operators.scan import (PATTERN_FAMILIES, scan_endpoints_legacy, scan_files, scan_patterns_legacy)
@@ -143,3 +146,43 @@ def test_custom_rules(spark, files):
 def test_scan_has_no_shuffle(spark, files):
     plan = scan_files(files('a'))._jdf.queryExecution().executedPlan().toString()
     assert 'Exchange hashpartitioning' not in plan and 'BatchEvalPython' not in plan
+
+
+def test_values_are_not_cut(files):
+    long = 'a' * 230
+    rows = scan_files(files(f'fetch("/{long}1"); fetch("/{long}2"); p = "/{long}3"; q = "/{long}4";'), ['endpoints', 'paths'], with_text=False).collect()
+    assert {r.path for r in rows if r.family == 'endpoints'} >= {f'/{long}1', f'/{long}2'}
+    assert {r.path for r in rows if r.family == 'paths'} >= {f'/{long}3', f'/{long}4'}
+
+
+def test_sinks_of_a_large_file(files):
+    text = 'var a = 1;\n' * 200_000 + 'eval(data);\n'
+    rows = scan_files(files(text), ['sink_calls'], with_text=False).collect()
+    assert [(r.match, r.line) for r in rows] == [('eval', 200_001)]
+
+
+def test_long_line_with_many_findings(files):
+    """Each finding shows its line; the file's row holds the line once."""
+    text = ''.join(f'p="/d{i}/f{i}";' for i in range(12_000))
+    found = scan_files(files(text), ['paths'])
+    n, size = found.selectExpr('count(*)', 'min(length(line_content))').first()
+    assert n >= 12_000 and size == len(text)
+
+
+CUSTOM_TEXT = 'passphrase=abc12\nfoo=1\nx foo=2\nCALL(a)\nend;\n[x] a&&b É1'
+
+
+@pytest.mark.parametrize('label', ['My rule', 'Password', 'JWT Token', 'Email Address', 'Object Parameters', 'Google API Key'])
+def test_custom_rules_do_not_depend_on_labels(files, label):
+    rules = {'custom': custom_rules([(r'passphrase=\w+', label, True)])}
+    assert [r.match for r in scan_files(files(CUSTOM_TEXT), rules=rules, with_text=False).collect()] == ['passphrase=abc12']
+
+
+@pytest.mark.parametrize('expression', [r'^foo=\d+$', r';$', r'\W[a-z]\W', r'\S+\s', r'\D\d', r'\Boo\b', r'[[x]+', r'[&&]+', r'a[&]{2}b', r'[\W]a', r'[^\D]'])
+def test_custom_rules_like_the_standard_library(files, expression):
+    rules = {'custom': custom_rules([(expression, 'r', True)])}
+    found = scan_files(files(CUSTOM_TEXT), rules=rules, with_text=False).collect()
+    with warnings.catch_warnings():
+        warnings.simplefilter('ignore')
+        expected = {(CUSTOM_TEXT[:m.start()].count('\n') + 1, m.group()) for m in re.finditer(expression, CUSTOM_TEXT, re.I | re.M)}
+    assert {(r.line, r.match) for r in found} == expected
