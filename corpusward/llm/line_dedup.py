@@ -7,9 +7,9 @@ bucket, so the order is a table of fixed size) and only the rarest few that a
 similar line must share one of are joined, with filters on length, on the place
 of the shared word and on a parity bitmap.  What remains is compared word by word.
 
-A word's lines first meet the earliest of them only, in groups of bounded size;
-a line found to repeat that one is settled, and only unsettled lines meet all
-earlier lines of the word.  So groups of near copies never meet pair by pair.
+A word's lines first meet the earliest of them and the few before them; a line
+found to repeat one is settled, and of words with many lines only the unsettled
+ones meet all earlier lines.  So groups of near copies never meet pair by pair.
 
 DataFrame expressions only.
 """
@@ -18,10 +18,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACE, free_name, written
+from .common import free_name, written
 
 BUCKETS = 1 << 15
 GROUP = 200_000  # lines of a word that one task may take; more are dealt to several groups
+NEAR = 7  # lines before it in the order that a line meets at once
 
 
 def line_rows(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -32,7 +33,18 @@ def line_rows(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def words(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(line, SPACE), lambda w: w != ''))
+    return F.array_remove(F.array_distinct(F.split(_blanks(line), ' ')), '')
+
+
+def tokens(line: Column) -> Column:
+    """64-bit hashes of the different words."""
+    hashes = F.array_distinct(F.transform(F.split(_blanks(line), ' '), lambda w: F.xxhash64(w)))
+    return F.filter(hashes, lambda t: t != F.xxhash64(F.lit('')))
+
+
+def _blanks(line: Column) -> Column:
+    """The other white-space characters as blanks; splitting at one character needs no expression."""
+    return F.when(line.rlike(r'[\x09-\x0D]'), F.translate(line, '\t\n\x0b\x0c\r', '     ')).otherwise(line)
 
 
 def at_least(part: Column, whole: Column, num: int, den: int) -> Column:
@@ -42,9 +54,19 @@ def at_least(part: Column, whole: Column, num: int, den: int) -> Column:
 def _could_match(n, i, bits, m, j, other_bits, num: int, den: int) -> Column:
     """Length, place and bitmap filters for two lines that share a word at places i and j (from 0) of their orders."""
     most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-    apart = F.bit_count(bits.bitwiseXOR(other_bits))
     return (at_least(n, m, num, den) & at_least(m, n, num, den)
-            & (most * (num + den) >= (n + m) * num) & ((n + m - apart) * (num + den) >= (n + m) * (2 * num)))
+            & (most * (num + den) >= (n + m) * num) & _bits_allow(n, m, F.bit_count(bits.bitwiseXOR(other_bits)), num, den))
+
+
+def _bits_allow(n: Column, m: Column, apart: Column, num: int, den: int) -> Column:
+    """Sets differ in at least as many words as their parity bitmaps in bits."""
+    return (n + m - apart) * (num + den) >= (n + m) * (2 * num)
+
+
+def parity(hashes: Column, shift: int) -> Column:
+    """Bitmap of 64 bits in which every word turns one over."""
+    return F.aggregate(hashes, F.lit(0).cast('long'), lambda acc, t: acc.bitwiseXOR(F.call_function(
+        'shiftleft', F.lit(1).cast('long'), (F.shiftright(t, shift).bitwiseAND(F.lit(63))).cast('int'))))
 
 
 def distinct_lines(rows: DataFrame) -> DataFrame:
@@ -55,29 +77,44 @@ def distinct_lines(rows: DataFrame) -> DataFrame:
 
 
 def postings(sets: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
-    """(token, salt, salts, sid, n, i, bits): the rarest words of each line that a similar line must share one of."""
-    token = F.explode(F.transform(words(F.col('line')), lambda w: F.xxhash64(w)))
-    counts = dict(sets.select(token.alias('t')).groupBy(F.pmod('t', F.lit(BUCKETS)).alias('k')).count().collect())  # BUCKETS rows
+    """(token, salt, split, sid, n, i, bits): the rarest words of each line that a similar line must share one of.
+
+    A token is its count, up to 32767, before 48 bits of its hash, so its order is that of the numbers.
+    """
+    counted = sets.select(F.explode(F.split(_blanks(F.col('line')), ' ')).alias('w'))
+    counts = dict(counted.groupBy(F.pmod(F.xxhash64('w'), F.lit(BUCKETS)).alias('k')).count().collect())  # BUCKETS rows
     table = F.split(F.lit(','.join(str(min(counts.get(k, 0), 2_000_000_000)) for k in range(BUCKETS))), ',').cast('array<int>')
-    rows = sets.select('sid', F.transform(words(F.col('line')), lambda w: F.xxhash64(w)).alias('tokens'))
-    n = F.size('tokens')
-    rows = rows.where(n >= min_words).select('sid', n.alias('n'), F.aggregate(
-        'tokens', F.lit(0).cast('long'), lambda acc, t: acc.bitwiseXOR(
-            F.call_function('shiftleft', F.lit(1).cast('long'), F.pmod(F.call_function('shiftright', t, F.lit(20)), F.lit(64)).cast('int')))).alias('bits'),
-        F.sort_array(F.transform('tokens', lambda t: F.struct(
-            F.get(table, F.pmod(t, F.lit(BUCKETS)).cast('int')).alias('c'), t.alias('t')))).alias('ranked'))
+    rows = sets.select('sid', tokens(F.col('line')).alias('tokens')).where(F.size('tokens') >= min_words)
+    rows = rows.select('sid', F.size('tokens').alias('n'), parity(F.col('tokens'), 20).alias('bits'), F.sort_array(F.transform(
+        'tokens', lambda t: F.shiftleft(F.least(F.get(table, F.pmod(t, F.lit(BUCKETS)).cast('int')), F.lit(32767)).cast('long'), 48)
+        .bitwiseOR(t.bitwiseAND(F.lit(0xFFFFFFFFFFFF))))).alias('ranked'))
     must = F.floor((F.col('n') * num + (den - 1)) / den).cast('int')  # shared words at least, were the other line as long
-    rows = rows.select('sid', 'n', 'bits', F.posexplode(F.slice('ranked', F.lit(1), F.col('n') - must + 1)).alias('i', 'r'))
-    salts = F.floor(F.col('r.c') / GROUP) + 1
-    return rows.select(F.col('r.t').alias('token'), F.pmod('sid', salts).alias('salt'), (salts > 1).alias('split'), 'sid', 'n', 'i', 'bits')
+    rows = rows.select('sid', 'n', 'bits', F.posexplode(F.slice('ranked', F.lit(1), F.col('n') - must + 1)).alias('i', 'token'))
+    # a token of the highest count may be any hot one: dealt to so many groups that none is large
+    most = max([0, *counts.values()])
+    salts = F.when(F.shiftright('token', 48) == 32767, F.lit(most // GROUP + 1)).otherwise(F.lit(1))
+    return rows.select('token', F.pmod('sid', salts).cast('int').alias('salt'), (salts > 1).alias('split'), 'sid', 'n', 'i', 'bits')
+
+
+def _part(hashes: str, k: int) -> Column:
+    """The hashes of the k-th of eight bitmaps."""
+    return F.filter(hashes, lambda t: F.shiftright(t, 26).bitwiseAND(F.lit(7)) == k)
 
 
 def similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """sid of the pairs (sid, other) whose lines are similar."""
     pairs = written(pairs.select('sid', 'other').distinct(), 'pairs')
     wanted = pairs.select('sid').unionByName(pairs.select(F.col('other').alias('sid'))).distinct()
-    lines = written(sets.select('sid', 'line').join(wanted, 'sid', 'left_semi'), 'compared')
-    both = pairs.join(lines, 'sid').join(lines.withColumnsRenamed({'sid': 'other', 'line': 'other_line'}), 'other')
+    hashes = tokens(F.col('line'))
+    lines = written(sets.join(wanted, 'sid', 'left_semi').select('sid', 'line', hashes.alias('h')).select(
+        'sid', 'line', F.size('h').alias('n'), *[parity(_part('h', k), 20).alias(f'b{k}') for k in range(8)]), 'compared')
+    # bitmaps of 512 bits first: they are small beside the lines
+    maps = lines.drop('line')
+    narrow = pairs.join(maps, 'sid').join(maps.withColumnsRenamed({c: f'o_{c}' for c in maps.columns}), F.col('other') == F.col('o_sid'))
+    apart = sum((F.bit_count(F.col(f'b{k}').bitwiseXOR(F.col(f'o_b{k}'))) for k in range(1, 8)), F.bit_count(F.col('b0').bitwiseXOR(F.col('o_b0'))))
+    narrow = narrow.where(_bits_allow(F.col('n'), F.col('o_n'), apart, num, den)).select('sid', 'other')
+    texts = lines.select('sid', 'line')
+    both = narrow.join(texts, 'sid').join(texts.withColumnsRenamed({'sid': 'other', 'line': 'other_line'}), 'other')
     shared = F.size(F.array_intersect('w', 'v'))
     return (both.select('sid', words(F.col('line')).alias('w'), words(F.col('other_line')).alias('v'))
             .where(at_least(shared, F.size('w') + F.size('v') - shared, num, den)).select('sid').distinct())
@@ -87,18 +124,25 @@ def near_repeats(sets: DataFrame, num: int, den: int, min_words: int) -> DataFra
     """sid of the different lines that an earlier different line is similar to."""
     group = Window.partitionBy('token', 'salt')
     met = postings(sets, num, den, min_words).withColumns({
-        'size': F.count('*').over(group), 'p': F.min(F.struct('sid', 'n', 'i', 'bits')).over(group)})
-    met = met.where('size > 1 or split').withColumn('other', F.when(
-        (F.col('sid') > F.col('p.sid')) & _could_match(*(F.col(c) for c in ('n', 'i', 'bits', 'p.n', 'p.i', 'p.bits')), num, den),
-        F.col('p.sid')))
-    met = written(met.drop('p', 'salt'), 'postings')
-    settled = written(similar(met.where('other is not null'), sets, num, den), 'settled')
-    # groups of two have met; the others' unsettled lines meet all earlier lines of the word
-    left = met.where('size > 2 or split').join(settled, 'sid', 'left_anti')
-    right = met.where('size > 2 or split').select('token', *(F.col(c).alias(f'o_{c}') for c in ('sid', 'n', 'i', 'bits')))
+        'size': F.count('*').over(group), 'first': F.min(F.struct('sid', 'n', 'i', 'bits')).over(group),
+        **{f'before{k}': F.lag(F.struct('sid', 'n', 'i', 'bits'), k).over(group.orderBy('sid')) for k in range(1, NEAR + 1)}})
+
+    def fits(p: Column) -> Column:
+        return _could_match(*(F.col(c) for c in ('n', 'i', 'bits')), p['n'], p['i'], p['bits'], num, den)
+
+    hub = F.when((F.col('size') > NEAR + 1) & (F.col('first.sid') < F.col('sid')) & fits(F.col('first')), F.col('first.sid'))
+    near = [F.when(fits(F.col(f'before{k}')), F.col(f'before{k}.sid')) for k in range(1, NEAR + 1)]
+    met = met.where('size > 1 or split').withColumn('others', F.array_distinct(F.array_compact(F.array(*near, hub))))
+    met = met.withColumn('large', (F.col('size') > NEAR + 1) | F.col('split')).where((F.size('others') > 0) | F.col('large'))
+    met = written(met.select('token', 'sid', 'n', 'i', 'bits', 'others', 'large'), 'postings')
+    settled = written(similar(met.select('sid', F.explode('others').alias('other')), sets, num, den), 'settled')
+    # groups of a few have all met; in large ones, unsettled lines meet all earlier lines of the word
+    large = met.where('large')
+    left = large.join(settled, 'sid', 'left_anti')
+    right = large.select('token', *(F.col(c).alias(f'o_{c}') for c in ('sid', 'n', 'i', 'bits')))
     pairs = left.join(right, (left['token'] == right['token']) & (F.col('sid') > F.col('o_sid'))
-                      & (F.coalesce('other', F.lit(-1)) != F.col('o_sid'))
-                      & _could_match(*(F.col(c) for c in ('n', 'i', 'bits', 'o_n', 'o_i', 'o_bits')), num, den))
+                      & _could_match(*(F.col(c) for c in ('n', 'i', 'bits', 'o_n', 'o_i', 'o_bits')), num, den)
+                      & ~F.array_contains('others', F.col('o_sid')))
     rest = similar(pairs.select('sid', F.col('o_sid').alias('other')), sets, num, den)
     return settled.unionByName(rest).distinct()
 
