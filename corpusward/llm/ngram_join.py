@@ -5,7 +5,9 @@ Two sets with Jaccard similarity num / den or more share a token among the first
 n - ceil(n * num / den) + 1 of each, under any one order of all tokens.  Three
 orders are used, rare tokens first in all of them, with ties and near ties
 shuffled differently: candidates meet under the first order and must also share
-such a token under the others before the sets themselves are compared.
+such a token under the others before the sets themselves are compared.  A parity
+bitmap of each set, which differs in at most as many bits as the sets in tokens,
+rules out further pairs.
 
 Only tokens with a low hash come first in the orders, so that frequencies are
 counted of a fixed share of the tokens; sets with too few of those go on with
@@ -27,6 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import components, written
 
 ORDERS = 3
+BITS = 512
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -52,33 +55,48 @@ def must_share(n: Column, num: int, den: int) -> Column:
     return n - F.floor((n * num + (den - 1)) / den).cast('int') + 1
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Bitmap in which every token turns one bit over, as eight 64-bit numbers."""
+    odd = np.bincount((tokens >> np.uint64(20) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_match(n: Column, bits: Column, m: Column, other: Column, num: int, den: int) -> Column:
+    """Length and bitmap filters."""
+    apart = sum((F.bit_count(F.get(bits, F.lit(i)).bitwiseXOR(F.get(other, F.lit(i)))) for i in range(1, BITS // 64)),
+                F.bit_count(F.get(bits, F.lit(0)).bitwiseXOR(F.get(other, F.lit(0)))))
+    return (n * den >= m * num) & (m * den >= n * num) & ((n + m - apart) * (num + den) >= (n + m) * (2 * num))
+
+
 def _profiles(docs: DataFrame, text: str, key: str, k: int, num: int, den: int) -> DataFrame:
-    """(doc, n, sig, low): set size, digest of the set, and the tokens that can come first in the orders."""
+    """(doc, n, sig, low, bits): set size, digest, the tokens that can come first in the orders, and the parity bitmap."""
     limit = np.uint64(min(2 ** 64 - 1, int(2 ** 64 * 1.6 * (den - num) / den)))
 
     def run(texts: pa.Array) -> pa.Array:
-        sizes, marks, low = [], [], []
+        sizes, marks, low, bits = [], [], [], []
         for t in texts:
             s = shingles(t.as_py(), k)
             n = len(s)
             sizes.append(n)
             marks.append(xxhash.xxh3_128_digest(s.tobytes()))
+            bits.append(parity(s))
             low.append(s[:max(n - (n * num + den - 1) // den + 1, int(np.searchsorted(s, limit)))].view(np.int64) if n else s.view(np.int64))
         offsets = np.r_[0, np.cumsum([len(a) for a in low])].astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*low, np.empty(0, np.int64)])))
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(marks, pa.binary()), lists], ['n', 'sig', 'low'])
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(marks, pa.binary()), lists,
+                                           pa.array(bits, pa.list_(pa.int64()))], ['n', 'sig', 'low', 'bits'])
 
     # marked so, the function is evaluated once whatever reads its result
-    profile = F.arrow_udf(run, 'struct<n: int, sig: binary, low: array<bigint>>').asNondeterministic()
-    return docs.select(F.col(key).alias('doc'), profile(F.col(text)).alias('s')).select('doc', 's.n', 's.sig', 's.low')
+    profile = F.arrow_udf(run, 'struct<n: int, sig: binary, low: array<bigint>, bits: array<bigint>>').asNondeterministic()
+    return docs.select(F.col(key).alias('doc'), profile(F.col(text)).alias('s')).select('doc', 's.n', 's.sig', 's.low', 's.bits')
 
 
 def _fronts(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(cid, n, own, front0, front1, front2) of the classes that have a front token which another class has."""
+    """(cid, n, own, bits, front0, front1, front2) of the classes that have a front token which another class has."""
     tokens = classes.select('cid', F.explode('low').alias('token'))
     seen = tokens.groupBy('token').agg(F.count('*').alias('c')).where('c > 1')
     hits = tokens.join(seen, 'token').groupBy('cid').agg(F.collect_list(F.struct('c', 'token')).alias('hits'))
-    rows = hits.join(classes.select('cid', 'n', F.size('low').alias('n_low')), 'cid')
+    rows = hits.join(classes.select('cid', 'n', 'bits', F.size('low').alias('n_low')), 'cid')
     own = F.col('n_low') - F.size('hits')  # tokens of no other class come first
     room = must_share(F.col('n'), num, den) - own
     rows = rows.where(room > 0)
@@ -90,15 +108,17 @@ def _fronts(classes: DataFrame, num: int, den: int) -> DataFrame:
         ranked = F.sort_array(F.transform('hits', place))
         return F.transform(F.slice(ranked, F.lit(1), room), lambda r: r['token'])
 
-    return rows.select('cid', 'n', own.alias('own'), *[order(i).alias(f'front{i}') for i in range(ORDERS)])
+    return rows.select('cid', 'n', own.alias('own'), 'bits', *[order(i).alias(f'front{i}') for i in range(ORDERS)])
 
 
 def _links(pairs: DataFrame, fronts: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str, k: int,
            num: int, den: int) -> DataFrame:
-    """(a, b) of the pairs that pass the other orders and are similar."""
+    """(a, b) of the pairs that pass the bitmaps and the other orders and are similar."""
     pairs = pairs.distinct()
     for side in 'ab':
-        pairs = pairs.join(fronts.select(F.col('cid').alias(side), *[F.col(f'front{i}').alias(f'{side}{i}') for i in range(1, ORDERS)]), side)
+        own = [F.col('n').alias(f'{side}n'), F.col('bits').alias(f'{side}bits'), *[F.col(f'front{i}').alias(f'{side}{i}') for i in range(1, ORDERS)]]
+        pairs = pairs.join(fronts.select(F.col('cid').alias(side), *own), side)
+    pairs = pairs.where(may_match(F.col('an'), F.col('abits'), F.col('bn'), F.col('bbits'), num, den))
     for i in range(1, ORDERS):
         pairs = pairs.where(F.arrays_overlap(f'a{i}', f'b{i}'))
     pairs = written(pairs.select('a', 'b'), 'pairs')
@@ -138,12 +158,18 @@ def linked_classes(classes: DataFrame, docs: DataFrame, text: str, key: str, k:
     mixed = (named.join(hubs.where('size > 2').select('token', F.col('hub.cid').alias('hub')), 'token'))
     hub_label = mixed.where('cid = hub').select('token', F.col('label').alias('hub_label'))
     mixed = mixed.join(hub_label, 'token')
-    strays = mixed.where('label <> hub_label').select('token', F.col('cid').alias('x'), F.col('n').alias('xn'), F.col('label').alias('xl'))
+    mixed = mixed.join(fronts.select('cid', 'bits', 'front0'), 'cid')
+    strays = mixed.where('label <> hub_label').select(
+        'token', *[F.col(c).alias(a) for c, a in (('cid', 'x'), ('n', 'xn'), ('label', 'xl'), ('bits', 'xbits'), ('front0', 'xfront'))])
     # only the tokens that have strays, and not the hub, which all have met
-    rest = mixed.where('cid <> hub').join(strays.select('token').distinct(), 'token', 'left_semi').select('token', 'cid', 'n', 'label', 'hub_label')
-    second = (strays.join(rest, 'token').where((F.col('xl') != F.col('label')) & lengths(F.col('xn'), F.col('n')))
-              # two strays meet once
-              .where((F.col('label') == F.col('hub_label')) | (F.col('x') < F.col('cid')))
+    rest = mixed.where('cid <> hub').join(strays.select('token').distinct(), 'token', 'left_semi')
+    rest = rest.select(F.col('token').alias('t'), 'cid', 'n', 'label', 'hub_label', 'bits', 'front0')
+    # all in the join's condition: a pair that cannot be similar is no row, the others are one, at their first common token
+    meet = ((F.col('token') == F.col('t')) & (F.col('xl') != F.col('label'))
+            & ((F.col('label') == F.col('hub_label')) | (F.col('x') < F.col('cid')))  # two strays meet once
+            & may_match(F.col('xn'), F.col('xbits'), F.col('n'), F.col('bits'), num, den)
+            & (F.array_min(F.array_intersect('xfront', 'front0')) == F.col('token')))
+    second = (strays.join(rest, meet)
               .select(F.least('x', 'cid').alias('a'), F.greatest('x', 'cid').alias('b')))
     return stars.unionByName(_links(second, fronts, classes, docs, text, key, k, num, den))
 
@@ -160,8 +186,8 @@ def link_documents(docs: DataFrame, text: str = 'text', key: str = 'doc_id', k:
     """
     profiles = written(_profiles(docs, text, key, k, num, den), 'profiles')
     usable = profiles.where('n > 0 and doc is not null')
-    classes = usable.groupBy('sig', 'n').agg(F.min(F.struct('doc', 'low')).alias('f')).select(
-        'sig', 'n', F.col('f.doc').alias('rep'), F.col('f.low').alias('low'))
+    classes = usable.groupBy('sig', 'n').agg(F.min(F.struct('doc', 'low', 'bits')).alias('f')).select(
+        'sig', 'n', F.col('f.doc').alias('rep'), F.col('f.low').alias('low'), F.col('f.bits').alias('bits'))
     classes = written(classes.withColumn('cid', F.monotonically_increasing_id()), 'classes')
     links = linked_classes(classes, docs, text, key, k, num, den)
     name = classes.select('cid', 'rep')
