@@ -12,7 +12,7 @@ ORDER = ['part', 'rule_ord', 'match_ord']
 CATEGORIES = ['api_keys', 'credentials', 'emails', 'interesting_comments', 'xss_vulnerabilities', 'xss_functions',
               'api_endpoints', 'parameters', 'paths_directories', 'server_info_findings', 'libraries',
               'obfuscation_findings']
-# View name -> category; views not listed here have the category's own name.
+# View name -> category; views not listed here have the category's own name.  ``all`` and ``errors`` are views too.
 VIEWS = {'xss': 'xss_vulnerabilities', 'paths': 'paths_directories', 'comments': 'interesting_comments',
          'server_info': 'server_info_findings', 'obfuscation': 'obfuscation_findings'}
 TITLES = {'api_keys': 'API Keys', 'credentials': 'Credentials', 'emails': 'Emails',
@@ -42,10 +42,11 @@ def agg_totals(findings: DataFrame, recommendations: DataFrame | None = None) ->
     """Totals over a batch, one row."""
     names = {'api_keys': 'api_keys', 'credentials': 'credentials', 'emails': 'emails', 'xss': 'xss_vulnerabilities',
              'endpoints': 'api_endpoints'}
-    totals = findings.agg(*[F.count_if(_in(c)).alias(n) for n, c in names.items()])
-    if recommendations is None:
-        return totals
-    return totals.crossJoin(F.broadcast(recommendations.agg(F.count('*').alias('recommendations'))))  # one row each
+    rows = findings.select('category')
+    if recommendations is not None:
+        names['recommendations'] = 'recommendations'
+        rows = rows.unionByName(recommendations.select(F.lit('recommendations').alias('category')))
+    return rows.agg(*[F.count_if(_in(c)).alias(n) for n, c in names.items()])
 
 
 def agg_file_summary(files: DataFrame, findings: DataFrame) -> DataFrame:

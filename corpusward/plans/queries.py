@@ -7,6 +7,7 @@ that returns the SQL.  Both sides read whole tables and whole texts.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -468,15 +469,17 @@ def _html_gate(spark, d):
     return corpus(spark, d).where(F.contains(fold_case(F.col('content')), F.lit('<script'))).select('file_id')
 
 
-VIEW_FAMILIES = ['paths', 'script_refs', 'libraries', 'credentials']
+_VIEWS = ['all', *[next((v for v, c in T.VIEWS.items() if c == name), name) for name in T.CATEGORIES]]
 
 
-@query('filter_by_category', lambda: findings_sql(VIEW_FAMILIES, "SELECT category, file_id, part, rule_ord, match_ord, match FROM findings "
-                                                  "WHERE category IN ('paths_directories', 'libraries')"))
+@query('filter_by_category', lambda: findings_sql(EVERY, f"""SELECT view, category, file_id, part, rule_ord, match_ord, match
+    FROM findings JOIN (VALUES {', '.join(f"('{v}', '{T.VIEWS.get(v, v)}')" for v in _VIEWS)}) AS v(view, shown) ON shown IN ('all', category)"""))
 def _by_category(spark, d):
-    found = scan_files(corpus(spark, d), VIEW_FAMILIES, with_text=False)
-    views = [T.filter_by_category(found, v) for v in ('paths', 'libraries')]
-    return views[0].unionByName(views[1]).select('category', 'file_id', 'part', 'rule_ord', 'match_ord', 'match')
+    """Every view of the findings."""
+    found = materialize(scan_files(corpus(spark, d), EVERY, with_text=False).select(
+        'category', 'file_id', 'part', 'rule_ord', 'match_ord', 'match'))
+    views = [T.filter_by_category(found, v).withColumn('view', F.lit(v)) for v in _VIEWS]
+    return reduce(DataFrame.unionByName, views)
 
 
 @query('drop_null_items', "SELECT page_id, len([x FOR x IN [nullif(regexp_extract(url, '[?](.*)$', 1), ''), url, "

@@ -42,10 +42,12 @@ def _count(category: str) -> str:
     return f"count(*) FILTER (category = '{category}')"
 
 
-@query('agg_totals', lambda: findings_sql(TOTALS, f"""SELECT {_count('api_keys')} AS api_keys, {_count('credentials')} AS credentials,
-    {_count('emails')} AS emails, {_count('xss_vulnerabilities')} AS xss, {_count('api_endpoints')} AS endpoints FROM findings"""))
+@query('agg_totals', lambda: findings_sql(TOTALS, f"""SELECT (SELECT count(*) FROM recs) AS recommendations, {_count('api_keys')} AS api_keys, {_count('credentials')} AS credentials,
+    {_count('emails')} AS emails, {_count('xss_vulnerabilities')} AS xss, {_count('api_endpoints')} AS endpoints FROM findings""",
+    _recommendation_ctes()))
 def _totals(spark, d):
-    return T.agg_totals(found(spark, d, TOTALS))
+    findings = shared_findings(spark, d, TOTALS)
+    return T.agg_totals(findings, _advice(spark, d, findings))
 
 
 _SUMMARY_SQL = f"""SELECT c.file_id, c.url, {_count('api_keys')} AS n_keys, {_count('credentials')} AS n_credentials,
