@@ -8,6 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words of the contracts: everything but the six ASCII white-space characters.
@@ -57,6 +59,19 @@ def fold(doc_id: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast('string')) % n, F.lit(-1))
 
 
+def gathered(frame: DataFrame) -> list[dict]:
+    """Rows of a small frame; arrays stay slices of one numpy array instead of lists of Python numbers."""
+    table, columns = frame.toArrow(), {}
+    for name in table.column_names:
+        column = table[name].combine_chunks()
+        if pa.types.is_list(column.type):
+            flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+            columns[name] = [flat[int(a):int(b)] for a, b in zip(np.r_[0, ends], ends)]
+        else:
+            columns[name] = column.to_pylist()
+    return [dict(zip(columns, row)) for row in zip(*columns.values())]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f'{sf_dir}/documents.parquet')
 

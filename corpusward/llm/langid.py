@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import fold, free_name
+from .common import fold, free_name, gathered
 
 BUCKETS = 1 << 14
 SIZES = (2, 3, 4)
@@ -173,7 +173,7 @@ def identify(docs: DataFrame, text: str = 'text', label: str = 'lang', key: str
     """
     docs = docs.drop('held_out', 'lang_pred', 'score', 'rejected')
     part = fold(key, folds)
-    rows = sample(docs.where((part != held_fold) & (part >= 0)), text, label, key, per_language).collect()  # bounded
+    rows = gathered(sample(docs.where((part != held_fold) & (part >= 0)), text, label, key, per_language))  # bounded
     found, = free_name(docs, '_found')
     return (docs.withColumn(found, predicted(F.col(text), fit(rows)))
             .withColumns({'held_out': part == held_fold, 'lang_pred': F.col(found)['lang'],

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import free_name
+from .common import free_name, gathered
 
 BUCKETS = 1 << 18
 GRADES = 3
@@ -90,7 +90,7 @@ def fit(rows: list, ridge: float = 1.0, steps: int = 250, min_rows: int = 3) ->
     if not toxic.any() or toxic.all():
         return None
     # one order for the rows, whatever order they came in
-    rows = sorted(rows, key=lambda r: (r['toxic'], len(r['ids']), list(r['ids'][:50])))
+    rows = sorted(rows, key=lambda r: (r['toxic'], len(r['ids']), r['ids'][:50].tolist()))
     toxic = np.array([r['toxic'] for r in rows], bool)
     ids = [np.asarray(r['ids'], np.int64) for r in rows]
     of = [np.asarray(r['of'], np.int64) for r in rows]
@@ -163,7 +163,7 @@ def grade_toxicity(docs: DataFrame, labels: DataFrame, text: str = 'text', key:
     Without labels of both kinds nothing is toxic.
     """
     docs = docs.drop('severity', 'grade', 'toxic_chance', 'toxic')
-    model = fit(sample(docs, labels, text, key, sample_rows).collect())  # bounded by sample_rows
+    model = fit(gathered(sample(docs, labels, text, key, sample_rows)))  # bounded by sample_rows
     if model is None:
         return docs.withColumns({'severity': F.lit(0.0), 'grade': F.lit(0), 'toxic_chance': F.lit(0.0), 'toxic': F.lit(False)})
     found, = free_name(docs, '_found')

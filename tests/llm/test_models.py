@@ -171,7 +171,7 @@ def test_grades_follow_the_vocabulary():
     def row(toxic, bad):
         words = [f'w{chr(97 + rng.randint(0, 25))}{chr(97 + rng.randint(0, 11))}' for _ in range(30)] + rng.sample(vile, bad)
         found = [toxicity.buckets(w) for w in sorted(set(words))]
-        return {'toxic': toxic, 'ids': [i for b in found for i in b], 'of': [k for k, b in enumerate(found) for _ in b]}
+        return {'toxic': toxic, 'ids': np.array([i for b in found for i in b]), 'of': np.array([k for k, b in enumerate(found) for _ in b])}
 
     model = toxicity.fit([row(0, 0) for _ in range(300)] + [row(1, n) for n in (1, 2, 4, 5, 8, 9) for _ in range(50)])
     severity = [model.chances(' '.join(vile[:n])).sum() for n in (0, 1, 4, 9)]
