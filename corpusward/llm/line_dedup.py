@@ -71,9 +71,11 @@ def parity(hashes: Column, shift: int) -> Column:
 
 def distinct_lines(rows: DataFrame) -> DataFrame:
     """Different lines with a number in the order of their first places: (sid, a, b, first, line)."""
-    first = rows.groupBy('a', 'b').agg(F.min(F.struct('doc', 'line_no', 'line')).alias('f'))
-    ordered = first.select('a', 'b', F.struct('f.doc', 'f.line_no').alias('first'), F.col('f.line').alias('line')).orderBy('first')
-    return written(ordered.withColumn('sid', F.monotonically_increasing_id()), 'lines')
+    first = rows.groupBy('a', 'b').agg(F.min(F.struct('doc', 'line_no')).alias('first'))
+    numbered = written(first.orderBy('first').withColumn('sid', F.monotonically_increasing_id()), 'numbers')
+    # the text is moved once, after the numbers are given; equal lines are put together on the way
+    texts = rows.groupBy('a', 'b').agg(F.first('line').alias('line'))
+    return written(numbered.join(texts, ['a', 'b']), 'lines')
 
 
 def postings(sets: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
