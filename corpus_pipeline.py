@@ -34,8 +34,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier line is similar to; those that lose all their words go."""
-    done = dedup_lines(docs)
+    """Documents without the lines, however short, that an earlier line is similar to; those that lose all their words go."""
+    done = dedup_lines(docs, min_words=1)
     done = done.where((F.col('n_removed') == 0) | F.col('text').rlike(r'[^\x20\x09-\x0D]'))
     if 'n_chars' in docs.columns:
         done = done.withColumn('n_chars', F.when(F.col('n_removed') > 0, F.length('text').cast('long')).otherwise(F.col('n_chars')))

@@ -99,8 +99,8 @@ def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without its repeated lines, as digest and line numbers."""
-    done = dedup_lines(documents(spark, sf_dir).select('doc_id', 'text'))
+    """Every document without its repeated lines, however short, as digest and line numbers."""
+    done = dedup_lines(documents(spark, sf_dir).select('doc_id', 'text'), min_words=1)
     return done.select('doc_id', 'n_lines', 'n_removed', F.array_join(F.col('removed').cast('array<string>'), ',').alias('removed'),
                        F.sha2(F.coalesce('text', F.lit('')), 256).alias('text_sha256'))
 

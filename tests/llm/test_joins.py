@@ -115,6 +115,24 @@ def test_line_dedup(documents, seed):
     assert found.count() == len(texts) and dedup_lines(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize('seed', [1, 2])
+def test_line_dedup_of_short_lines(spark, documents, tmp_path, seed):
+    from corpus_pipeline import drop_repeated_lines
+    from corpusward.llm.queries import QUERIES
+    rng = random.Random(seed)
+    pool = [' '.join(rng.choice('abcdefgh') for _ in range(rng.randint(1, 6))) for _ in range(120)]
+    pool += ['Les.', 'All rights reserved.', ' Les. ', 'Les.\tLes.', 'reserved. All  rights', 'p q r s', 's q p r t', '', ' \t', *['hot ' + w for w in 'ijklmnopqrstu']]
+    texts = ['\n'.join(rng.choice(pool) for _ in range(rng.randint(1, 8))) for _ in range(60)] + [None, '', 'Les.', 'Les.\nown words']
+    removed = without_repeats(texts, least=1)
+    left = ['\n'.join(x for k, x in enumerate(t.split('\n')) if k not in removed[d]) if d in removed else t for d, t in enumerate(texts)]
+    docs = documents(*texts)
+    docs.write.parquet(f'{tmp_path}/documents.parquet')
+    found = {r['doc_id']: r['removed'] for r in QUERIES['op8_line_dedup'](spark, str(tmp_path)).collect()}
+    assert found == {d: ','.join(map(str, removed.get(d, []))) for d in range(len(texts))}
+    kept = {(r['doc_id'], r['text']) for r in drop_repeated_lines(spark, docs, str(tmp_path)).collect()}
+    assert kept == {(d, t) for d, t in enumerate(left) if d not in removed or SPACE.sub('', t)}
+
+
 def test_line_dedup_is_native(documents):
     plan = dedup_lines(documents('a b c d e\nf'))._jdf.queryExecution().toString()
     assert not re.search('Python|Pandas|Arrow', plan)
