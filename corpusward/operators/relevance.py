@@ -35,14 +35,21 @@ def train_relevance_model(spark: SparkSession) -> PipelineModel:
     return Pipeline(stages=stages).fit(samples)
 
 
-def score_relevance(files: DataFrame, model: PipelineModel | None = None) -> DataFrame:
-    """Adds ``relevant`` and ``relevance_score``; without a model every file is relevant."""
+def score_relevance(files: DataFrame, model: PipelineModel | None = None, size_limits: bool = True) -> DataFrame:
+    """Adds ``relevant`` and ``relevance_score``; without a model every file is relevant.
+
+    With ``size_limits`` the size decides first, as in ``heuristic_relevance``;
+    else the model decides every file that is not empty.
+    """
     if model is None:
         return files.withColumns({'relevant': F.lit(True), 'relevance_score': F.lit(1.0)})
     scored = model.transform(files)
     margin = vector_to_array('rawPrediction')[1]
     score = F.when(F.coalesce(F.length('content'), F.lit(0)) == 0, F.lit(1.0)).otherwise(1 / (1 + F.exp(-margin)))
-    return scored.select(*files.columns, heuristic_relevance(F.col('content'), F.col('prediction') == 1.0).alias('relevant'),
+    predicted = F.col('prediction') == 1.0
+    relevant = heuristic_relevance(F.col('content'), predicted) if size_limits else (
+        F.when(F.coalesce(F.length('content'), F.lit(0)) == 0, F.lit(True)).otherwise(predicted))
+    return scored.select(*files.columns, relevant.alias('relevant'),
                          score.alias('relevance_score'))
 
 

@@ -32,13 +32,15 @@ def link_findings(findings: DataFrame) -> DataFrame:
     return findings.where(F.col('category') != 'api_keys').unionByName(linked, allowMissingColumns=True)
 
 
-def analyze(files: DataFrame, analyzed_responses: DataFrame | None = None, model=None, findings: DataFrame | None = None) -> DataFrame:
+def analyze(files: DataFrame, analyzed_responses: DataFrame | None = None, model=None, findings: DataFrame | None = None,
+            size_limits: bool = True) -> DataFrame:
     """Nested results per file with header columns, errors and recommendations.
 
     Pass ``findings`` read back from a written table to keep the scan from being
     repeated by the several consumers; on large inputs do write it first.
+    ``size_limits=False`` lets the model decide files of any size.
     """
-    scored = gate_skipped_files(score_relevance(files, model))
+    scored = gate_skipped_files(score_relevance(files, model, size_limits))
     relevant = scored.where(~F.col('skipped')).select('file_id', 'url', 'content')
     if findings is None:
         found = scan_files(relevant)

@@ -583,14 +583,14 @@ def _relevance(spark, d):
 @query('score_relevance')
 def _score(spark, d):
     """With the trained model; hash seed and solver differ from other libraries, so only rows compare."""
-    return V.score_relevance(corpus(spark, d), V.train_relevance_model(spark)).select('file_id', 'relevant', 'relevance_score')
+    return V.score_relevance(corpus(spark, d), V.train_relevance_model(spark), size_limits=False).select('file_id', 'relevant', 'relevance_score')
 
 
 @query('train_relevance_model')
 def _train(spark, d):
     """Share of documents per source the trained model takes for relevant."""
     files = documents(spark, d).select('doc_id', 'source', F.col('text').alias('content'))
-    scored = V.score_relevance(files, V.train_relevance_model(spark))
+    scored = V.score_relevance(files, V.train_relevance_model(spark), size_limits=False)
     return scored.groupBy('source').agg(F.count('*').alias('n'), F.count_if('relevant').alias('n_relevant'))
 
 
