@@ -17,9 +17,11 @@ SPACE = r'[\x20\x09-\x0D]+'
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
-    named = spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()
+    """The folder the cluster names in spark.checkpoint.dir; one of our own only where it is unset and all executors are threads of this process."""
+    master, named = spark.sparkContext.master, spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not master.startswith('local[') and master != 'local':
+            raise ValueError('set spark.checkpoint.dir to a folder that the driver and all executors share')
         named = tempfile.mkdtemp(prefix='corpusward-')
         spark.sparkContext.setCheckpointDir(named)
     return named
