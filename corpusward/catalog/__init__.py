@@ -12,6 +12,7 @@ from ..functions.labels import confidence_of, technique_of
 from ..functions.regex import java_regex
 from . import rules as R
 from . import words as W
+from .compiler import Compiled, compiled
 from .prefilter import NEEDS, SHAPES
 
 # Category of the findings table each rule family feeds.
@@ -81,6 +82,8 @@ class Rule:
     severity: str | None
     needs: tuple = ()
     shape: str | None = None
+    # groups are taken where the rule matched in the file: it may look beyond its match
+    own: bool = False
 
     @property
     def groups(self) -> int:
@@ -121,9 +124,29 @@ def family_rules(family: str, profile: str = 'current') -> list[Rule]:
     return [make_rule(family, category, i, row) for i, row in enumerate(rows)]
 
 
+def custom_rule(row: tuple, ord: int, family: str, category: str, form: Compiled) -> Rule:
+    regex, label, *flag = row
+    flag = flag[0] if flag else False
+    return Rule(family=family, category=category, ord=ord, label=str(label), regex=regex, java=form.java,
+                strict=flag if isinstance(flag, bool) else None, severity=flag if isinstance(flag, str) else None,
+                needs=((form.word,),) if form.word else (), own=True)
+
+
 def custom_rules(rows: list[tuple], family: str = 'custom', category: str = 'custom') -> list[Rule]:
-    """Rules of the user's own, as (expression, label[, flag]) rows."""
-    return [make_rule(family, category, i, row) for i, row in enumerate(rows)]
+    """Rules of the user's own, as (expression, label[, flag]) rows.
+
+    A rule that is no expression, or none that Spark can run, is left out and
+    does not stop the others; ``rule_errors`` names it.  Numbers are places in
+    ``rows``, so they agree with the errors.
+    """
+    forms = [compiled(row[0]) for row in rows]
+    return [custom_rule(row, i, family, category, form) for i, (row, form) in enumerate(zip(rows, forms)) if form.error is None]
+
+
+def rule_errors(spark: SparkSession, rows: list[tuple], family: str = 'custom') -> DataFrame:
+    """(family, rule_ord, type, regex, error) of the rules that ``custom_rules`` leaves out."""
+    wrong = [(family, i, str(row[1]), row[0], error) for i, row in enumerate(rows) if (error := compiled(row[0]).error) is not None]
+    return small_table(spark, wrong, 'family string, rule_ord int, type string, regex string, error string')
 
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

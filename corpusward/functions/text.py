@@ -64,9 +64,12 @@ def base64_text(candidate: Column) -> Column:
 def gaps_before(content: Column, regex: Column, matches: Column) -> Column:
     """One step per match: its text, with sizes of the gap before it and of itself.
 
-    Splitting at a rule gives exactly the texts between its matches.
+    Splitting at a rule gives exactly the texts between its matches, but for an
+    empty match at the very beginning, which splits nothing off.
     """
-    gaps = F.slice(F.split(content, regex, -1), F.lit(1), F.size(matches))
+    parts = F.element_at(F.transform(F.array(F.split(content, regex, -1)), lambda p: F.when(
+        F.size(p) <= F.size(matches), F.concat(F.array(F.lit('')), p)).otherwise(p)), 1)
+    gaps = F.slice(parts, F.lit(1), F.size(matches))
     return F.zip_with(gaps, matches, lambda gap, text: F.struct(
         text.alias('match'),
         F.length(gap).alias('gap_len'), F.length(text).alias('text_len'),

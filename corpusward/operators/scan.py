@@ -58,14 +58,25 @@ def needed_words(rule: Rule, folded: str = 'folded') -> str:
     return ' and '.join(f'({g})' for g in groups) or 'true'
 
 
-def _rule_matches(rules: list[Rule], text: str) -> str:
-    """array<struct<rule_ord, regex, texts>> of the rules with at least one match, as SQL.
+def _rule_matches(rules: list[Rule], text: str, with_groups: bool = False) -> str:
+    """array<struct<rule_ord, regex, texts[, one, two]>> of the rules with at least one match, as SQL.
 
     SQL text because it is one expression per family instead of thousands of
     small ones; the patterns are literals, so each is compiled once per task.
+    ``one`` and ``two`` are the first groups of rules of the user's own.
     """
+    def all_of(r: Rule, group: int) -> str:
+        if group > r.groups or group and not r.own:
+            return 'cast(null as array<string>)'
+        return f'regexp_extract_all({text}, {sql_text(r.java)}, {group})'
+
+    def groups(r: Rule) -> str:
+        return f", 'one', {all_of(r, 1)}, 'two', {all_of(r, 2)}" if with_groups else ''
+
+    if not rules:
+        return 'cast(null as array<struct<rule_ord: int, regex: string, texts: array<string>>>)'
     hits = [f"if({needed_words(r)}, named_struct('rule_ord', {r.ord}, 'regex', {sql_text(r.java)}, "
-            f"'texts', regexp_extract_all({text}, {sql_text(r.java)}, 0)), null)" for r in rules]
+            f"'texts', {all_of(r, 0)}{groups(r)}), null)" for r in rules]
     return f"filter(array({', '.join(hits)}), h -> size(h.texts) > 0)"
 
 
@@ -74,8 +85,11 @@ def locate(files: DataFrame, families: dict[str, list[Rule]], keep: list[str] =
 
     Columns: the kept file columns, ``family``, ``lines`` (the text as lines),
     ``one_long_line`` and ``spots`` - an array of (rule_ord, regex, match_ord,
-    match, start, line, col) in rule, then position order.
+    match, start, line, col) in rule, then position order, with the groups one
+    and two if any rule is the user's own.
     """
+    families = {name: rules for name, rules in families.items() if rules} or dict(list(families.items())[:1])
+    with_groups = any(r.own for rules in families.values() for r in rules)
     with_code = 'sink_calls' in families
     base = files.where(F.length('content') > 0).select(
         *keep, 'content', F.split('content', '\n').alias('lines'), fold_case(F.col('content')).alias('folded'))
@@ -83,7 +97,7 @@ def locate(files: DataFrame, families: dict[str, list[Rule]], keep: list[str] =
         base = base.withColumn('code', code_of(F.col('content')))
     text_of = {name: 'code' if name == 'sink_calls' else 'content' for name in families}
     families_with_hits = F.array(*[
-        F.struct(F.lit(name).alias('family'), F.expr(_rule_matches(rules, text_of[name])).alias('hits'))
+        F.struct(F.lit(name).alias('family'), F.expr(_rule_matches(rules, text_of[name], with_groups)).alias('hits'))
         for name, rules in families.items()])
     carried = ['content', 'lines'] + (['code'] if with_code else [])
     matched = (base.select(*keep, *carried, F.explode(families_with_hits).alias('f'))
@@ -92,12 +106,18 @@ def locate(files: DataFrame, families: dict[str, list[Rule]], keep: list[str] =
     text = F.col('content')
     if with_code:
         text = F.when(F.col('family') == 'sink_calls', F.col('code')).otherwise(text)
+    return spots_of(matched, text, keep, with_groups)
+
+
+def spots_of(hits: DataFrame, text: Column, keep: list[str], with_groups: bool) -> DataFrame:
+    """Positions of the matches of rows (content, lines, family, hits); see ``locate``."""
     spots = F.flatten(F.transform('hits', lambda h: F.transform(
         match_positions(gaps_before(text, h['regex'], h['texts'])),
         lambda s, i: F.struct(h['rule_ord'].alias('rule_ord'), h['regex'].alias('regex'), i.alias('match_ord'),
                               s['match'].alias('match'), s['start'].alias('start'),
-                              s['line'].alias('line'), s['col'].alias('col')))))
-    return matched.select(
+                              s['line'].alias('line'), s['col'].alias('col'),
+                              *([F.get(h['one'], i).alias('one'), F.get(h['two'], i).alias('two')] if with_groups else [])))))
+    return hits.select(
         *keep, 'family', 'lines',
         ((F.size('lines') == 1) & (F.length('content') > 10000)).alias('one_long_line'),
         spots.alias('spots'))
@@ -118,13 +138,24 @@ def bind(items: Column, fields: tuple[str, ...], **values) -> Column:
         *[s[f].alias(f) for f in fields], *[value(s).alias(name) for name, value in values.items()]))
 
 
-def _group(n) -> callable:
-    """Capture group of a match.
+def _group(n, rules: list[Rule] = ()) -> callable:
+    """Capture group of a match; the match itself for rules of the user's own that have no group.
 
-    No extraction rule looks beyond its match, so the match text alone gives
-    the same groups as the whole file.
+    No built-in extraction rule looks beyond its match, so the match text alone
+    gives the same groups as the whole file.  Groups of other rules were taken
+    from the file.
     """
-    return lambda s: F.call_function('regexp_extract', s['match'], s['regex'], n(s) if callable(n) else F.lit(n))
+    own, bare = [r.ord for r in rules if r.own and r.groups], [r.ord for r in rules if r.own and not r.groups]
+
+    def of(s: Column) -> Column:
+        number = n(s) if callable(n) else F.lit(n)
+        found = F.call_function('regexp_extract', s['match'], s['regex'], number)
+        if len(own) + len(bare) == len(rules) and rules:
+            found = F.lit(None).cast('string')
+        if bare:
+            found = F.when(s['rule_ord'].isin(bare), s['match']).otherwise(found)
+        return F.when(s['rule_ord'].isin(own), F.when(number == 2, s['two']).otherwise(s['one'])).otherwise(found) if own else found
+    return of
 
 
 def _said(spot: Column, *, key: Column, key_rule: Column | int, key_line: Column | int | None = None,
@@ -160,14 +191,14 @@ def _shared_labels(rules: list[Rule], rule_ord: Column) -> Column:
     return rule_ord if number is None else number.otherwise(rule_ord)
 
 
-def _patterns(spots, rules, **_):
+def _patterns(spots, rules, own_label_each, **_):
     return F.transform(spots, lambda s: _said(
-        s, key=s['match'], key_rule=_shared_labels(rules, s['rule_ord']), match=s['match']))
+        s, key=s['match'], key_rule=s['rule_ord'] if own_label_each else _shared_labels(rules, s['rule_ord']), match=s['match']))
 
 
 def _endpoints(spots, rules, url, filtered, **_):
     second = [r.ord for r in rules if r.groups > 1]
-    group = _group(lambda s: F.when(s['rule_ord'].isin(second), F.lit(2)).otherwise(F.lit(1)))
+    group = _group(lambda s: F.when(s['rule_ord'].isin(second), F.lit(2)).otherwise(F.lit(1)), rules)
     return F.transform(bind(spots, SPOT_FIELDS, path=group), lambda s: _said(
         s, key=s['path'], key_rule=0, path=s['path'], full=s['match'], detail=s['path'],
         drop=(fp_endpoint(s['path']) | is_subdomain(s['path'], url)) if filtered else None))
@@ -177,8 +208,8 @@ def _parameters(spots, rules, **_):
     grouped = [r.ord for r in rules if r.groups]
     second = [r.ord for r in rules if r.last_closed_group >= 2]
     spots = bind(spots, SPOT_FIELDS,
-                 one=lambda s: F.when(s['rule_ord'].isin(grouped), _group(1)(s)),
-                 two=lambda s: F.when(s['rule_ord'].isin(second), _group(2)(s)))
+                 one=lambda s: F.when(s['rule_ord'].isin(grouped), _group(1, rules)(s)),
+                 two=lambda s: F.when(s['rule_ord'].isin(second), _group(2, rules)(s)))
     spots = bind(spots, SPOT_FIELDS, param=lambda s: param_name_value(
         s['match'], s['one'], s['two'], s['rule_ord'].isin(grouped), s['rule_ord'].isin(second)))
     return F.transform(spots, lambda s: _said(
@@ -186,20 +217,20 @@ def _parameters(spots, rules, **_):
         name=shown_name(s['param']), drop=is_css_parameter(s['param'])))
 
 
-def _paths(spots, **_):
-    return F.transform(bind(spots, SPOT_FIELDS, path=_group(1)), lambda s: _said(
+def _paths(spots, rules, **_):
+    return F.transform(bind(spots, SPOT_FIELDS, path=_group(1, rules)), lambda s: _said(
         s, key=s['path'], key_rule=s['rule_ord'], path=s['path'], match=s['match'],
         drop=fp_path(s['path']) | is_css_value(s['path'])))
 
 
-def _scripts(spots, url, **_):
+def _scripts(spots, rules, url, **_):
     # every reference counts, so the position is the key
-    return F.transform(bind(spots, SPOT_FIELDS, path=_group(1)), lambda s: _said(
+    return F.transform(bind(spots, SPOT_FIELDS, path=_group(1, rules)), lambda s: _said(
         s, key=s['start'], key_rule=0, path=s['path'], match=s['match'], drop=is_subdomain(s['path'], url)))
 
 
-def _entropy(spots, entropy_threshold, **_):
-    return F.transform(bind(spots, SPOT_FIELDS, text=_group(1)), lambda s: _said(
+def _entropy(spots, rules, entropy_threshold, **_):
+    return F.transform(bind(spots, SPOT_FIELDS, text=_group(1, rules)), lambda s: _said(
         s, key=s['text'], key_rule=0, key_line=0, match=s['text'],
         drop=~is_entropy_candidate(s['text']) | (shannon_entropy(s['text']) <= entropy_threshold)))
 
@@ -281,11 +312,21 @@ def scan_files(files: DataFrame, families: list[str] = ALL_FAMILIES, *, rules: d
     context, for roll-ups that only count or link findings.
     """
     rules = {f: [replace(r, family=f) for r in own] for f, own in rules.items()} if rules else {f: rules_of(f) for f in families}
-    located = locate(files, rules)
+    return findings_of(locate(files, rules), rules, context_lines=context_lines, entropy_threshold=entropy_threshold,
+                       filtered=filtered, with_text=with_text)
+
+
+def findings_of(located: DataFrame, rules: dict[str, list[Rule]], *, context_lines: int = 5, entropy_threshold: float = W.ENTROPY_THRESHOLD,
+                filtered: bool = True, with_text: bool = True, own_label_each: bool = False) -> DataFrame:
+    """Findings from the rows of ``locate``.
+
+    ``own_label_each`` takes every rule's label for its own, where rows hold one
+    rule each and equal labels are dealt with later.
+    """
     said = F
     for family, own in rules.items():
         said = said.when(F.col('family') == family, _SAY.get(family, _patterns)(
-            F.col('spots'), rules=own, url=F.col('url'), entropy_threshold=entropy_threshold, filtered=filtered))
+            F.col('spots'), rules=own, own_label_each=own_label_each, url=F.col('url'), entropy_threshold=entropy_threshold, filtered=filtered))
     # Sorted by key, then place; two steps so that the sorted array is computed once.
     records = (located.withColumn('records', F.array_sort(F.filter(said, lambda r: ~r['drop'])))
                .drop('spots')

@@ -7,16 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..catalog import custom_rules, family_rules, words as W
+from ..catalog import custom_rules, family_rules, rule_errors, words as W
 from ..functions import headers as H, url as U
 from ..functions.labels import confidence_of, refine_technique, technique_of
 from ..functions.text import shannon_entropy, strip_quotes
 from ..operators import dedup as D, recommend as C, relevance as V, report as T, responses as S
+from ..operators.rule_table import scan_rule_table
 from ..operators.scan import PATTERN_FAMILIES, context_frame, raw_matches, scan_endpoints_legacy, scan_files, scan_patterns_legacy
 from ..sources.results import lookup_batch, lookup_file, sink_results_json
 from ..sources.urls import order_by_file_id
 from ..streaming.files import stream_batch_progress, stream_scan_files
-from ..streaming.limiter import exempt_trusted, limit_requests
+from ..streaming.limiter import exempt_trusted, limit_request_stream, limit_requests
 from . import oracle as O
 from .analyze import analyze, files_of
 from .corpus import code_corpus, request_log, responses, table
@@ -645,6 +646,14 @@ def _reset(spark, d):
     return limit_requests(log, LIMIT, WINDOW).select('key', 'event_id', 'admitted', 'remaining')
 
 
+@query('limit_request_stream', _limiter_sql(f'key, event_id, admitted, {_REMAINING}'))
+def _limit_stream(spark, d):
+    """The same decisions, from a stream of the events."""
+    events = spark.readStream.schema(table(spark, d, 'events').schema).option('pathGlobFilter', 'events.parquet').parquet(d)
+    log = events.select(F.col('user_id').alias('key'), 'ts', 'event_id')
+    return _run_stream(limit_request_stream(log, LIMIT, WINDOW)).select('key', 'event_id', 'admitted', 'remaining')
+
+
 def _run_stream(frame: DataFrame, mode: str = 'append') -> DataFrame:
     """Run a stream over all available input; the result is read back from files."""
     spark = frame.sparkSession
@@ -709,8 +718,57 @@ CUSTOM = [(r'passphrase\s*=\s*\w+', 'Password', True), (r'^var \w+', 'JWT Token'
           (r'\bfunction\b\W', 'Function', True), (r'\D{3}\.io', 'Email Address', True)]
 
 
-@query('scan_custom_rules', lambda: f"""WITH {O.corpus(False)}, {O.matches('m', O._rule_values(custom_rules(CUSTOM)))}
-    SELECT file_id, label AS type, match, line FROM m QUALIFY row_number() OVER (PARTITION BY file_id, line, match, label ORDER BY ord, match_ord) = 1""")
+# what each of these takes from a file needs the text around the match, or Python's own spelling
+CUSTOM_ENDPOINTS = [(r'(?<=\bfetch\(["\'])(/api/\w+)', 'after fetch', True)]
+CUSTOM_PATHS = [(r'"(/[a-z]+/[a-z]+)(?=";?$)', 'at the end of a line', True)]
+CUSTOM_SPELLED = [(r'(?P<word>const|var) \w+', 'named group', True), (r'e{,2}val\(', 'open count', True), (r'[bad', 'no expression', True),
+                  (r'</html>\s*\Z', 'very end', True), (r'(a)?(?(1)b|c)', 'choice', True), (r'Q?(?=url:)', 'empty', True)]
+
+
+def _custom_sql() -> str:
+    """RE2 has no look-around: the same matches with what surrounds them as part of the expression and the rest as a group."""
+    def around(name: str, regex: str) -> str:
+        return f"""{name} AS (SELECT file_id, unnest(range(1, len(lines) + 1)) AS line, unnest(lines) AS text FROM (SELECT file_id, string_split(content, chr(10)) AS lines FROM corpus)),
+            {name}_found AS (SELECT DISTINCT file_id, line, unnest(regexp_extract_all(text, {O.q(regex)}, 1)) AS match FROM {name})"""
+    spelled = [(r'(const|var) \w+', 'named group', True), (r'e?e?val\(', 'open count', True), (r'</html>\s*\z', 'very end', True)]
+    endpoint = r"(?i)(?:^|[^\pL\pN_])fetch\([\"'](/api/[\pL\pN_]+)"
+    return f"""WITH {O.corpus(False)}, {O.matches('m', O._rule_values(custom_rules(CUSTOM)))}, {O.matches('n', O._rule_values(custom_rules(spelled)))},
+    {around('ends', endpoint)}, {around('tails', r'(?i)"(/[a-z]+/[a-z]+)";?$')}, {around('empty', r'(?i)(Q?)url:')},
+    found AS (SELECT file_id, label AS type, match, line, CAST(NULL AS VARCHAR) AS path FROM m QUALIFY row_number() OVER (PARTITION BY file_id, line, match, label ORDER BY ord, match_ord) = 1
+    UNION ALL SELECT file_id, label, match, line, NULL FROM n QUALIFY row_number() OVER (PARTITION BY file_id, line, match, label ORDER BY ord, match_ord) = 1
+    UNION ALL SELECT file_id, NULL, NULL, line, match FROM ends_found WHERE NOT {O.any_of('lower(match)', W.FP_ENDPOINT_WORDS)}
+    UNION ALL SELECT file_id, 'at the end of a line', concat('"', match), line, match FROM tails_found
+    UNION ALL SELECT file_id, 'empty', match, line, NULL FROM empty_found)
+    SELECT *, CAST(NULL AS VARCHAR) AS error FROM found
+    UNION ALL SELECT NULL, 'no expression', NULL, NULL, NULL, 'unterminated character set at position 0'
+    UNION ALL SELECT NULL, 'choice', NULL, NULL, NULL, 'not supported: a choice by whether a group matched'"""
+
+
+@query('scan_custom_rules', _custom_sql)
 def _custom(spark, d):
-    """Rules of the user's own."""
-    return scan_files(corpus(spark, d), rules={'custom': custom_rules(CUSTOM)}, with_text=False).select('file_id', 'type', 'match', 'line')
+    """Rules of the user's own, with a row for each that can't run."""
+    rules = {'custom': custom_rules(CUSTOM), 'spelled': custom_rules(CUSTOM_SPELLED), 'endpoints': custom_rules(CUSTOM_ENDPOINTS), 'paths': custom_rules(CUSTOM_PATHS)}
+    found_ = scan_files(corpus(spark, d), rules=rules, with_text=False).select('file_id', 'type', 'match', 'line', 'path', F.lit(None).cast('string').alias('error'))
+    wrong = rule_errors(spark, CUSTOM + CUSTOM_SPELLED).select(
+        F.lit(None).cast('long').alias('file_id'), 'type', F.lit(None).cast('string').alias('match'), F.lit(None).cast('int').alias('line'),
+        F.lit(None).cast('string').alias('path'), 'error')
+    return found_.unionByName(wrong)
+
+
+_NO_WORD = r'\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b'
+
+
+@query('scan_rule_table', lambda: f"""WITH {O.corpus(False)}, lines AS (SELECT file_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text
+        FROM (SELECT file_id, string_split(content, chr(10)) AS l FROM corpus)),
+    rules AS (SELECT concat('(?i)items/', s_suppkey, '[?]id=[0-9]+') AS regex, concat('Item ', s_suppkey % 7) AS type FROM supplier)
+    SELECT DISTINCT file_id, type, unnest(regexp_extract_all(text, regex)) AS match, line, CAST(NULL AS VARCHAR) AS error FROM lines, rules WHERE contains(lower(text), 'items/')
+    UNION ALL SELECT DISTINCT file_id, 'Address', unnest(regexp_extract_all(text, {O.q(_NO_WORD)})), line, NULL FROM lines
+    UNION ALL SELECT NULL, 'Broken', NULL, NULL, 'unterminated character set at position 0'""")
+def _rule_table(spark, d):
+    """A rule per supplier, one rule without a plain word, and one that is none."""
+    items = table(spark, d, 'supplier').select(F.concat(F.lit('items/'), F.col('s_suppkey').cast('string'), F.lit(r'\?id=\d+')).alias('regex'),
+                                               F.concat(F.lit('Item '), (F.col('s_suppkey') % 7).cast('string')).alias('label'))
+    rules = items.unionByName(spark.createDataFrame([(_NO_WORD, 'Address'), ('[bad', 'Broken')], 'regex string, label string')).withColumn('flag', F.lit(True))
+    found_, wrong = scan_rule_table(corpus(spark, d), rules, with_text=False)
+    return found_.select('file_id', 'type', 'match', 'line', F.lit(None).cast('string').alias('error')).unionByName(wrong.select(
+        F.lit(None).cast('long').alias('file_id'), 'type', F.lit(None).cast('string').alias('match'), F.lit(None).cast('int').alias('line'), 'error'))
