@@ -4,14 +4,17 @@ With one more component, sqrt(M^2 - |x|^2), all vectors of a shard have the same
 length M, and the largest inner product is the smallest distance, so the triangle
 inequality holds.  A side of a node is skipped if its nearest possible point is
 farther than the k-th found: exactly so at ``factor`` one; a larger factor skips
-more and may miss some.  Query rows are taken in blocks, each against each shard;
-blocks and shards have bounded sizes.
+more and may miss some.  A second walk takes every point that is as near as the
+k-th found, so that ties are decided by exact products and ids.
+
+A shard's rows and the query rows come to one task, shard first: the tree is
+built where it is used, and query rows stream past it in blocks.
 """
 
 from __future__ import annotations
 
 import math
-import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -72,25 +75,36 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def search(tree: dict, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """(points, squared distances) per query: indexes of its k nearest points, -1 where there are fewer."""
-    n = len(queries)
-    lifted = np.hstack([queries, np.zeros((n, 1))])
-    size = (queries ** 2).sum(1) + tree['top']
-    best, point = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
+class Walk:
+    """Squared distances of lifted queries in a tree, and how far rounding may put them off."""
 
-    last = np.full(n, np.inf)  # squared distance of the k-th found
+    def __init__(self, tree: dict, queries: np.ndarray):
+        self.tree, self.lifted = tree, np.hstack([queries, np.zeros((len(queries), 1))])
+        self.size = (queries ** 2).sum(1) + tree['top']
+        self.rounding = 1e-15 * (queries.shape[1] + 4) * self.size
+
+    def squared(self, q: np.ndarray, start: int, end: int) -> np.ndarray:
+        return np.maximum(self.size[q, None] - 2 * self.lifted[q] @ self.tree['lifted'][start:end].T, 0)
 
-    def reach(q: np.ndarray) -> np.ndarray:
-        return np.sqrt(last[q]) * (1 + 1e-9) + 1e-9
+    def sides(self, q: np.ndarray, node: list, last: np.ndarray, factor: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Children that a squared distance of ``last`` does not rule out."""
+        vantage, inner, inside, outside, _, _, outer = node
+        d = np.sqrt(self.squared(q, vantage, vantage + 1)[:, 0])
+        most = np.sqrt(last[q] + self.rounding[q]) + 2 * np.sqrt(self.rounding[q])
+        yield inside, q[factor * (d - inner) <= most]
+        yield outside, q[factor * (outer - d) <= most]
 
-    def apart(q: np.ndarray, vantage: int) -> np.ndarray:
-        return np.sqrt(np.maximum(size[q] - 2 * lifted[q] @ tree['lifted'][vantage], 0))
+
+def search(tree: dict, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """(points, squared distances) per query: indexes of k nearest points, -1 where there are fewer; of equally near ones any."""
+    n, walk = len(queries), Walk(tree, queries)
+    best, point = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
+    last = np.full(n, np.inf)  # squared distance of the k-th found
 
     def scan(q: np.ndarray, start: int, end: int) -> None:
         if not len(q):
             return
-        d = np.maximum(size[q, None] - 2 * lifted[q] @ tree['lifted'][start:end].T, 0)
+        d = walk.squared(q, start, end)
         nearer = d.min(1) <= last[q]
         q, d = q[nearer], d[nearer]
         both = np.hstack([best[q], d])
@@ -109,22 +123,58 @@ def search(tree: dict, queries: np.ndarray, k: int, factor: float) -> tuple[np.n
             home[q] = at
             scan(q, start, end)
         elif len(q):
-            d = apart(q, vantage)
-            near = d <= (inner + outer[0]) / 2
+            near = np.sqrt(walk.squared(q, vantage, vantage + 1)[:, 0]) <= (inner + outer[0]) / 2
             work += [(inside, q[near]), (outside, q[~near])]
     # then every side that the k-th distance does not rule out, all queries of a node together
     work = [(0, np.arange(n))]
     while work:
         at, q = work.pop()
-        vantage, inner, inside, outside, start, end, *outer = tree['nodes'][at]
-        if vantage < 0:
-            scan(q[home[q] != at], start, end)
+        node = tree['nodes'][at]
+        if node[0] < 0:
+            scan(q[home[q] != at], node[4], node[5])
         elif len(q):
-            d, most = apart(q, vantage), reach(q)
-            work += [(inside, q[factor * (d - inner) < most]), (outside, q[factor * (outer[0] - d) < most])]
+            work += walk.sides(q, node, last, factor)
     return point, best
 
 
+def within(tree: dict, queries: np.ndarray, last: np.ndarray, factor: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, point) indexes of all points that may be as near as ``last`` (squared), leaf by leaf."""
+    walk = Walk(tree, queries)
+    work = [(0, np.arange(len(queries)))]
+    while work:
+        at, q = work.pop()
+        node = tree['nodes'][at]
+        if node[0] >= 0:
+            work += walk.sides(q, node, last, factor) if len(q) else []
+        elif len(q):
+            row, column = np.nonzero(walk.squared(q, node[4], node[5]) <= (last[q] + 2 * walk.rounding[q])[:, None])
+            yield q[row], column + node[4]
+
+
+def nearest_rows(tree: dict, ids: np.ndarray, queries: np.ndarray, k: int, factor: float, held: int = 1 << 20) -> pd.DataFrame:
+    """(query_id, q, vec_id, score): the k nearest rows of the tree for every query, ties to the smaller id."""
+    # k + 1 different points hold the k nearest rows: the query's own point may hold nothing else
+    _, best = search(tree, queries, k + 1, factor)
+    kept, waiting, size = None, [], 0
+
+    def cut(pairs: list) -> pd.DataFrame:
+        row, at = (np.concatenate(c) for c in zip(*pairs))
+        n = np.diff(tree['start'])[at]
+        source = np.repeat(tree['start'][at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        found = pd.DataFrame({'query_id': np.repeat(ids[row], n), 'q': np.repeat(row, n), 'vec_id': tree['ids'][source],
+                              'score': np.repeat(exact(queries[row], tree['points'][at]), n)})
+        found = pd.concat([found[found['query_id'] != found['vec_id']], *([kept] if kept is not None else [])])
+        found = found.sort_values(['q', 'score', 'vec_id'], ascending=[True, False, True])
+        return found[found.groupby('q').cumcount() < k]
+
+    for pair in within(tree, queries, best.max(1), factor):
+        waiting.append(pair)
+        size += len(pair[0])
+        if size > held:  # any number of ties: of those seen only the k nearest stay
+            kept, waiting, size = cut(waiting), [], 0
+    return cut(waiting) if waiting else kept if kept is not None else pd.DataFrame({'query_id': [], 'q': [], 'vec_id': [], 'score': []})
+
+
 def nearest(vectors: DataFrame, id_column: str, vector: str, every: int = 20, k: int = 20, factor: float = 1.0,
             shard_rows: int = 16384, block_rows: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every`` its k nearest other rows.
@@ -139,45 +189,37 @@ def nearest(vectors: DataFrame, id_column: str, vector: str, every: int = 20, k:
     rows = rows.where('id is not null and v is not null').where(
         ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf)) & F.exists(v, lambda x: x != 0))
     rows = rows.withColumn('dim', F.size('v')).dropDuplicates(['id', 'v'])
-    sizes = rows.groupBy('dim').agg(F.count('*').alias('n'), F.count_if(F.col('id') % every == 0).alias('q')).withColumns({
-        'shards': F.ceil(F.col('n') / shard_rows).cast('int'), 'blocks': F.greatest(F.lit(1), F.ceil(F.col('q') / block_rows)).cast('int')})
+    sizes = rows.groupBy('dim').agg(F.count('*').alias('n')).withColumn('shards', F.ceil(F.col('n') / shard_rows).cast('int'))
     dims = sizes.collect()  # one row per vector length
-    shards = F.create_map(*[F.lit(x) for r in dims for x in (r['dim'], r['shards'])]) if dims else F.create_map().cast('map<int,int>')
-    blocks = F.create_map(*[F.lit(x) for r in dims for x in (r['dim'], r['blocks'])]) if dims else F.create_map().cast('map<int,int>')
-    rows = rows.withColumn('h', F.xxhash64('id', 'v'))
-
-    def tree(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        made = build(np.array(part['v'].tolist()), part['id'].to_numpy(), k + 1)
-        return pd.DataFrame({'dim': [key[0]], 'shard': [key[1]], 'tree': [pickle.dumps(made)]})
-
-    def block(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        blob = pickle.dumps((part['id'].to_numpy(), np.array(part['v'].tolist())))
-        return pd.DataFrame({'dim': [key[0]], 'block': [key[1]], 'queries': [blob]})
-
-    trees = (rows.withColumn('shard', F.pmod('h', shards[F.col('dim')]).cast('int')).groupBy('dim', 'shard')
-             .applyInPandas(tree, 'dim int, shard int, tree binary'))
-    asked = (rows.where(F.col('id') % every == 0).withColumn('block', F.pmod('h', blocks[F.col('dim')]).cast('int'))
-             .groupBy('dim', 'block').applyInPandas(block, 'dim int, block int, queries binary')
-             .withColumn('shard', F.explode(F.sequence(F.lit(0), shards[F.col('dim')] - 1))))
-    pairs = sum(r['shards'] * r['blocks'] for r in dims)
-
-    def find(batches):
+    if not dims:
+        return rows.select(F.col('id').alias('query_id'), F.lit(0).alias('rank'), F.col('id').alias('vec_id'), F.lit(0.0).alias('score'))
+    shards = F.create_map(*[F.lit(x) for r in dims for x in (r['dim'], r['shards'])])
+    # rows of equal id and different vectors are different queries: told apart by their hash
+    rows = rows.withColumn('q', F.xxhash64('id', 'v'))
+    points = rows.select('dim', F.pmod('q', shards[F.col('dim')]).cast('int').alias('shard'), F.lit(False).alias('asked'), 'id', 'q', 'v')
+    asked = rows.where(F.col('id') % every == 0).select('dim', F.explode(F.sequence(F.lit(0), shards[F.col('dim')] - 1)).alias('shard'),
+                                                         F.lit(True).alias('asked'), 'id', 'q', 'v')
+
+    def matrix(parts: list[pd.DataFrame]) -> np.ndarray:
+        return np.array([v for part in parts for v in part['v']])
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, own, made = None, [], None
         for batch in batches:
-            for blob, queries in zip(batch['tree'], batch['queries']):
-                made, (ids, q) = pickle.loads(blob), pickle.loads(queries)
-                # k + 1 different points hold the k nearest rows: the query's own point may hold nothing else
-                point, _ = search(made, q, k + 1, factor)
-                row, column = np.nonzero(point >= 0)
-                at = point[row, column]
-                score = exact(q[row], made['points'][at])
-                n = np.diff(made['start'])[at]
-                source = np.repeat(made['start'][at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                found = pd.DataFrame({'query_id': np.repeat(ids[row], n), 'q': np.repeat(row, n),
-                                      'vec_id': made['ids'][source], 'score': np.repeat(score, n)})
-                found = found[found['query_id'] != found['vec_id']].sort_values(['q', 'score', 'vec_id'], ascending=[True, False, True])
-                yield found[found.groupby('q').cumcount() < k][['query_id', 'q', 'vec_id', 'score']]
-
-    met = asked.join(trees.hint('shuffle_merge'), ['dim', 'shard']).repartition(max(1, min(pairs, 4096)), 'dim', 'shard', 'block')
-    found = met.select('dim', 'block', 'tree', 'queries').mapInPandas(find, 'query_id long, q int, vec_id long, score double')
+            for (dim, shard, is_asked), part in batch.groupby(['dim', 'shard', 'asked'], sort=True):
+                if (dim, shard) != place:
+                    place, own, made = (dim, shard), [], None
+                if not is_asked:
+                    own.append(part)
+                    continue
+                if made is None and own:
+                    made, own = build(matrix(own), np.concatenate([o['id'].to_numpy() for o in own]), k + 1), []
+                for at in range(0, len(part) if made else 0, block_rows):
+                    block = part.iloc[at:at + block_rows]
+                    found = nearest_rows(made, block['id'].to_numpy(), matrix([block]), k, factor)
+                    yield found.assign(q=block['q'].to_numpy()[found['q'].to_numpy(np.int64)])[['query_id', 'q', 'vec_id', 'score']]
+
+    met = points.unionByName(asked).repartition(max(1, min(sum(r['shards'] for r in dims), 4096)), 'dim', 'shard').sortWithinPartitions('dim', 'shard', 'asked')
+    found = met.mapInPandas(find, 'query_id long, q long, vec_id long, score double')
     ranked = found.withColumn('rank', F.row_number().over(Window.partitionBy('query_id', 'q').orderBy(F.desc('score'), 'vec_id')))
     return ranked.where(F.col('rank') <= k).select('query_id', 'rank', 'vec_id', 'score')

@@ -90,12 +90,22 @@ def base_failed() -> Column:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(at most k of n) at share p, summed from the largest term down."""
+    """P(at most k of n) at share p: all terms from the k-th down to those too small to change the sum."""
     if k >= n:
         return 1.0
-    log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
-           for i in range(k, max(-1, k - 2000), -1)]
-    return min(1.0, math.fsum(math.exp(x) for x in log))
+    if k < 0:
+        return 0.0
+    first = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    # each term over the one before; the sum in parts of the k-th term, which itself may be too small for a float
+    term, total, i = 1.0, 1.0, k
+    while i > 0 and total < 1e250:
+        ratio = i * (1 - p) / ((n - i + 1) * p)
+        term *= ratio
+        total += term
+        i -= 1
+        if ratio < 1 and term < 1e-18 * total:
+            break
+    return min(1.0, math.exp(min(0.0, first + math.log(total))))
 
 
 def certified(n: int, beyond: dict[str, list[int]], tests: int, alpha: float, delta: float) -> dict[str, float]:
@@ -130,14 +140,14 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = 'text', key: str = 'do
     whose stratum has no certified cut-off are judged by the base rule alone; a
     null stratum is a stratum.  Empty tables give empty results.
     """
-    own = docs.select(F.col(key), F.coalesce(F.col(stratum), F.lit('')).alias('stratum'), F.col(text))
+    own = docs.select(F.col(key), F.col(stratum).alias('stratum'), F.col(text))
     table = written(measured(own, text).drop(text), 'measures')
     marked = labels.where('quality = 1').select(F.col(key).alias('_key')).where('_key is not null').distinct()
     found = cutoffs(table.join(marked, F.col(key) == F.col('_key'), 'left_semi'), 'stratum', alpha, delta)
-    schema = 'stratum string, ' + ', '.join(f'{name} double' for name in GRID)
+    schema = '_stratum string, ' + ', '.join(f'{name} double' for name in GRID)
     limits = docs.sparkSession.createDataFrame([(f['stratum'], *(f.get(name) for name in GRID)) for f in found], schema)
     limits = limits.withColumnsRenamed({name: f'_{name}' for name in GRID})
-    joined = table.join(F.broadcast(limits), 'stratum', 'left')
+    joined = table.join(F.broadcast(limits), F.col('stratum').eqNullSafe(F.col('_stratum')), 'left').drop('_stratum')  # a row per stratum
     reasons = F.array_compact(F.array(*[F.when(value > F.col(f'_{name}'), F.lit(name)) for name, value in measures().items()]))
     return (joined.withColumns({'base_failed': base_failed(), 'reasons': reasons})
             .withColumn('kept', ~F.col('base_failed') & (F.size('reasons') == 0)).drop(*[f'_{name}' for name in GRID]))

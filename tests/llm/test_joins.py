@@ -8,7 +8,7 @@ import pytest
 
 from corpusward.llm.common import components
 from corpusward.llm.line_dedup import dedup_lines
-from corpusward.llm.neighbours import build, nearest, search
+from corpusward.llm.neighbours import build, nearest, nearest_rows, search
 from corpusward.llm.ngram_join import link_documents
 
 from ..conftest import SMALL
@@ -170,6 +170,21 @@ def test_neighbours(spark):
     assert nearest(frame.where('vec_id = 20'), 'vec_id', 'embedding').count() == 0
 
 
+def test_neighbours_with_hundreds_of_ties(spark):
+    """Small whole numbers: many different vectors have the same product with a query."""
+    rng = np.random.default_rng(4)
+    vectors = np.unique(rng.integers(-3, 4, size=(1500, 5)), axis=0)
+    vectors = rng.permutation(vectors[(vectors != 0).any(1)])
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(20, [3.0, 3.0, 3.0, 3.0, 3.0]), (9000, [1.0] * 5), (9020, [1.0] * 5)]
+    frame = spark.createDataFrame(rows, 'vec_id long, embedding array<double>')
+    found = sorted(map(tuple, nearest(frame, 'vec_id', 'embedding', k=20, shard_rows=400, block_rows=16).collect()))
+    assert found == sorted(all_pairs(rows, 20, 20))
+    tree = build(vectors.astype(float), np.arange(len(vectors)), 21)
+    cut = nearest_rows(tree, np.arange(50), vectors[:50].astype(float), 20, 1.0, held=100)
+    whole = nearest_rows(tree, np.arange(50), vectors[:50].astype(float), 20, 1.0)
+    assert cut.reset_index(drop=True).equals(whole.reset_index(drop=True))
+
+
 def test_relaxed_pruning_keeps_most():
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(30, 8))

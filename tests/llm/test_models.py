@@ -276,3 +276,22 @@ def test_chances_add_up(documents):
     rows = score_texts(docs.unionByName(documents('a', 'b', 'c', 'd').withColumn('doc_id', F.col('doc_id') + 1000)), passes=2).collect()
     single = [10 ** r['score'] for r in rows if r['doc_id'] >= 1000]
     assert 0 < sum(single) < 1
+
+
+def test_quality_rules_keep_a_null_stratum_apart(spark):
+    """Null and the empty string have cut-offs of their own."""
+    good = ' '.join(f'word{i}' for i in range(40))
+    texts = [(i, good, None) for i in range(3000)] + [(3000 + i, good + ' !!!' * 30, '') for i in range(3000)] + [(9000, good + ' !!!' * 30, None), (9001, good + ' !!!' * 30, '')]
+    docs = spark.createDataFrame(texts, 'doc_id long, text string, lang string')
+    marked = spark.createDataFrame([(i, 1) for i in range(6000)], 'doc_id long, quality int')
+    found = {r.doc_id: (r.kept, list(r.reasons), r.stratum) for r in judge(docs, marked).where('doc_id >= 9000').collect()}
+    assert found[9000][2] is None and not found[9000][0] and 'marks_per_word' in found[9000][1]
+    assert found[9001][2] == '' and 'marks_per_word' not in found[9001][1]
+
+
+@pytest.mark.parametrize('n', [10 ** 9, 10 ** 11])
+def test_binomial_tail_of_many_documents(n):
+    """Four deviations below the mean the tail is that of the normal distribution, all terms counted."""
+    p = 0.05 / 6
+    k = int(n * p - 4 * math.sqrt(n * p * (1 - p)))
+    assert binomial_tail(k, n, p) == pytest.approx(0.5 * math.erfc(4 / math.sqrt(2)), rel=0.01)
