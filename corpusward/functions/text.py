@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Blanks removed at both ends of a line (every Unicode blank plus the four separators).
@@ -11,6 +13,11 @@ BLANKS = ('\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0        '
 _BLOCK = 512  # matches folded per inner step, see `match_positions`
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 

@@ -35,7 +35,7 @@ def train_relevance_model(spark: SparkSession) -> PipelineModel:
     return Pipeline(stages=stages).fit(samples)
 
 
-def score_relevance(files: DataFrame, model: PipelineModel | None = None, size_limits: bool = True) -> DataFrame:
+def score_relevance(files: DataFrame, model: PipelineModel | None = None, size_limits: bool = False) -> DataFrame:
     """Adds ``relevant`` and ``relevance_score``; without a model every file is relevant.
 
     With ``size_limits`` the size decides first, as in ``heuristic_relevance``;

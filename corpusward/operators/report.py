@@ -87,6 +87,27 @@ def agg_by_technique(findings: DataFrame) -> DataFrame:
     return refined(findings).groupBy('file_id', 'technique').agg(F.count('*').alias('n'))
 
 
+#: Categories in the order in which a technique lists their findings.
+LISTED = ['api_keys', 'credentials', 'emails', 'xss_vulnerabilities', 'xss_functions', 'api_endpoints', 'parameters', 'paths_directories',
+          'interesting_comments', 'server_info_findings', 'libraries', 'obfuscation_findings']
+#: Findings in one row of a list.
+PAGE = 1000
+
+
+def list_by_technique(findings: DataFrame, page: int = PAGE) -> DataFrame:
+    """(file_id, technique, page, items): the findings of each technique of a file, ``page`` in a row.
+
+    Items are structs of category, place, type, match and line, by category and
+    place; techniques sort by name.  Any number of findings goes to pages.
+    """
+    rows = refined(findings).withColumn('_view', F.array_position(F.lit(LISTED), F.col('category')))
+    order = ['_view', *ORDER]
+    number = F.row_number().over(Window.partitionBy('file_id', 'technique').orderBy(*order))
+    paged = rows.withColumn('page', F.floor((number - 1) / page).cast('int'))
+    items = F.sort_array(F.collect_list(F.struct(*order, 'category', 'type', 'match', 'line')))
+    return paged.groupBy('file_id', 'technique', 'page').agg(F.transform(items, lambda i: i.dropFields('_view')).alias('items'))
+
+
 def join_technique_descriptions(techniques: DataFrame) -> DataFrame:
     return techniques.join(F.broadcast(technique_descriptions(techniques.sparkSession)), 'technique', 'left') \
         .withColumn('description', F.coalesce('description', F.lit(W.TECHNIQUE_DEFAULT_DESCRIPTION)))
@@ -146,18 +167,25 @@ def agg_findings_digest(files: DataFrame, findings: DataFrame, recommendations:
     return row.select('file_id', F.concat(title, F.lit('\n'), body, F.lit('\n')).alias('digest'))
 
 
-def agg_collect_result(files: DataFrame, findings: DataFrame) -> DataFrame:
+#: Findings in one row of a nested result.
+PART = 10_000
+
+
+def agg_collect_result(files: DataFrame, findings: DataFrame, part_size: int = PART) -> DataFrame:
     """Nested result per file: one array per category, in place order.
 
-    A file's findings must fit a row; write rows of findings where files have no bound.
+    A row holds at most ``part_size`` findings; a file with more has further rows,
+    numbered by ``part_no`` from 0, in which categories and places go on.
     """
     keys = {'file_id', 'url', 'category'}
     fields = [*ORDER, *[c for c in findings.columns if c not in keys and c not in ORDER]]
-    nested = findings.groupBy('file_id').agg(*[
+    number = F.row_number().over(Window.partitionBy('file_id').orderBy(F.array_position(F.lit(CATEGORIES), F.col('category')), *ORDER))
+    dealt = findings.withColumn('part_no', F.floor((number - 1) / part_size).cast('int'))
+    nested = dealt.groupBy('file_id', 'part_no').agg(*[
         F.array_sort(F.collect_list(F.when(_in(c), F.struct(*fields)))).alias(c) for c in CATEGORIES])
     empty = {c: F.coalesce(c, F.array().cast(nested.schema[c].dataType)) for c in CATEGORIES}
     return files.select('file_id', 'url', F.length('content').alias('file_size')) \
-        .join(nested, 'file_id', 'left').withColumns(empty)
+        .join(nested, 'file_id', 'left').withColumns({'part_no': F.coalesce('part_no', F.lit(0)), **empty})
 
 
 def topk_report_items(findings: DataFrame) -> DataFrame:

@@ -304,20 +304,22 @@ def _first_of_key(records: str) -> Column:
 
 def scan_files(files: DataFrame, families: list[str] = ALL_FAMILIES, *, rules: dict[str, list[Rule]] | None = None,
                context_lines: int = 5, entropy_threshold: float = W.ENTROPY_THRESHOLD,
-               filtered: bool = True, with_text: bool = True) -> DataFrame:
+               filtered: bool = True, with_text: bool = True, shortened: bool = False) -> DataFrame:
     """Findings of the families, in the one wide schema.
 
     ``rules`` replaces the families by rules of the caller's own.  ``filtered``
     turns the endpoint filters off.  ``with_text=False`` leaves out line text and
-    context, for roll-ups that only count or link findings.
+    context, for roll-ups that only count or link findings; else they are whole.
+    ``shortened`` cuts them for display: lines over 500 and contexts over 1000
+    characters, and a file of one line over 10000 has no context.
     """
     rules = {f: [replace(r, family=f) for r in own] for f, own in rules.items()} if rules else {f: rules_of(f) for f in families}
     return findings_of(locate(files, rules), rules, context_lines=context_lines, entropy_threshold=entropy_threshold,
-                       filtered=filtered, with_text=with_text)
+                       filtered=filtered, with_text=with_text, shortened=shortened)
 
 
 def findings_of(located: DataFrame, rules: dict[str, list[Rule]], *, context_lines: int = 5, entropy_threshold: float = W.ENTROPY_THRESHOLD,
-                filtered: bool = True, with_text: bool = True, own_label_each: bool = False) -> DataFrame:
+                filtered: bool = True, with_text: bool = True, shortened: bool = False, own_label_each: bool = False) -> DataFrame:
     """Findings from the rows of ``locate``.
 
     ``own_label_each`` takes every rule's label for its own, where rows hold one
@@ -333,21 +335,21 @@ def findings_of(located: DataFrame, rules: dict[str, list[Rule]], *, context_lin
                .withColumn('records', _first_of_key('records')))
     if with_text:
         records = records.withColumn('stripped', F.transform('lines', strip))
-    rows = records.select(*FILE_KEYS, 'family', F.inline(_rows(F.col('records'), rules, context_lines, with_text)))
+    rows = records.select(*FILE_KEYS, 'family', F.inline(_rows(F.col('records'), context_lines, with_text, shortened)))
     return _describe(rows, rules, entropy_threshold, with_text)
 
 
 _ROW_FIELDS = ('rule_ord', 'match_ord', 'line', 'match', 'path', 'full_match', 'name', 'detail')
 
 
-def _rows(records: Column, rules: dict[str, list[Rule]], context_lines: int, with_text: bool) -> Column:
+def _rows(records: Column, context_lines: int, with_text: bool, shortened: bool) -> Column:
     """Output structs of the records, with line text and context cut from ``lines``."""
     if not with_text:
         return bind(records, _ROW_FIELDS)
     lines, family = F.col('lines'), F.col('family')
     secret = family.isin(SECRET_FAMILIES)
     pattern = ~family.isin([*EXTRACT_FAMILIES, *SECRET_FAMILIES, 'sink_calls'])
-    k = F.when(F.col('one_long_line'), F.lit(0)).otherwise(F.lit(context_lines))
+    k = F.when(F.col('one_long_line'), F.lit(0)).otherwise(F.lit(context_lines)) if shortened else F.lit(context_lines)
     before, after = F.when(secret, F.lit(2)).otherwise(k), F.when(secret, F.lit(3)).otherwise(k)
     extent = (*_ROW_FIELDS, 'start', 'col', 'size')
     records = bind(records, extent,
@@ -360,10 +362,10 @@ def _rows(records: Column, rules: dict[str, list[Rule]], context_lines: int, wit
 
     return bind(
         records, _ROW_FIELDS,
-        line_content=lambda r: F.when(pattern, shortened_line(lines, r['line']))
+        line_content=lambda r: F.when(F.lit(shortened) & pattern, shortened_line(lines, r['line']))
         .when(family != 'sink_calls', F.element_at(F.col('stripped'), r['line'])),
-        context=lambda r: F.when(pattern, context_snippet(around(r), r['start'], r['col'], r['size']))
-        .when(secret, around(r)),
+        context=lambda r: F.when(F.lit(shortened) & pattern, context_snippet(around(r), r['start'], r['col'], r['size']))
+        .when(pattern | secret, around(r)),
         context_start_line=lambda r: F.when(pattern | secret, r['first'] + 1),
         context_end_line=lambda r: F.when(pattern | secret, r['end']))
 

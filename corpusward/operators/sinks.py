@@ -1,9 +1,9 @@
 """Calls and assignments of risky interfaces, found in code with strings and comments blanked.
 
 Two shapes are matched on the blanked text: a (dotted) name followed by an
-opening bracket, and an assignment to a risky property.  Deliberate limits: a
-regular-expression literal that holds a quote opens a string, code inside
-template placeholders is blanked, and computed properties are not resolved.
+opening bracket, and an assignment to a risky property.  Texts with template
+placeholders or regular-expression literals go through a lexer.  A deliberate
+limit: computed properties are not resolved.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, functions as F
 
 from ..catalog import Rule, words as W
 from ..functions.labels import has_any
+from .lexer import blank_nested, nests
 
 # A name, tried only where one starts (else every tail of every word would be tried).
 _IDENT = r'[a-zA-Z_$\p{L}\p{Nl}][a-zA-Z0-9_$\p{L}\p{N}\p{M}]*+'
@@ -30,12 +31,14 @@ _TRIGGERS = [row[0] for row in W.RISK_CATALOG]
 def blank_literals(content: Column) -> Column:
     """The code with every string and comment overwritten by blanks.
 
-    Length and line breaks stay, so positions hold.
+    Length and line breaks stay, so positions hold.  One expression does for
+    texts whose literals do not nest.
     """
     parts = F.split(content, _LITERAL, -1)
     literals = F.regexp_extract_all(content, F.lit(_LITERAL), F.lit(0))
     blanked = F.transform(literals, lambda t: F.regexp_replace(t, r'[^\n]', ' '))
-    return F.array_join(F.zip_with(parts, blanked, lambda a, b: F.concat(a, F.coalesce(b, F.lit('')))), '')
+    flat = F.array_join(F.zip_with(parts, blanked, lambda a, b: F.concat(a, F.coalesce(b, F.lit('')))), '')
+    return F.when(nests(content), blank_nested(content)).otherwise(flat)
 
 
 def code_of(content: Column, max_chars: int | None = None) -> Column:

@@ -33,19 +33,23 @@ def link_findings(findings: DataFrame) -> DataFrame:
 
 
 def analyze(files: DataFrame, analyzed_responses: DataFrame | None = None, model=None, findings: DataFrame | None = None,
-            size_limits: bool = True) -> DataFrame:
+            size_limits: bool = False) -> DataFrame:
     """Nested results per file with header columns, errors and recommendations.
 
+    A file with very many findings has several rows, numbered by ``part_no``; what
+    is not a finding stands in the first of them.
+
     Pass ``findings`` read back from a written table to keep the scan from being
     repeated by the several consumers; on large inputs do write it first.
-    ``size_limits=False`` lets the model decide files of any size.
+    The model decides files of any size; ``size_limits`` lets the size decide first.
+    Findings of other files than these are not looked at.
     """
     scored = gate_skipped_files(score_relevance(files, model, size_limits))
     relevant = scored.where(~F.col('skipped')).select('file_id', 'url', 'content')
     if findings is None:
         found = scan_files(relevant)
     else:  # a skipped file has no findings, wherever they come from
-        found = findings if model is None else findings.join(relevant.select('file_id'), 'file_id', 'left_semi')
+        found = findings.join(relevant.select('file_id'), 'file_id', 'left_semi')
     headers = None if analyzed_responses is None else join_findings_responses(files, analyzed_responses)
     advice = recommendations(files, found, headers)
     nested_advice = advice.groupBy('file_id').agg(F.array_sort(F.collect_list(
@@ -56,8 +60,9 @@ def analyze(files: DataFrame, analyzed_responses: DataFrame | None = None, model
                   for c in ('status_error', 'error') if c in analyzed_responses.columns]
     errors = union_errors(*lines)
     result = agg_collect_result(files, link_findings(found))
-    for part in (scored.select('file_id', 'skipped', 'relevance_score'), errors, nested_advice):
-        result = result.join(part, 'file_id', 'left')
+    more = [scored.select('file_id', 'skipped', 'relevance_score'), errors, nested_advice]
     if headers is not None:
-        result = result.join(headers.drop('url', 'file_size'), 'file_id', 'left')
+        more.append(headers.drop('url', 'file_size'))
+    for part in more:
+        result = result.join(part.withColumn('part_no', F.lit(0)), ['file_id', 'part_no'], 'left')
     return result.withColumn('analysis_timestamp', F.current_timestamp())

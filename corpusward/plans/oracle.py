@@ -156,18 +156,20 @@ def _select(**values: str) -> str:
                      for f in FIELDS + TEXT_FIELDS)
 
 
-def family_cte(family: str, name: str | None = None) -> str:
+def family_cte(family: str, name: str | None = None, shortened: bool = False) -> str:
     """CTE with the family's findings in the common columns."""
     name = name or f'f_{family}'
+    if family in FAMILIES and family not in ('endpoints', 'parameters', 'paths'):
+        return _pattern(family, name, shortened)
     build = {'endpoints': _endpoints, 'parameters': _parameters, 'paths': _paths, 'script_refs': _scripts,
-             'entropy': _entropy, 'base64': _base64, 'sink_calls': _sinks}.get(family, _pattern)
+             'entropy': _entropy, 'base64': _base64, 'sink_calls': _sinks}[family]
     return build(family, name)
 
 
-def _pattern(family: str, name: str) -> str:
+def _pattern(family: str, name: str, shortened: bool) -> str:
     category, _ = FAMILIES[family]
     part = 1 if family == 'ip_addresses' else 0
-    k = 'CASE WHEN len(lines) = 1 AND n_chars > 10000 THEN 0 ELSE 5 END'
+    k = 'CASE WHEN len(lines) = 1 AND n_chars > 10000 THEN 0 ELSE 5 END' if shortened else '5'
     return matches(f'{name}_m', _rule_values(family_rules(family))) + f""",
     {name}_ctx AS (SELECT *, {context('first_line', 'end_line')} AS ctx,
         -- distance back to the last newline if it is near, else the offset in the file
@@ -180,9 +182,10 @@ def _pattern(family: str, name: str) -> str:
         category=q(category), part=f'CAST({part} AS INTEGER)', rule_ord='CAST(ord AS INTEGER)', type='label', match='match',
         confidence='confidence', technique='technique', severity='severity',
         detection_logic="'Matched specific regex pattern for ''' || label || ''' in source code.'",
-        line_content=strip("CASE WHEN length(lines[line]) > 500 THEN left(lines[line], 200) || '...' || right(lines[line], 200) ELSE lines[line] END"),
+        line_content=strip("CASE WHEN length(lines[line]) > 500 THEN left(lines[line], 200) || '...' || right(lines[line], 200) ELSE lines[line] END"
+                           if shortened else 'lines[line]'),
         context="CASE WHEN length(ctx) > 1000 THEN substr(ctx, CAST(greatest(0, off - 200) AS BIGINT) + 1, CAST(greatest(0, "
-                "least(length(ctx), off + length(match) + 200) - greatest(0, off - 200)) AS BIGINT)) ELSE ctx END",
+                "least(length(ctx), off + length(match) + 200) - greatest(0, off - 200)) AS BIGINT)) ELSE ctx END" if shortened else 'ctx',
         context_start_line='CAST(first_line + 1 AS INTEGER)', context_end_line='CAST(end_line AS INTEGER)')} FROM {name}_ctx)"""
 
 
@@ -285,7 +288,8 @@ def _base64(family: str, name: str) -> str:
 
 # Names in the tables' code are ASCII; classes over all letters make RE2 sixty times slower here.
 _IDENT = r'[A-Za-z_$][\w$]*'
-_LITERAL = r'''"(?:[^"\\\n]|\\(?s:.))*"|'(?:[^'\\\n]|\\(?s:.))*'|`(?:[^`\\]|\\(?s:.))*`|//[^\n]*|/\*(?s:.)*?\*/'''
+# first the beginning of a template up to its code, the rest of it behind the code, and a regular expression after a sign of equality
+_LITERAL = r'''`[^`$\\]*\$\{|\}[^`{};\n]*`|= /[^/*\n][^/\n]*/|"(?:[^"\\\n]|\\(?s:.))*"|'(?:[^'\\\n]|\\(?s:.))*'|`(?:[^`\\]|\\(?s:.))*`|//[^\n]*|/\*(?s:.)*?\*/'''
 _CALL = rf'(?:\b(function|new)\s+)?(\.\s*)?({_IDENT}(?:\s*\.\s*{_IDENT})*)\s*\('
 _ASSIGN = (rf'(?:(?:{_IDENT}\s*\.\s*)+|\.\s*)({"|".join(W.ASSIGNED_SINKS)})\s*'
            r'(?:[-+*/%&|^]|\*\*|<<|>>>?|&&|\|\||\?\?)?=[^=>]')
@@ -321,9 +325,9 @@ def _sinks(family: str, name: str) -> str:
         FROM {name}_j)"""
 
 
-def with_findings(families: list[str], body: str, ascii_only: bool = True, extra: str = '') -> str:
+def with_findings(families: list[str], body: str, ascii_only: bool = True, extra: str = '', shortened: bool = False) -> str:
     """SQL over ``findings`` (all listed families) and ``corpus``."""
-    ctes = [corpus(ascii_only)] + [family_cte(f) for f in families]
+    ctes = [corpus(ascii_only)] + [family_cte(f, shortened=shortened) for f in families]
     union = ' UNION ALL '.join(f'SELECT * FROM f_{f}' for f in families)
     return f"WITH {', '.join(ctes)}, findings AS ({union}){extra} {body}"
 

@@ -6,6 +6,7 @@ that returns the SQL.  Both sides read whole tables and whole texts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -18,11 +19,11 @@ from ..functions.text import base64_text, fold_case, strip_quotes
 from ..operators import dedup as D, link as L, relevance as V, report as T, responses as S
 from ..operators.scan import PATTERN_FAMILIES, raw_matches, scan_endpoints_legacy, scan_files, scan_patterns_legacy
 from ..operators.sinks import triggers
-from ..sources.files import decode_lenient, spread
+from ..sources.files import scan_code_files, scan_crawl_responses, spread
 from ..sources.urls import route_inputs, scan_request_payloads, scan_url_list
 from . import oracle as O
 from .corpus import code_corpus, responses, table
-from .shared import materialize
+from .shared import materialize, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, Callable[[], str]] = {}
@@ -49,8 +50,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, 'documents'), 'doc_id')
 
 
-def findings_sql(families: list[str], body: str, extra: str = '') -> str:
-    return O.with_findings(families, body, False, extra)
+def findings_sql(families: list[str], body: str, extra: str = '', shortened: bool = False) -> str:
+    return O.with_findings(families, body, False, extra, shortened)
 
 
 def raw_sql(families: list[str], body: str, profile: str = 'current') -> str:
@@ -170,21 +171,33 @@ def _meta(spark, d):
 
 # --- sources ---------------------------------------------------------------------------
 
-@query('scan_code_files', 'SELECT page_id, length(html) AS n_chars, md5(html) AS digest FROM pages')
+@query('scan_code_files', 'SELECT page_id, length(html) + 1 AS n_chars, md5(html || chr(10)) AS digest FROM pages')
 def _code_files(spark, d):
-    text = decode_lenient(F.encode('html', 'UTF-8'))
-    return table(spark, d, 'pages').select('page_id', F.length(text).cast('long').alias('n_chars'),
-                                           F.md5(text.cast('binary')).alias('digest'))
-
-
-@query('scan_crawl_responses', f"""WITH {O.RESPONSES} SELECT file_id, url, status, server, x_powered_by, csp, cf_ray, x_ratelimit_limit,
-    x_akamai_trans_id, content_type, content_length, ip, length(body) AS body_chars FROM responses""")
+    """Every page written as a file of its own, every fifth with bytes that are not UTF-8, and read as a tree of files."""
+    path = f'{shared_folder(spark)}/tree-{uuid.uuid4().hex}'
+    noise = F.when(F.col('page_id') % 5 == 0, F.lit(bytearray(b'\xff\xfe')).cast('string')).otherwise(F.lit(''))
+    pages(spark, d).select('page_id', F.concat(noise, 'html', noise).alias('text')).write.partitionBy('page_id').text(path)
+    files = scan_code_files(spark, path)
+    return files.select(F.regexp_extract('url', 'page_id=([0-9]+)', 1).cast('long').alias('page_id'),
+                        F.length('content').cast('long').alias('n_chars'), F.md5(F.col('content').cast('binary')).alias('digest'))
+
+
+@query('scan_crawl_responses', f"""WITH {O.RESPONSES} SELECT url, status, server, x_powered_by, csp, cf_ray, x_ratelimit_limit,
+    x_akamai_trans_id, content_type, content_length, ip, length(body) AS body_chars, CAST(NULL AS VARCHAR) AS error FROM responses WHERE file_id % 9 <> 4
+    UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+        'Unreadable record: ' || CASE WHEN file_id % 2 = 0 THEN '{{"url":"' || file_id || '","status":' ELSE 'response ' || file_id END FROM responses WHERE file_id % 9 = 4""")
 def _crawl(spark, d):
+    """A crawl dump of JSON lines, every ninth of them broken off or no JSON at all."""
+    path = f'{shared_folder(spark)}/crawl-{uuid.uuid4().hex}'
+    number = F.col('file_id').cast('string')
+    broken = F.when(F.col('file_id') % 2 == 0, F.concat(F.lit('{"url":"'), number, F.lit('","status":'))).otherwise(F.concat(F.lit('response '), number))
+    record = F.to_json(F.struct('url', 'status', 'headers', 'body', 'ip'))
+    responses(spark, d).select(F.when(F.col('file_id') % 9 == 4, broken).otherwise(record).alias('value')).write.text(path)
     names = {'server': 'Server', 'x_powered_by': 'X-Powered-By', 'csp': 'Content-Security-Policy', 'cf_ray': 'CF-RAY',
              'x_ratelimit_limit': 'X-RateLimit-Limit', 'x_akamai_trans_id': 'X-Akamai-Trans-Id', 'content_type': 'Content-Type',
              'content_length': 'Content-Length'}
-    return responses(spark, d).select('file_id', 'url', 'status', *[H.header_get(F.col('headers'), n).alias(c) for c, n in names.items()],
-                                      'ip', F.length('body').cast('long').alias('body_chars'))
+    return scan_crawl_responses(spark, path, 'json').select('url', 'status', *[H.header_get(F.col('headers'), n).alias(c) for c, n in names.items()],
+                                      'ip', F.length('body').cast('long').alias('body_chars'), 'error')
 
 
 _LINES = r"string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]')"
@@ -342,15 +355,18 @@ _fp_query('filter_fp_jwt', CHECKED, lambda m, t: P.fp_jwt(m, t),
 @query('filter_fp_credential', lambda: _credential_sql())
 def _credential(spark, d):
     """Every line of the documents and the corpus, judged as if it were a credential match."""
-    lines = documents(spark, d).select('doc_id', F.posexplode(F.split('text', '\n')).alias('pos', 'match'))
-    return lines.withColumn('dropped', P.fp_credential(F.col('match'), F.lit('Password'))).where('dropped').select('doc_id', 'pos', 'match')
+    texts = documents(spark, d).select('doc_id', F.lit('documents').alias('source'), 'text').unionByName(
+        corpus(spark, d).select(F.col('file_id').alias('doc_id'), F.lit('corpus').alias('source'), F.col('content').alias('text')))
+    lines = texts.select('doc_id', 'source', F.posexplode(F.split('text', '\n')).alias('pos', 'match'))
+    return lines.withColumn('dropped', P.fp_credential(F.col('match'), F.lit('Password'))).where('dropped').select('doc_id', 'source', 'pos', 'match')
 
 
 def _credential_sql():
     low = 'lower(match)'
-    return f"""WITH l AS (SELECT doc_id, CAST(i AS INTEGER) AS pos, lines[i + 1] AS match FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS i
-        FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)))
-        SELECT doc_id, pos, match FROM l WHERE regexp_matches({low}, {O.q(O.re2(W.FP_CREDENTIAL_EMPTY, False))})
+    return f"""WITH {O.corpus(False)}, l AS (SELECT doc_id, source, CAST(i AS INTEGER) AS pos, lines[i + 1] AS match FROM (SELECT doc_id, source, lines, unnest(range(len(lines))) AS i
+        FROM (SELECT doc_id, 'documents' AS source, string_split(text, chr(10)) AS lines FROM documents
+            UNION ALL SELECT file_id, 'corpus', string_split(content, chr(10)) FROM corpus)))
+        SELECT doc_id, source, pos, match FROM l WHERE regexp_matches({low}, {O.q(O.re2(W.FP_CREDENTIAL_EMPTY, False))})
         OR regexp_matches({low}, {O.q(O.re2(W.FP_CREDENTIAL_DECLARATION, False))})
         OR (regexp_matches({low}, {O.q(O.re2(W.FP_CREDENTIAL_CALL, False))}) AND NOT regexp_matches({low}, '["'']'))"""
 

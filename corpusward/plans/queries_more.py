@@ -16,7 +16,7 @@ from ..operators.rule_table import scan_rule_table
 from ..operators.scan import PATTERN_FAMILIES, context_frame, raw_matches, scan_endpoints_legacy, scan_files, scan_patterns_legacy
 from ..sources.results import lookup_batch, lookup_file, sink_results_json
 from ..sources.urls import order_by_file_id
-from ..streaming.files import stream_batch_progress, stream_scan_files
+from ..streaming.files import analyze_stream, streamed_findings, streamed_progress
 from ..streaming.limiter import exempt_trusted, limit_request_stream, limit_requests
 from . import oracle as O
 from .analyze import analyze, files_of
@@ -96,9 +96,18 @@ def _refined_sql() -> str:
 _BY_TECHNIQUE = lambda: f"SELECT file_id, {_refined_sql()} AS technique, count(*) AS n FROM findings WHERE technique IS NOT NULL GROUP BY ALL"
 
 
-@query('agg_by_technique', lambda: findings_sql(EVERY, _BY_TECHNIQUE()))
+_PAGE = 3
+
+
+@query('agg_by_technique', lambda: findings_sql(EVERY, f"""SELECT file_id, technique, CAST((n - 1) // {_PAGE} AS INTEGER) AS page, count(*) AS n,
+    string_agg(concat(category, '/', type, '/', match, '/', line), chr(10) ORDER BY n) AS items FROM (SELECT *, row_number() OVER (PARTITION BY file_id, technique
+        ORDER BY list_position([{', '.join(map(O.q, T.LISTED))}], category), part, rule_ord, match_ord) AS n
+        FROM (SELECT * EXCLUDE (technique), {_refined_sql()} AS technique FROM findings WHERE technique IS NOT NULL)) GROUP BY file_id, technique, (n - 1) // {_PAGE}"""))
 def _techniques(spark, d):
-    return T.agg_by_technique(found(spark, d, EVERY))
+    """The findings of each technique as lists, here three to a page."""
+    pages_ = T.list_by_technique(found(spark, d, EVERY), _PAGE)
+    item = F.transform('items', lambda i: F.concat_ws('/', i['category'], i['type'], i['match'], i['line'].cast('string')))
+    return pages_.select('file_id', 'technique', 'page', F.size('items').cast('long').alias('n'), F.array_join(item, '\n').alias('items'))
 
 
 @query('refine_technique', lambda: findings_sql(EVERY, f"SELECT type, technique AS given, {_refined_sql()} AS technique, count(*) AS n FROM findings "
@@ -412,15 +421,15 @@ def _char_entropy(spark, d):
     return counts.groupBy('doc_id').agg(F.count('*').alias('n_chars'), F.round(F.sum(-p * F.log2(p)), 6).alias('entropy'))
 
 
-def _scan_columns(name: str, families: list[str], columns: list[str]) -> None:
-    QUERIES[name] = lambda spark, d: scan_files(corpus(spark, d), families).select(*columns)
-    ORACLE[name] = lambda: findings_sql(families, f"SELECT {', '.join(columns)} FROM findings")
+def _scan_columns(name: str, families: list[str], columns: list[str], shortened: bool = False) -> None:
+    QUERIES[name] = lambda spark, d: scan_files(corpus(spark, d), families, shortened=shortened).select(*columns)
+    ORACLE[name] = lambda: findings_sql(families, f"SELECT {', '.join(columns)} FROM findings", shortened=shortened)
 
 
 _PLACE = ['file_id', 'part', 'rule_ord', 'match_ord']
-_scan_columns('line_content', ['xss_sinks', 'paths'], [*_PLACE, 'category', 'line', 'line_content'])
+_scan_columns('line_content', ['xss_sinks', 'paths'], [*_PLACE, 'category', 'line', 'line_content'], shortened=True)
 _scan_columns('context_lines', ['api_keys', 'libraries'], [*_PLACE, 'category', 'line', 'context_start_line', 'context_end_line'])
-_scan_columns('context_snippet', ['obfuscation', 'server_banners'], [*_PLACE, 'category', 'match', 'context'])
+_scan_columns('context_snippet', ['obfuscation', 'server_banners'], [*_PLACE, 'category', 'match', 'context'], shortened=True)
 _scan_columns('detection_logic', EVERY, [*_PLACE, 'category', 'type', 'method', 'detection_logic'])
 _scan_columns('param_name_value', ['parameters'], [*_PLACE, 'type', 'name', 'match'])
 
@@ -584,14 +593,14 @@ def _relevance(spark, d):
 @query('score_relevance')
 def _score(spark, d):
     """With the trained model; hash seed and solver differ from other libraries, so only rows compare."""
-    return V.score_relevance(corpus(spark, d), V.train_relevance_model(spark), size_limits=False).select('file_id', 'relevant', 'relevance_score')
+    return V.score_relevance(corpus(spark, d), V.train_relevance_model(spark)).select('file_id', 'relevant', 'relevance_score')
 
 
 @query('train_relevance_model')
 def _train(spark, d):
     """Share of documents per source the trained model takes for relevant."""
     files = documents(spark, d).select('doc_id', 'source', F.col('text').alias('content'))
-    scored = V.score_relevance(files, V.train_relevance_model(spark), size_limits=False)
+    scored = V.score_relevance(files, V.train_relevance_model(spark))
     return scored.groupBy('source').agg(F.count('*').alias('n'), F.count_if('relevant').alias('n_relevant'))
 
 
@@ -654,16 +663,12 @@ def _limit_stream(spark, d):
     return _run_stream(limit_request_stream(log, LIMIT, WINDOW)).select('key', 'event_id', 'admitted', 'remaining')
 
 
-def _run_stream(frame: DataFrame, mode: str = 'append') -> DataFrame:
+def _run_stream(frame: DataFrame) -> DataFrame:
     """Run a stream over all available input; the result is read back from files."""
     spark = frame.sparkSession
     path = os.path.join(shared_folder(spark), f'stream-{uuid.uuid4().hex}')
-    if mode == 'append':
-        running = frame.writeStream.format('parquet').option('path', path)
-    else:
-        running = frame.writeStream.foreachBatch(lambda batch, _: batch.write.mode('overwrite').parquet(path))
-    running = running.option('checkpointLocation', path + '-checkpoint').outputMode(mode).trigger(availableNow=True).start()
-    running.awaitTermination()
+    (frame.writeStream.format('parquet').option('path', path).option('checkpointLocation', path + '-checkpoint').outputMode('append')
+     .trigger(availableNow=True).start().awaitTermination())
     return spark.read.schema(frame.schema).parquet(path)
 
 
@@ -672,23 +677,27 @@ def _page_stream(spark, d) -> DataFrame:
     return spark.readStream.schema(schema).option('pathGlobFilter', 'pages.parquet').parquet(d)
 
 
-@query('stream_scan_files', lambda: _stream_sql())
-def _stream_scan(spark, d):
-    pages = _page_stream(spark, d).select(F.col('page_id').alias('file_id'), 'url', F.col('html').alias('content'))
-    found_ = stream_scan_files(pages, ['emails', 'paths', 'parameters'])
-    return _run_stream(found_).select('file_id', 'category', 'rule_ord', 'match_ord', 'type', 'match', 'line', 'line_content')
+def _streamed(spark, d, families: list[str]) -> str:
+    """The corpus analysed as a stream of files; the folder of findings and progress."""
+    files = code_corpus(spark, d, pages=_page_stream(spark, d)).withColumn('batch_id', F.regexp_extract('url', '//[^/]*/([a-z]+)', 1))
+    path = os.path.join(shared_folder(spark), f'stream-{uuid.uuid4().hex}')
+    analyze_stream(files, path, f'{path}-checkpoint', families, with_text=False).awaitTermination()
+    return path
+
 
+_STREAMED = ['file_id', 'category', 'part', 'rule_ord', 'match_ord', 'type', 'method', 'path', 'name', 'match', 'line', 'confidence', 'severity']
 
-def _stream_sql() -> str:
-    ctes = ['corpus AS (SELECT page_id AS file_id, url, html AS content FROM pages)'] + [O.family_cte(f) for f in ('emails', 'paths', 'parameters')]
-    return f"""WITH {', '.join(ctes)} SELECT file_id, category, rule_ord, match_ord, type, match, line, line_content
-        FROM (SELECT * FROM f_emails UNION ALL SELECT * FROM f_paths UNION ALL SELECT * FROM f_parameters)"""
+
+@query('stream_scan_files', lambda: findings_sql(EVERY, f"SELECT {', '.join(_STREAMED)} FROM findings"))
+def _stream_scan(spark, d):
+    """All families, from a stream of the corpus."""
+    return streamed_findings(spark, _streamed(spark, d, EVERY)).select(*_STREAMED)
 
 
 @query('stream_batch_progress', f'SELECT {_BATCH} AS batch_id, count(*) AS completed FROM pages GROUP BY 1')
 def _stream_progress(spark, d):
-    pages = _page_stream(spark, d).select(F.regexp_extract('url', '//[^/]*/([a-z]+)', 1).alias('batch_id'))
-    return _run_stream(stream_batch_progress(pages), 'complete')
+    """Progress that the same stream wrote beside its findings."""
+    return streamed_progress(spark, _streamed(spark, d, ['emails']))
 
 
 @query('analyze', lambda: findings_sql(['api_keys', 'entropy', 'endpoints'], f"""SELECT c.file_id, c.url, CASE WHEN c.file_id % 9 <> 4 THEN length(content) END AS file_size, false AS skipped, coalesce(n_keys, 0) AS n_keys,

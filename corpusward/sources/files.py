@@ -36,7 +36,19 @@ def decode_lenient(data):
     return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit('�'), F.lit('')))
 
 
+RESPONSE_SCHEMA = 'url string, status int, headers map<string,string>, body string, ip string'
+
+
 def scan_crawl_responses(spark: SparkSession, path: str, fmt: str = 'parquet') -> DataFrame:
-    """responses(url, status, headers MAP, body, ip) from a crawl dump."""
-    schema = 'url string, status int, headers map<string,string>, body string, ip string'
-    return spark.read.schema(schema).format(fmt).load(path)
+    """responses(url, status, headers MAP, body, ip, error) from a crawl dump.
+
+    A line of JSON that is no record becomes a row of nulls with the line in
+    ``error``: it is counted with the failed fetches and stops nothing.
+    """
+    if fmt != 'json':
+        return spark.read.schema(RESPONSE_SCHEMA).format(fmt).load(path).withColumn('error', F.lit(None).cast('string'))
+    rows = (spark.read.schema(f'{RESPONSE_SCHEMA}, _line string').option('mode', 'PERMISSIVE')
+            .option('columnNameOfCorruptRecord', '_line').json(path))
+    good = F.col('_line').isNull()
+    return rows.select(*[F.when(good, F.col(c)).alias(c) for c in rows.columns if c != '_line'],
+                       F.concat(F.lit('Unreadable record: '), '_line').alias('error'))

@@ -28,6 +28,29 @@ def stream_batch_progress(files: DataFrame) -> DataFrame:
     return files.groupBy('batch_id').agg(F.count('*').alias('completed'))
 
 
+def analyze_stream(files: DataFrame, path: str, checkpoint: str, families: list[str] = ALL_FAMILIES, **options) -> StreamingQuery:
+    """Findings and then progress of every micro-batch, from one stream of files with a ``batch_id``.
+
+    Each micro-batch writes folders of its own number, findings first; one that is
+    run again after a failure replaces them, so nothing is doubled and no progress
+    is told whose findings are not there.
+    """
+    def both(arrived: DataFrame, number: int) -> None:
+        found = scan_files(arrived, families, **options)
+        found.write.mode('overwrite').parquet(f'{path}/findings/micro_batch={number}')
+        stream_batch_progress(arrived).write.mode('overwrite').parquet(f'{path}/progress/micro_batch={number}')
+    return (files.writeStream.foreachBatch(both).option('checkpointLocation', checkpoint).trigger(availableNow=True).start())
+
+
+def streamed_findings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f'{path}/findings').drop('micro_batch')
+
+
+def streamed_progress(spark: SparkSession, path: str) -> DataFrame:
+    """Completed files per batch over all micro-batches."""
+    return spark.read.parquet(f'{path}/progress').groupBy('batch_id').agg(F.sum('completed').alias('completed'))
+
+
 def write_findings(findings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return (findings.writeStream.format('parquet').option('path', path).option('checkpointLocation', checkpoint)
             .outputMode('append').trigger(availableNow=True).start())

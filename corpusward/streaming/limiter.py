@@ -24,6 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.text import bound
 from ..plans.shared import materialize, shared_folder
 
 # the processor goes to workers as it is: they may not have this package
@@ -119,11 +120,6 @@ def _earlier(a: Column, b: Column) -> Column:
 
 # --- the fold ---------------------------------------------------------------------------------
 
-def _bound(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, however often it is named."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def folded(rows: Column, log: Column, limit: int, window_us: int) -> Column:
     """struct<log, decided> of requests in order, from the times that passed before.
 
@@ -136,13 +132,13 @@ def folded(rows: Column, log: Column, limit: int, window_us: int) -> Column:
         def decide(live: Column) -> Column:
             passed = ~r['reset'] & (F.size(live) < limit)
             after = F.when(r['reset'], F.array().cast('array<bigint>')).when(passed, F.concat(live, F.array(r['_us']))).otherwise(live)
-            return _bound(after, lambda now: F.struct(now.alias('log'), F.concat(state['decided'], F.array(F.struct(
+            return bound(after, lambda now: F.struct(now.alias('log'), F.concat(state['decided'], F.array(F.struct(
                 passed.alias('admitted'), (F.lit(limit) - F.size(now)).alias('remaining')))).alias('decided')))
-        return _bound(F.filter(state['log'], lambda t: t > r['_us'] - window_us), decide)
+        return bound(F.filter(state['log'], lambda t: t > r['_us'] - window_us), decide)
 
     def chunk(state: Column, part: Column) -> Column:
         inner = F.aggregate(part, F.struct(state['log'].alias('log'), F.array().cast(decided).alias('decided')), step)
-        return _bound(inner, lambda done: F.struct(done['log'].alias('log'), F.concat(state['parts'], F.array(done['decided'])).alias('parts')))
+        return bound(inner, lambda done: F.struct(done['log'].alias('log'), F.concat(state['parts'], F.array(done['decided'])).alias('parts')))
 
     chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast('int')), lambda i: F.slice(rows, i * CHUNK + 1, CHUNK))
     start = F.struct(log.alias('log'), F.array().cast(f'array<{decided}>').alias('parts'))

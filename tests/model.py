@@ -16,10 +16,10 @@ def entropy(text):
     return -sum(p * math.log2(p) for c in set(text) if ord(c) < 256 for p in [text.count(c) / len(text)]) if text else 0.0
 
 
-def pattern_rows(rules, text, judged=lambda match, label: False):
+def pattern_rows(rules, text, judged=lambda match, label: False, shortened=False):
     """(rule_ord, match_ord, type, match, line, line_content, context, first, last) of the kept matches."""
     lines = text.split('\n')
-    k = 0 if len(lines) == 1 and len(text) > 10000 else 5
+    k = 0 if shortened and len(lines) == 1 and len(text) > 10000 else 5
     seen, rows = set(), []
     for rule, i, m, line in places(rules, text):
         if rule.strict is False and judged(m[0], rule.label):
@@ -29,12 +29,12 @@ def pattern_rows(rules, text, judged=lambda match, label: False):
         seen.add((line, m[0], rule.label))
         first, end = max(0, line - 1 - k), min(len(lines), line + k)
         context = '\n'.join(lines[first:end])
-        if len(context) > 1000:
+        if shortened and len(context) > 1000:
             newline = text[max(0, m.start() - 500):m.start()].rfind('\n')
             back = len(text[max(0, m.start() - 500):m.start()]) - newline if newline >= 0 else m.start() + 1
             context = context[max(0, back - 200):min(len(context), back + len(m[0]) + 200)]
         shown = lines[line - 1]
-        if len(shown) > 500:
+        if shortened and len(shown) > 500:
             shown = shown[:200] + '...' + shown[-200:]
         rows.append((rule.ord, i, rule.label, m[0], line, shown.strip(), context, first + 1, end))
     return rows

@@ -3,7 +3,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpusward.streaming.files import FILE_SCHEMA, read_file_stream, stream_batch_progress, stream_scan_files, write_findings
+from corpusward.streaming.files import (FILE_SCHEMA, analyze_stream, read_file_stream, stream_batch_progress, stream_scan_files, streamed_findings,
+                                        streamed_progress, write_findings)
 from corpusward.streaming.limiter import SLICES, exempt_trusted, limit_request_stream, limit_requests, stretches, timed
 from corpusward.operators.scan import scan_files
 
@@ -137,3 +138,25 @@ def test_file_stream_equals_batch(spark, tmp_path):
             .outputMode('complete').trigger(availableNow=True).start())
     seen.awaitTermination()
     assert sorted(map(tuple, spark.table('progress').collect())) == [('b0', 3), ('b1', 3)]
+
+
+def test_a_micro_batch_run_again_doubles_nothing(spark, tmp_path):
+    """The last micro-batch is written but not committed, as after a failure; the restarted stream runs it again."""
+    rows = [(i, 'http://h.io/a.js', f'password = "secret{i}"; eval(x)', f'b{i % 2}') for i in range(6)]
+    frame = spark.createDataFrame(rows, FILE_SCHEMA)
+    source, out, check = str(tmp_path / 'files'), str(tmp_path / 'out'), tmp_path / 'check'
+    frame.repartition(3).write.parquet(source)
+    families = ['credentials', 'sink_calls']
+
+    def run():
+        analyze_stream(read_file_stream(spark, source, 1), out, str(check), families).awaitTermination()
+    run()
+    last = max((check / 'commits').glob('[0-9]*'), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f'.{last.name}.crc').unlink(missing_ok=True)
+    run()
+    found = streamed_findings(spark, out)
+    batch = scan_files(frame, families)
+    assert found.columns == batch.columns
+    assert sorted(map(str, found.collect())) == sorted(map(str, batch.collect()))
+    assert sorted(map(tuple, streamed_progress(spark, out).collect())) == [('b0', 3), ('b1', 3)]

@@ -35,8 +35,8 @@ def judged(match, label):
     return label == 'JWT Token' and (match.count('.') < 2 or len(match) < 50)
 
 
-def check(files, spark, contents, families, columns, expect):
-    rows = scan_files(files(*contents, url='http://other.io/a/b.js'), families).select('file_id', 'family', *columns).collect()
+def check(files, spark, contents, families, columns, expect, **options):
+    rows = scan_files(files(*contents, url='http://other.io/a/b.js'), families, **options).select('file_id', 'family', *columns).collect()
     got = {}
     for r in rows:
         got.setdefault((r.file_id, r.family), []).append(tuple(r)[2:])
@@ -50,9 +50,10 @@ LONG = ['x' * 9000 + ' el.innerHTML = "a";' + 'y' * 3000, 'z' * 600 + 'password=
         'é' * 520 + '\n' + 'ü' * 499 + 'a@b.cc' + '\n' + 'v' * 900, '\n' * 20 + '// FIXME', '', '\n']
 
 
-def test_patterns_equal_the_model(spark, files):
+@pytest.mark.parametrize('shortened', [False, True])
+def test_patterns_equal_the_model(spark, files, shortened):
     columns = ['rule_ord', 'match_ord', 'type', 'match', 'line', 'line_content', 'context', 'context_start_line', 'context_end_line']
-    check(files, spark, texts(40) + LONG, PATTERN_FAMILIES, columns, lambda rules, t: model.pattern_rows(rules, t, judged))
+    check(files, spark, texts(40) + LONG, PATTERN_FAMILIES, columns, lambda rules, t: model.pattern_rows(rules, t, judged, shortened), shortened=shortened)
 
 
 def test_endpoints_paths_parameters_equal_the_model(spark, files):
