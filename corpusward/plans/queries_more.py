@@ -14,7 +14,7 @@ from ..functions.text import shannon_entropy, strip_quotes
 from ..operators import dedup as D, recommend as C, relevance as V, report as T, responses as S
 from ..operators.rule_table import scan_rule_table
 from ..operators.scan import PATTERN_FAMILIES, context_frame, raw_matches, scan_endpoints_legacy, scan_files, scan_patterns_legacy
-from ..sources.results import lookup_batch, lookup_file, sink_results_json
+from ..sources.results import lookup_batch, lookup_file, sink_results_json, write_bucketed
 from ..sources.urls import order_by_file_id
 from ..streaming.files import analyze_stream, streamed_findings, streamed_progress
 from ..streaming.limiter import exempt_trusted, limit_request_stream, limit_requests
@@ -62,6 +62,18 @@ def _summary(spark, d):
     return T.agg_file_summary(code_corpus(spark, d), found(spark, d, SUMMARY))
 
 
+def _bucketed(spark, frame: DataFrame, name: str) -> DataFrame:
+    unique = f'{name}_{uuid.uuid4().hex}'
+    return write_bucketed(frame, unique, int(spark.conf.get('spark.sql.shuffle.partitions')), os.path.join(shared_folder(spark), unique))
+
+
+@query('bucketed_file_summary', lambda: findings_sql(SUMMARY, _SUMMARY_SQL))
+def _bucketed_summary(spark, d):
+    """The summary from a corpus dealt by file once: scan, counts and join then move nothing."""
+    files = _bucketed(spark, code_corpus(spark, d), 'corpus')
+    return T.agg_file_summary(files, scan_files(files, SUMMARY, with_text=False))
+
+
 @query('agg_category_counts', lambda: findings_sql(EVERY, f"""SELECT file_id, category, count(*) AS n, CASE category {' '.join(
     f"WHEN '{c}' THEN {O.q(t)}" for c, t in T.TITLES.items())} ELSE category END AS title FROM findings GROUP BY file_id, category"""))
 def _category_counts(spark, d):

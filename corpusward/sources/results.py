@@ -28,6 +28,12 @@ def lookup_file(spark: SparkSession, path: str, batch_id: str, file_id: int) ->
     return lookup_batch(spark, path, batch_id).where(F.col('file_id') == file_id)
 
 
-def write_bucketed(files: DataFrame, table: str, buckets: int) -> None:
-    """Corpus as a table bucketed by file, so that per-file steps need no shuffle of texts."""
-    files.write.mode('overwrite').bucketBy(buckets, 'file_id').sortBy('file_id').saveAsTable(table)
+def write_bucketed(files: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Corpus or findings as a table bucketed by file, a file per bucket; per-file steps on it need no shuffle.
+
+    Tables with the same number of buckets join without one too.  The table is
+    in the warehouse, or at ``path``.
+    """
+    dealt = files.repartition(buckets, 'file_id').write.mode('overwrite').bucketBy(buckets, 'file_id').sortBy('file_id')
+    (dealt.option('path', path) if path else dealt).saveAsTable(table)
+    return files.sparkSession.table(table)
