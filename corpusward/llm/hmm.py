@@ -218,7 +218,11 @@ def score_texts(docs: DataFrame, text: str = 'text', key: str = 'doc_id', folds:
     (a null key is not learned from).  A null text is an empty one: its only token
     is the end.  Scores are log10 probabilities: ``base_score`` of independent
     words with counts raised by 0.1, ``score`` of the model.  Without training
-    texts all counts are 0.  Other columns are not returned.
+    texts all counts are 0.  Other columns are not returned.  The input is read
+    twice and must give the same rows both times: one behind a shuffle whose order
+    may differ is to be written to a table first.  Training cuts texts into
+    segments of 256 tokens and does not count the transitions over these cuts;
+    scoring does not cut.
     """
     spark = docs.sparkSession
     part = fold(key, folds)
@@ -269,39 +273,49 @@ def score_texts(docs: DataFrame, text: str = 'text', key: str = 'doc_id', folds:
     stream = book.unionByName(told).repartition('chunk').sortWithinPartitions('chunk', 'what')
 
     def run(batches):
-        classes, count, now = Classes(top), {}, None
-        end_base, waiting, held = np.log10(ends + SMOOTH) - whole, [], 0
+        classes, now, end_base = Classes(top), None, np.log10(ends + SMOOTH) - whole
+        place, words, counts, book_of, waiting, held = {}, [], [], None, [], 0
 
         def scored():
+            nonlocal book_of
+            if book_of is None:  # the chunk's different words, each looked at once
+                c = np.concatenate([np.empty(0), *counts])
+                symbol = np.fromiter(map(classes.__getitem__, words), np.int32, len(words))
+                book_of = c > 0, symbol, np.log10(c + SMOOTH), np.where(symbol > TOP, np.log10(c + SMOOTH) - inside[symbol], 0.0)
+            seen, symbol, log_c, within = book_of
             sequences, out = [], []
             for id_, text in waiting:
                 found = tokens(text)
                 try:
-                    c = np.fromiter(map(count.__getitem__, found), float, len(found))
+                    at = np.fromiter(map(place.__getitem__, found), np.int32, len(found))
                 except KeyError:
                     raise RuntimeError('the input gave other rows at its second reading; write it to a table first') from None
-                symbols = np.append(np.fromiter(map(classes.__getitem__, found), np.int32, len(found)), np.int32(0))
-                log_c = np.log10(c + SMOOTH)
-                rare = symbols[:-1] > TOP
-                out.append((id_, len(symbols), int((c > 0).sum()) + int(ends > 0), float((log_c - whole).sum() + end_base),
-                            float((log_c[rare] - inside[symbols[:-1][rare]]).sum())))
-                sequences.append(symbols)
+                sequences.append(np.append(symbol[at], np.int32(0)))
+                out.append((id_, len(at) + 1, int(seen[at].sum()) + int(ends > 0), float((log_c[at] - whole).sum() + end_base), float(within[at].sum())))
             logs = log_chances(model, sequences) / np.log(10)
             columns = [pa.array([o[0] for o in out], key_type), *(pa.array([o[i] for o in out], pa.int64()) for i in (1, 2)),
                        pa.array([o[3] for o in out], pa.float64()), pa.array([o[4] for o in out] + logs, pa.float64())]
             return pa.RecordBatch.from_arrays(columns, ['key', 'n_tokens', 'n_known', 'base_score', 'score'])
 
         for batch in batches:
-            chunk, what, word, c, keys, text = batch.columns
-            for k, w, a, n, id_, t in zip(chunk.to_pylist(), what.to_pylist(), word, c, keys, text):
-                if k != now:
+            chunk, what = batch['chunk'].to_numpy(), batch['what'].to_numpy()
+            edges = np.flatnonzero((np.diff(chunk) != 0) | (np.diff(what) != 0)) + 1
+            for a, b in zip(np.r_[0, edges].tolist(), np.r_[edges, len(chunk)].tolist()):
+                if a == b:
+                    continue
+                if chunk[a] != now:
                     if waiting:
                         yield scored()
-                    count, now, waiting, held = {}, k, [], 0
-                if w == 0:
-                    count[a.as_py()] = n.as_py()
-                else:
-                    waiting.append((id_.as_py(), t.as_py()))
+                    now, place, words, counts, book_of, waiting, held = chunk[a], {}, [], [], None, [], 0
+                part = batch.slice(a, b - a)
+                if what[a] == 0:
+                    more = part['word'].to_pylist()
+                    place.update(zip(more, range(len(words), len(words) + len(more))))
+                    words += more
+                    counts.append(part['c'].to_numpy().astype(float))
+                    continue
+                for id_, text in zip(part['_key'].to_pylist(), part['_text']):
+                    waiting.append((id_, text.as_py()))
                     held += len(waiting[-1][1] or '')
                     if held > 2 * CHUNK_BYTES:
                         yield scored()
