@@ -10,7 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Words of the contracts: everything but the six ASCII white-space characters.
 SPACE = r'[\x20\x09-\x0D]+'
@@ -78,6 +78,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f'{sf_dir}/documents.parquet')
 
 
+def least_hashed(rows: DataFrame, key: str, group: str, n: int) -> DataFrame:
+    """Of every group the ``n`` rows whose key has the smallest hash; rows of equal key count once.
+
+    Only rows below a hash that a few times ``n`` of a group's rows are below are
+    ranked, so no task gets a group.  Groups are as many as a model has outputs.
+    """
+    share = F.xxhash64(key).cast('double') / 2.0 ** 64 + 0.5
+    group_of, size, rank = free_name(rows, '_group', '_size', '_rank')
+    sizes = rows.groupBy(F.col(group).alias(group_of)).agg(F.count('*').alias(size))
+    few = rows.join(F.broadcast(sizes), F.col(group) == F.col(group_of)).where(share * F.col(size) < 4 * n + 100)
+    few = few.drop(group_of, size).dropDuplicates([key])
+    order = Window.partitionBy(group).orderBy(F.xxhash64(key), key)
+    return few.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= n).drop(rank)
+
+
 def free_name(frame: DataFrame, *wanted: str) -> list[str]:
     """Names near the wanted ones that no column of the frame has (names compare without case)."""
     taken, found = {c.lower() for c in frame.columns}, []

@@ -15,9 +15,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fold, free_name, gathered
+from .common import fold, free_name, gathered, least_hashed
 
 BUCKETS = 1 << 14
 SIZES = (2, 3, 4)
@@ -89,9 +89,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def sample(docs: DataFrame, text: str, label: str, key: str, per_language: int) -> DataFrame:
     """Bucket counts of the sampled rows: (label, ids array<int>, counts array<int>)."""
-    by_hash = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    chosen = (docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(key, label, text)
-              .withColumn('_rank', F.row_number().over(by_hash)).where(F.col('_rank') <= per_language))
+    chosen = least_hashed(docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(key, label, text), key, label, per_language)
 
     def counted(texts: pa.Array) -> pa.Array:
         rows = []

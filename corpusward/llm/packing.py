@@ -138,7 +138,8 @@ def pack(pieces: DataFrame, capacity: int, length: str = 'length', rows_per_rang
     Lengths must be 1 to ``capacity``; others, also null ones, are an error.
     Pieces of one length are numbered range by range, so that a length that most
     pieces have is no single task.  Result columns replace input columns of their
-    names; an empty table stays empty; repeated rows are rows of their own.
+    names; an empty table stays empty; repeated rows are rows of their own.  The
+    same table, read again, is packed alike.
     """
     pieces = pieces.drop('sequence_id', 'offset')
     salt, size, rank = free_name(pieces, '_salt', '_size', '_rank')
@@ -152,7 +153,9 @@ def pack(pieces: DataFrame, capacity: int, length: str = 'length', rows_per_rang
     counts = kept.groupBy(size, salt).agg(F.count('*').alias('_n'))
     before = counts.withColumn('_before', F.sum('_n').over(
         Window.partitionBy(size).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)))
-    numbered = (kept.withColumn(rank, F.row_number().over(Window.partitionBy(size, salt).orderBy(length)) - 1)
+    # by all columns, so that a task run again after a lost executor gives the same numbers
+    order = [c for c in pieces.columns if 'map<' not in pieces.schema[c].dataType.simpleString()]
+    numbered = (kept.withColumn(rank, F.row_number().over(Window.partitionBy(size, salt).orderBy(*order)) - 1)
                 .join(before.select(size, salt, F.coalesce('_before', F.lit(0)).alias('_before')), [size, salt])
                 .withColumn(rank, F.col(rank) + F.col('_before')).drop('_before', salt))
     table = pieces.sparkSession.createDataFrame(

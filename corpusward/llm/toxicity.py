@@ -18,9 +18,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import free_name, gathered
+from .common import free_name, gathered, least_hashed
 
 BUCKETS = 1 << 18
 GRADES = 3
@@ -68,8 +68,7 @@ def sample(docs: DataFrame, labels: DataFrame, text: str, key: str, sample_rows:
     """(toxic, ids array<int>, of array<int>) of the sampled rows: buckets and the number of the word each is of."""
     marks = (labels.where('toxic is not null').groupBy(F.col(key).alias('_key')).agg(F.max('toxic').alias('toxic'))
              .where('_key is not null'))
-    by_hash = Window.partitionBy('toxic').orderBy(F.xxhash64('_key'), '_key')
-    chosen = marks.withColumn('_rank', F.row_number().over(by_hash)).where(F.col('_rank') <= sample_rows // 2).drop('_rank')
+    chosen = least_hashed(marks, '_key', 'toxic', sample_rows // 2)
 
     def run(texts: pa.Array) -> pa.Array:
         rows = []

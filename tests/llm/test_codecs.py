@@ -113,6 +113,14 @@ def test_pack(spark, ranges):
             pack(spark.createDataFrame([(1, wrong)], 'doc_id long, length int'), 64)
 
 
+def test_pack_gives_equal_places_again(spark, tmp_path):
+    """Many pieces of one length in several files: every reading numbers them alike."""
+    rows = [(i, 7 if i % 3 else 20, f'{i}') for i in range(3000)]
+    spark.createDataFrame(rows, 'doc_id long, length int, name string').repartition(6).write.parquet(str(tmp_path / 'pieces'))
+    runs = [sorted(map(tuple, pack(spark.read.parquet(str(tmp_path / 'pieces')), 64, rows_per_range=500).collect())) for _ in range(2)]
+    assert runs[0] == runs[1]
+
+
 def test_plan_finds_the_best_on_small_cases():
     def fewest(sizes, capacity):
         best = len(sizes)

@@ -295,3 +295,118 @@ def test_binomial_tail_of_many_documents(n):
     p = 0.05 / 6
     k = int(n * p - 4 * math.sqrt(n * p * (1 - p)))
     assert binomial_tail(k, n, p) == pytest.approx(0.5 * math.erfc(4 / math.sqrt(2)), rel=0.01)
+
+
+def hmm_by_hand(texts, passes):
+    """Classes, class shares, Baum-Welch and scores of {id: text} in plain Python."""
+    split = {i: (t or '').encode().lower().split() for i, t in texts.items()}
+    learned = [i for i in texts if fold(i, 10)]
+    count = Counter(w for i in learned for w in split[i])
+    top = sorted(count, key=lambda w: (-count[w], w))[:hmm.TOP]
+    own = {w: 1 + k for k, w in enumerate(top)}
+
+    def shared(w):
+        return 1 + hmm.TOP + zlib.crc32(w[-3:]) % hmm.ENDINGS
+    size, words = [0.0] * hmm.CLASSES, [0.0] * hmm.CLASSES
+    size[0] = len(learned)
+    for w, c in count.items():
+        size[own.get(w, shared(w))] += c
+        words[shared(w)] += w not in own
+    total = sum(x + hmm.SMOOTH for x in size)
+    shares = np.array([(x + hmm.SMOOTH) / total for x in size])
+    shares[1 + len(top):1 + hmm.TOP] = 0
+    shares /= shares.sum()
+    symbols = {i: [own.get(w, shared(w)) for w in split[i]] + [0] for i in texts}
+    model, n = hmm.first_guess(shares), hmm.STATES
+
+    def forward(s):
+        rows = [[model.start[k] * model.emit[s[0], k] for k in range(n)]]
+        for x in s[1:]:
+            rows.append([sum(rows[-1][j] * model.move[j, k] for j in range(n)) * model.emit[x, k] for k in range(n)])
+        return rows
+    for _ in range(passes):
+        start, move, emit = np.zeros(n), np.zeros((n, n)), np.zeros((hmm.CLASSES, n))
+        for i in learned:
+            s, alpha = symbols[i], forward(symbols[i])
+            beta = [[1.0] * n]
+            for x in reversed(s[1:]):
+                beta.insert(0, [sum(model.move[k, j] * model.emit[x, j] * beta[0][j] for j in range(n)) for k in range(n)])
+            chance = sum(alpha[-1])
+            for at, x in enumerate(s):
+                for k in range(n):
+                    emit[x, k] += alpha[at][k] * beta[at][k] / chance
+                    start[k] += alpha[at][k] * beta[at][k] / chance if at == 0 else 0
+                    for j in range(n) if at else ():
+                        move[j, k] += alpha[at - 1][j] * model.move[j, k] * model.emit[x, k] * beta[at][k] / chance
+        start, move, emit = start + 0.1, move + 0.1, emit + 0.01 + shares[:, None]
+        model = hmm.Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    out = {}
+    for i in texts:
+        score = math.log10(sum(forward(symbols[i])[-1]))
+        for w in split[i]:
+            if w not in own:
+                k = shared(w)
+                score += math.log10(count[w] + hmm.SMOOTH) - math.log10(size[k] + hmm.SMOOTH * (words[k] + 1))
+        out[i] = score
+    return out
+
+
+def test_scores_by_hand(documents):
+    rng = random.Random(6)
+    words = [f'w{i}' for i in range(2300)]  # more than have a class of their own
+    texts = [' '.join(rng.choice(words[:40] if rng.random() < 0.5 else words) for _ in range(rng.randint(0, 40))) for _ in range(150)] + [None, 'neverseen w1', 'W1 w2']
+    expected = hmm_by_hand(dict(enumerate(texts)), 2)
+    found = {r['doc_id']: r['score'] for r in score_texts(documents(*texts).repartition(3), passes=2).collect()}
+    assert found == pytest.approx(expected, rel=1e-9)
+
+
+def test_quality_verdicts_by_hand(spark, documents):
+    """Counts of good documents beyond each cut-off, their exact bounds, the lowest certified ones and the verdicts."""
+    rng = random.Random(12)
+    texts, langs, labels = [], [], []
+    for i in range(12000):
+        poor = rng.random() < 0.3
+        n = rng.randint(15, 60)
+        text = ' '.join(rng.choice(['alpha', 'beta', 'gamma!', 'DELTA', 'long' * 4, 'x']) if poor and rng.random() < 0.5 else f'word{rng.randint(0, 500)}' for _ in range(n))
+        texts.append(text + (' ###' * 20 if poor else ''))
+        langs.append(['en', 'de', None][i % 3])
+        labels.append((i, int(not poor or rng.random() < (0.2 if i % 3 == 1 else 0.01))))
+    docs = documents(*texts, lang=langs)
+    marked = spark.createDataFrame(labels, 'doc_id long, quality int')
+    counted = {r['doc_id']: r for r in measured(docs).collect()}
+
+    def values(r):
+        w, c, lines = r['n_words'], r['word_chars'], r['n_lines']
+        return {'symbols_per_word': r['n_symbols'] / w, 'marks_per_word': r['n_marks'] / w, 'upper_share': r['n_upper'] / c,
+                'repeated_lines': r['n_dup_lines'] / lines, 'repeated_words': r['n_repeat_words'] / w, 'long_words': c / w}
+
+    def failed(r):
+        return r['n_words'] < 20 or 100 * r['n_repeat_words'] > 30 * r['n_words']
+    tests, limits = 3 * sum(map(len, GRID.values())), {}
+    for lang in ('en', 'de', None):
+        good = [values(counted[i]) for i, q in labels if q and langs[i] == lang and not failed(counted[i])]
+        for name, grid in GRID.items():
+            for cutoff in grid:
+                k, n, p = sum(v[name] > cutoff for v in good), len(good), 0.05 / len(GRID)
+                tail = math.fsum(math.comb(n, j) * p ** j * (1 - p) ** (n - j) for j in range(k + 1))
+                if k < p * n and tail <= 0.05 / tests:
+                    limits[lang, name] = cutoff
+                    break
+    assert any(c != GRID[name][0] for (_, name), c in limits.items())
+    for r in judge(docs, marked).collect():
+        reasons = [name for name, v in values(counted[r['doc_id']]).items() if (r['stratum'], name) in limits and v > limits[r['stratum'], name]]
+        assert (r['reasons'], r['base_failed'], r['kept']) == (reasons, failed(counted[r['doc_id']]), not reasons and not failed(counted[r['doc_id']]))
+
+
+def test_least_hashed_rows(spark):
+    """The rows of smallest hash of each group, however hot the group or a key."""
+    from corpusward.llm.common import least_hashed
+    rows = [(i, 'hot' if i % 10 else f'g{i % 3}', f't{i}') for i in range(20_000)] + [(7, 'hot', 'again')] * 5_000 + [(None, 'hot', 'n')] * 3
+    frame = spark.createDataFrame(rows, 'k long, g string, _rank string').repartition(7)
+    hashed = {r.k: r.h for r in frame.select('k', F.xxhash64('k').alias('h')).distinct().collect()}
+    found = {}
+    for r in least_hashed(frame, 'k', 'g', 50).collect():
+        found.setdefault(r.g, []).append(r.k)
+    for group in {g for _, g, _ in rows}:
+        assert sorted(found[group], key=hashed.get) == sorted({k for k, g, _ in rows if g == group}, key=hashed.get)[:50]
+    assert least_hashed(frame.where('false'), 'k', 'g', 5).collect() == []
