@@ -311,15 +311,23 @@ def _heuristic(spark, d):
     return V.filter_relevance_heuristic(table(spark, d, 'documents').withColumnRenamed('text', 'content')).select('doc_id', 'relevant')
 
 
-@query('gate_skipped_files', f"""SELECT doc_id, NOT r AS skipped, CASE WHEN NOT r THEN
-    'Skipped by ML Filter (Low relevance score: ' || format('{{:.2f}}', n_chars / 100.0) || ')' END AS error
-    FROM (SELECT *, coalesce({_DOC_SIZE}, true) AS r FROM documents)""")
+# a score that both sides can compute: the share of letters, relevant from 0.8 on
+_SHARE = "(CAST(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS DOUBLE) / greatest(length(text), 1))"
+
+
+@query('gate_skipped_files', lambda: f"""WITH corpus AS (SELECT doc_id AS file_id, source AS url, text AS content FROM documents), {O.family_cte('emails')},
+    s AS (SELECT doc_id AS file_id, length(text) > 0 AND {_SHARE} < 0.8 AS skipped, {_SHARE} AS score FROM documents)
+    SELECT s.file_id, skipped, CASE WHEN skipped THEN 'Skipped by ML Filter (Low relevance score: ' || format('{{:.2f}}', score) || ')' END AS error,
+        count(f.file_id) FILTER (NOT skipped) AS n_findings FROM s LEFT JOIN f_emails f ON f.file_id = s.file_id GROUP BY s.file_id, skipped, score""")
 def _gate(spark, d):
-    """The gate on the size heuristic alone; the score shown is the size in hundreds."""
-    files = table(spark, d, 'documents').withColumnRenamed('text', 'content')
-    scored = files.withColumns({'relevant': V.heuristic_relevance(F.col('content'), F.lit(True)), 'relevance_score': F.col('n_chars') / 100.0})
-    return V.gate_skipped_files(scored).select('doc_id', 'skipped', F.array_join('errors', '').alias('error')) \
-        .withColumn('error', F.nullif('error', F.lit('')))
+    """Every document scored; a skipped one is listed with its score, its error line and no findings."""
+    files = documents(spark, d).select(F.col('doc_id').alias('file_id'), F.col('source').alias('url'), F.col('text').alias('content'))
+    size = F.length('content')
+    score = F.length(F.regexp_replace('content', '[^A-Za-z]', '')) / F.greatest(size, F.lit(1))
+    gated = V.gate_skipped_files(files.withColumn('relevance_score', score).withColumn('relevant', ~((size > 0) & (F.col('relevance_score') < 0.8))))
+    found_ = scan_files(gated.where('not skipped'), ['emails'], with_text=False).groupBy('file_id').agg(F.count('*').alias('n_findings'))
+    return gated.select('file_id', 'skipped', F.nullif(F.array_join('errors', ''), F.lit('')).alias('error')).join(found_, 'file_id', 'left') \
+        .fillna(0, ['n_findings'])
 
 
 CHECKED = ['api_keys', 'credentials', 'comments', 'libraries', 'obfuscation']

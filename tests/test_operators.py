@@ -1,5 +1,7 @@
 import json
+import math
 import os
+import re
 
 from pyspark.sql import functions as F
 
@@ -182,6 +184,20 @@ def test_the_model_decides_files_of_any_size(spark, files):
     assert sum(r.n_relevant for r in queries()['train_relevance_model'](spark, SMALL).collect()) == predicted + empty
 
 
+def test_scores_of_the_model_by_hand(spark, files):
+    """Presence of hashed tokens, scaled to length one, times the weights of the trained model."""
+    model = V.train_relevance_model(spark)
+    texts = ['eval(userInput); token = "x y"; eval(data)', 'lorem ipsum dolor', 'a b c', '', 'Password PASSWORD password', *V.W.RELEVANT_SAMPLES, *V.W.IRRELEVANT_SAMPLES]
+    index, weights, bias = model.stages[1], model.stages[3].coefficients, model.stages[3].intercept
+    for r in V.score_relevance(files(*texts), model).collect():
+        held = {index.indexOf(t) for t in re.findall(r'\b\w\w+\b', texts[r.file_id].lower())}
+        margin = bias + (sum(weights[i] for i in held) / len(held) ** 0.5 if held else 0.0)
+        if not texts[r.file_id]:
+            assert r.relevant and r.relevance_score == 1.0
+        else:
+            assert r.relevant == (margin > 0) and abs(r.relevance_score - 1 / (1 + math.exp(-margin))) < 1e-9
+
+
 def test_size_gate_of_the_sink_scan_is_a_choice(spark, files):
     frame = files('eval(a);' + ' ' * 1024 * 1024)
     assert scan_files(frame, ['sink_calls']).count() == 1
