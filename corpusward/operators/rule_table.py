@@ -127,10 +127,8 @@ def scan_rule_table(files: DataFrame, rules: DataFrame, *, family: str = 'custom
 
         hits = F.struct(F.col('rule.ord').alias('rule_ord'), java.alias('regex'), F.regexp_extract_all('content', java, F.lit(0)).alias('texts'),
                         *([all_of(1).alias('one'), all_of(2).alias('two')] if extracts else []))
-        hit = rows.select(*FILE_KEYS, 'content', F.array(hits).alias('hits')).where(F.size(F.get('hits', F.lit(0))['texts']) > 0)
-        one_line = (F.instr('content', '\n') == 0) & (F.length('content') > 10000)
-        located = hit.select(*FILE_KEYS, F.lit(family).alias('family'), F.split('content', '\n').alias('lines'), one_line.alias('one_long_line'),
-                             spots_of(F.col('hits'), F.col('content'), extracts).alias('spots'))
+        hit = rows.select(*FILE_KEYS, 'content', F.split('content', '\n').alias('lines'), F.lit(family).alias('family'), F.array(hits).alias('hits'))
+        located = spots_of(hit.where(F.size(F.get('hits', F.lit(0))['texts']) > 0), F.col('content'), [*FILE_KEYS, 'lines'], extracts)
         parts.append(findings_of(located, {family: block}, context_lines=context_lines, with_text=with_text, own_label_each=True))
     found = parts[0]
     for more in parts[1:]:

@@ -84,41 +84,43 @@ def locate(files: DataFrame, families: dict[str, list[Rule]], keep: list[str] =
     """One row per file and family with matches.
 
     Columns: the kept file columns, ``family``, ``lines`` (the text as lines, if
-    wanted), ``one_long_line`` and ``spots`` - an array of (rule_ord, regex,
-    match_ord, match, start, line, col) in rule, then position order, with the
-    groups one and two if any rule is the user's own.
-
-    Places are found before the file's row becomes a row per family, so the text
-    is not copied for each of them.
+    wanted), ``one_long_line`` and ``spots`` - an array of (rule_ord, regex, match_ord,
+    match, start, line, col) in rule, then position order, with the groups one
+    and two if any rule is the user's own.
     """
     families = {name: rules for name, rules in families.items() if rules} or dict(list(families.items())[:1])
     with_groups = any(r.own for rules in families.values() for r in rules)
     with_code = 'sink_calls' in families
-    base = files.where(F.length('content') > 0).withColumn('folded', fold_case(F.col('content')))
+    base = files.where(F.length('content') > 0).select(*keep, 'content', fold_case(F.col('content')).alias('folded'))
     if with_lines:
         base = base.withColumn('lines', F.split('content', '\n'))
     if with_code:
         base = base.withColumn('code', code_of(F.col('content')))
-    found = []
-    for name, rules in families.items():
-        text = 'code' if name == 'sink_calls' else 'content'
-        hits = F.expr(_rule_matches(rules, text, with_groups))
-        found.append(F.struct(F.lit(name).alias('family'), spots_of(hits, F.col(text), with_groups).alias('spots')))
-    one_line = (F.instr('content', '\n') == 0) & (F.length('content') > 10000)
-    columns = [*keep, *(['lines'] if with_lines else []), one_line.alias('one_long_line')]
-    return (base.select(*columns, F.explode(F.array(*found)).alias('f'))
-            .select(*keep, F.col('f.family').alias('family'), *(['lines'] if with_lines else []), 'one_long_line', F.col('f.spots').alias('spots'))
-            .where(F.size('spots') > 0))
-
-
-def spots_of(hits: Column, text: Column, with_groups: bool) -> Column:
-    """Positions of the matches of some rules in a text; see ``locate``."""
-    return F.flatten(F.transform(hits, lambda h: F.transform(
+    text_of = {name: 'code' if name == 'sink_calls' else 'content' for name in families}
+    families_with_hits = F.array(*[
+        F.struct(F.lit(name).alias('family'), F.expr(_rule_matches(rules, text_of[name], with_groups)).alias('hits'))
+        for name, rules in families.items()])
+    carried = ['content'] + (['lines'] if with_lines else []) + (['code'] if with_code else [])
+    matched = (base.select(*keep, *carried, F.explode(families_with_hits).alias('f'))
+               .select(*keep, *carried, F.col('f.family').alias('family'), F.col('f.hits').alias('hits'))
+               .where(F.size('hits') > 0))
+    text = F.col('content')
+    if with_code:
+        text = F.when(F.col('family') == 'sink_calls', F.col('code')).otherwise(text)
+    return spots_of(matched, text, [*keep, *(['lines'] if with_lines else [])], with_groups)
+
+
+def spots_of(hits: DataFrame, text: Column, keep: list[str], with_groups: bool) -> DataFrame:
+    """Positions of the matches of rows (content, family, hits); see ``locate``."""
+    spots = F.flatten(F.transform('hits', lambda h: F.transform(
         match_positions(gaps_before(text, h['regex'], h['texts'])),
         lambda s, i: F.struct(h['rule_ord'].alias('rule_ord'), h['regex'].alias('regex'), i.alias('match_ord'),
                               s['match'].alias('match'), s['start'].alias('start'),
                               s['line'].alias('line'), s['col'].alias('col'),
                               *([F.get(h['one'], i).alias('one'), F.get(h['two'], i).alias('two')] if with_groups else [])))))
+    return hits.select(
+        *keep, 'family', ((F.instr('content', '\n') == 0) & (F.length('content') > 10000)).alias('one_long_line'),
+        spots.alias('spots'))
 
 
 # --- what a match says, per family ---------------------------------------------

@@ -66,7 +66,7 @@ def test_a_million_requests_over_the_limit(spark):
     n = 1_000_000
     frame = spark.range(n).select(F.lit('hot').alias('key'), (F.lit(START).cast('timestamp') + F.make_dt_interval(secs=F.col('id') * 0.01)).alias('ts'),
                                   F.col('id').alias('event_id'))
-    decided = limit_requests(frame, 5, 60)
+    decided = limit_requests(frame, 5, 60, piece=100_000)
     assert 'Python' not in decided._jdf.queryExecution().toString() and 'Pandas' not in decided._jdf.queryExecution().toString()
     assert decided.count() == n
     # 100 a second: five pass every minute, the first five of it

@@ -4,7 +4,6 @@ import random
 import re
 import warnings
 
-import pytest
 from pyspark.sql import functions as F
 
 from corpusward.catalog import custom_rules, rule_errors
@@ -20,24 +19,37 @@ EXPRESSIONS = [
     r'K', r'k', r's', r'\.', r'\$el', r'["\'][^"\'\n]*', r'(foo)\s*(?:\((?P<args>[^)]*)\)|=)', r'\t', r'\\"', r'(?#note)end', r'[\x00-\x1f]', r'é', r'É', '\n', r'}|{']
 
 
-@pytest.mark.parametrize('expression', EXPRESSIONS)
-def test_like_the_standard_library(files, expression):
-    rules = custom_rules([(expression, 'r', True)])
-    assert rules, compiled(expression)
-    found = scan_files(files(TEXT), rules={'custom': rules}, with_text=False).collect()
+def in_text(expression):
     with warnings.catch_warnings():
         warnings.simplefilter('ignore')
-        expected = {(TEXT[:m.start()].count('\n') + 1, m.group()) for m in re.finditer(expression, TEXT, re.I | re.M)}
-    assert {(r.line, r.match) for r in found} == expected
+        return [(TEXT[:m.start()].count('\n') + 1, m) for m in re.finditer(expression, TEXT, re.I | re.M)]
 
 
-@pytest.mark.parametrize('expression', [e for e in EXPRESSIONS if '(' in e and re.compile(e).groups])
-def test_groups_are_those_in_the_file(files, expression):
-    """Endpoint and path rules show a group, which may depend on what is around the match."""
+def test_like_the_standard_library(files):
+    """Every expression as a rule of its own, in one scan."""
+    rules = custom_rules([(e, f'r{i}', True) for i, e in enumerate(EXPRESSIONS)])
+    assert len(rules) == len(EXPRESSIONS)
+    found = {}
+    for r in scan_files(files(TEXT), rules={'custom': rules}, with_text=False).collect():
+        found.setdefault(r.type, set()).add((r.line, r.match))
+    for i, expression in enumerate(EXPRESSIONS):
+        assert found.get(f'r{i}', set()) == {(line, m.group()) for line, m in in_text(expression)}, expression
+
+
+def test_groups_are_those_in_the_file(files):
+    """Path rules show a group, which may depend on what is around the match."""
+    grouped = [e for e in EXPRESSIONS if re.compile(e).groups]
+    found = {}
+    for r in scan_files(files(TEXT), rules={'paths': custom_rules([(e, f'r{i}') for i, e in enumerate(grouped)])}, with_text=False).collect():
+        found.setdefault(r.type, set()).add((r.line, r.path))
+    for i, expression in enumerate(grouped):
+        assert found.get(f'r{i}', set()) == {(line, m.group(1) or '') for line, m in in_text(expression)}, expression
+
+
+def test_the_second_group_of_endpoint_rules(files):
+    expression = r'(foo)\s*(?:\((?P<args>[^)]*)\)|=)'
     found = scan_files(files(TEXT), rules={'endpoints': custom_rules([(expression, 'e')])}, with_text=False).collect()
-    which = 2 if re.compile(expression).groups > 1 else 1
-    expected = {(TEXT[:m.start()].count('\n') + 1, m.group(which) or '') for m in re.finditer(expression, TEXT, re.I | re.M)}
-    assert {(r.line, r.path) for r in found} == expected
+    assert {(r.line, r.path) for r in found} == {(line, m.group(2) or '') for line, m in in_text(expression)} and len(found) == 2
 
 
 def test_rules_without_a_group_and_built_in_rules_side_by_side(files):
