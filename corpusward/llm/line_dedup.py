@@ -149,7 +149,7 @@ def near_repeats(sets: DataFrame, num: int, den: int, min_words: int) -> DataFra
     return settled.unionByName(rest).distinct()
 
 
-def dedup_lines(docs: DataFrame, text: str = 'text', key: str = 'doc_id', num: int = 4, den: int = 5, min_words: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = 'text', key: str = 'doc_id', num: int = 4, den: int = 5, min_words: int = 1) -> DataFrame:
     """The documents without repeated lines, and n_lines, n_removed and removed (line numbers from 0, array<int>).
 
     A line goes if it has at least ``min_words`` different words and an earlier

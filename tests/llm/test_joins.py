@@ -103,7 +103,7 @@ def test_line_dedup(documents, seed):
     pool = [t.replace('\n', ' ') for t in fixture_texts(seed) if t]
     texts = ['\n'.join(rng.choice(pool) for _ in range(rng.randint(1, 6))) for _ in range(80)] + [None, '', '\n\n', 'one two', 'one two', ' a b c d e ', 'e d c b a']
     docs = documents(*texts, line=['x'] * len(texts), N_LINES=['y'] * len(texts))
-    found = dedup_lines(docs)
+    found = dedup_lines(docs, min_words=5)
     removed = without_repeats(texts)
     for r in found.collect():
         gone = removed.get(r['doc_id'], [])
