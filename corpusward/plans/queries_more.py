@@ -22,6 +22,7 @@ from . import oracle as O
 from .analyze import analyze, files_of
 from .corpus import code_corpus, request_log, responses, table
 from .queries import EVERY, ORACLE, QUERIES, _EXAMPLES, _NEAR, corpus, documents, findings_sql, query, raw_sql
+from .session import state_in_rocksdb
 from .shared import materialize, shared_folder
 
 SUMMARY = ['api_keys', 'entropy', 'credentials', 'xss_sinks', 'sink_calls', 'endpoints']
@@ -679,8 +680,9 @@ def _run_stream(frame: DataFrame) -> DataFrame:
     """Run a stream over all available input; the result is read back from files."""
     spark = frame.sparkSession
     path = os.path.join(shared_folder(spark), f'stream-{uuid.uuid4().hex}')
-    (frame.writeStream.format('parquet').option('path', path).option('checkpointLocation', path + '-checkpoint').outputMode('append')
-     .trigger(availableNow=True).start().awaitTermination())
+    with state_in_rocksdb(spark):
+        (frame.writeStream.format('parquet').option('path', path).option('checkpointLocation', path + '-checkpoint').outputMode('append')
+         .trigger(availableNow=True).start().awaitTermination())
     return spark.read.schema(frame.schema).parquet(path)
 
 
