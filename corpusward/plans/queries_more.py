@@ -20,7 +20,7 @@ from ..streaming.files import analyze_stream, streamed_findings, streamed_progre
 from ..streaming.limiter import exempt_trusted, limit_request_stream, limit_requests
 from . import oracle as O
 from .analyze import analyze, files_of
-from .corpus import code_corpus, request_log, responses, table
+from .corpus import code_corpus, request_log, responses, table, table_stream
 from .queries import EVERY, ORACLE, QUERIES, _EXAMPLES, _NEAR, corpus, documents, findings_sql, query, raw_sql
 from .session import state_in_rocksdb
 from .shared import materialize, shared_folder
@@ -671,8 +671,7 @@ def _reset(spark, d):
 @query('limit_request_stream', _limiter_sql(f'key, event_id, admitted, {_REMAINING}'))
 def _limit_stream(spark, d):
     """The same decisions, from a stream of the events."""
-    events = spark.readStream.schema(table(spark, d, 'events').schema).option('pathGlobFilter', 'events.parquet').parquet(d)
-    log = events.select(F.col('user_id').alias('key'), 'ts', 'event_id')
+    log = table_stream(spark, d, 'events').select(F.col('user_id').alias('key'), 'ts', 'event_id')
     return _run_stream(limit_request_stream(log, LIMIT, WINDOW)).select('key', 'event_id', 'admitted', 'remaining')
 
 
@@ -687,8 +686,7 @@ def _run_stream(frame: DataFrame) -> DataFrame:
 
 
 def _page_stream(spark, d) -> DataFrame:
-    schema = table(spark, d, 'pages').schema
-    return spark.readStream.schema(schema).option('pathGlobFilter', 'pages.parquet').parquet(d)
+    return table_stream(spark, d, 'pages')
 
 
 def _streamed(spark, d, families: list[str]) -> str:
