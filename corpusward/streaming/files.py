@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.scan import ALL_FAMILIES, scan_files
+from ..sources.files import in_short_tasks
 
 FILE_SCHEMA = 'file_id long, url string, content string, batch_id string'
 
@@ -36,7 +37,7 @@ def analyze_stream(files: DataFrame, path: str, checkpoint: str, families: list[
     is told whose findings are not there.
     """
     def both(arrived: DataFrame, number: int) -> None:
-        found = scan_files(arrived, families, **options)
+        found = scan_files(in_short_tasks(arrived), families, **options)
         found.write.mode('overwrite').parquet(f'{path}/findings/micro_batch={number}')
         stream_batch_progress(arrived).write.mode('overwrite').parquet(f'{path}/progress/micro_batch={number}')
     return (files.writeStream.foreachBatch(both).option('checkpointLocation', checkpoint).trigger(availableNow=True).start())
