@@ -1,9 +1,14 @@
 """How the registered scans are cut into tasks and files."""
 
+import re
+from collections import defaultdict
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry_module
 from corpusward.plans import queries as Q
+from corpusward.plans.shared import shared_folder
 
 QUERIES = entry_module.queries()
 
@@ -29,3 +34,17 @@ def test_a_scan_of_documents_has_short_tasks(spark, folder):
     sizes = found.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert sum(sizes) == 400
     assert max(sizes) <= 20
+
+
+def test_a_folder_of_the_tree_is_one_tasks(spark, folder):
+    there = set(Path(shared_folder(spark)).glob('tree-*'))
+    rows = QUERIES['scan_code_files'](spark, folder).collect()
+    assert sorted((r.page_id, r.n_chars) for r in rows) == [(i, len(f'<p>page {i}</p>') + 1) for i in range(400)]
+    tree, = set(Path(shared_folder(spark)).glob('tree-*')) - there
+    files = [str(f.relative_to(tree)) for f in tree.rglob('*.txt')]
+    tasks = defaultdict(set)
+    for f in files:
+        place, _, name = f.split('/')
+        tasks[place].add(re.match('part-([0-9]+)', name)[1])
+    assert len(files) == 400
+    assert len(tasks) <= 256 and {len(numbers) for numbers in tasks.values()} == {1}
