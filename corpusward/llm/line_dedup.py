@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import free_name, written
+from .common import discard, free_name, written
 
 BUCKETS = 1 << 15
 GROUP = 200_000  # lines of a word that one task may take; more are dealt to several groups
@@ -75,7 +75,9 @@ def distinct_lines(rows: DataFrame) -> DataFrame:
     numbered = written(first.orderBy('first').withColumn('sid', F.monotonically_increasing_id()), 'numbers')
     # the text is moved once, after the numbers are given; equal lines are put together on the way
     texts = rows.groupBy('a', 'b').agg(F.first('line').alias('line'))
-    return written(numbered.join(texts, ['a', 'b']), 'lines')
+    lines = written(numbered.join(texts, ['a', 'b']), 'lines')
+    discard(numbered)
+    return lines
 
 
 def postings(sets: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
@@ -104,7 +106,7 @@ def _part(hashes: str, k: int) -> Column:
 
 
 def similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """sid of the pairs (sid, other) whose lines are similar."""
+    """sid of the pairs (sid, other) whose lines are similar, as a table; what it takes on the way is removed."""
     pairs = written(pairs.select('sid', 'other').distinct(), 'pairs')
     wanted = pairs.select('sid').unionByName(pairs.select(F.col('other').alias('sid'))).distinct()
     hashes = tokens(F.col('line'))
@@ -118,8 +120,11 @@ def similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     texts = lines.select('sid', 'line')
     both = narrow.join(texts, 'sid').join(texts.withColumnsRenamed({'sid': 'other', 'line': 'other_line'}), 'other')
     shared = F.size(F.array_intersect('w', 'v'))
-    return (both.select('sid', words(F.col('line')).alias('w'), words(F.col('other_line')).alias('v'))
-            .where(at_least(shared, F.size('w') + F.size('v') - shared, num, den)).select('sid').distinct())
+    found = (both.select('sid', words(F.col('line')).alias('w'), words(F.col('other_line')).alias('v'))
+             .where(at_least(shared, F.size('w') + F.size('v') - shared, num, den)).select('sid').distinct())
+    found = written(found, 'similar')
+    discard(pairs, lines)
+    return found
 
 
 def near_repeats(sets: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
@@ -137,7 +142,7 @@ def near_repeats(sets: DataFrame, num: int, den: int, min_words: int) -> DataFra
     met = met.where('size > 1 or split').withColumn('others', F.array_distinct(F.array_compact(F.array(*near, hub))))
     met = met.withColumn('large', (F.col('size') > NEAR + 1) | F.col('split')).where((F.size('others') > 0) | F.col('large'))
     met = written(met.select('token', 'sid', 'n', 'i', 'bits', 'others', 'large'), 'postings')
-    settled = written(similar(met.select('sid', F.explode('others').alias('other')), sets, num, den), 'settled')
+    settled = similar(met.select('sid', F.explode('others').alias('other')), sets, num, den)
     # groups of a few have all met; in large ones, unsettled lines meet all earlier lines of the word
     large = met.where('large')
     left = large.join(settled, 'sid', 'left_anti')
@@ -146,6 +151,7 @@ def near_repeats(sets: DataFrame, num: int, den: int, min_words: int) -> DataFra
                       & _could_match(*(F.col(c) for c in ('n', 'i', 'bits', 'o_n', 'o_i', 'o_bits')), num, den)
                       & ~F.array_contains('others', F.col('o_sid')))
     rest = similar(pairs.select('sid', F.col('o_sid').alias('other')), sets, num, den)
+    discard(met)
     return settled.unionByName(rest).distinct()
 
 
@@ -163,7 +169,8 @@ def dedup_lines(docs: DataFrame, text: str = 'text', key: str = 'doc_id', num: i
     docs = docs.drop('n_lines', 'n_removed', 'removed')
     rows = line_rows(docs, text, key)
     sets = distinct_lines(rows)
-    enough = F.size(words(F.col('line'))) >= min_words
+    # every line has a word
+    enough = F.size(words(F.col('line'))) >= min_words if min_words > 1 else F.lit(True)
     sets_of = sets.join(near_repeats(sets, num, den, min_words).withColumn('near', F.lit(True)), 'sid', 'left').where(enough)
     flags = sets_of.select('a', 'b', 'first', F.coalesce('near', F.lit(False)).alias('near'))
     places = rows.select('a', 'b', F.struct('doc', 'line_no').alias('at')).join(flags, ['a', 'b'])

@@ -133,6 +133,16 @@ def test_line_dedup_of_short_lines(spark, documents, tmp_path, seed):
     assert kept == {(d, t) for d, t in enumerate(left) if d not in removed or SPACE.sub('', t)}
 
 
+def test_line_dedup_leaves_only_tables_that_its_result_reads(spark, documents):
+    from pathlib import Path
+    from corpusward.llm.common import shared_folder
+    there = set(Path(shared_folder(spark)).iterdir())
+    found = dedup_lines(documents('a b c d e\nf g', 'e d c b a\nf h', None))
+    left = sorted(p.name.split('-')[0] for p in set(Path(shared_folder(spark)).iterdir()) - there)
+    assert left == ['lines', 'similar', 'similar']
+    assert [r['removed'] for r in found.orderBy('doc_id').collect()] == [[], [0], []]
+
+
 def test_line_dedup_is_native(documents):
     plan = dedup_lines(documents('a b c d e\nf'))._jdf.queryExecution().toString()
     assert not re.search('Python|Pandas|Arrow', plan)
