@@ -23,6 +23,7 @@ from .common import discard, free_name, written
 BUCKETS = 1 << 15
 GROUP = 200_000  # lines of a word that one task may take; more are dealt to several groups
 NEAR = 7  # lines before it in the order that a line meets at once
+LONG = 80  # words from which a line has a second bitmap: one of 64 bits no longer tells two such lines apart
 
 
 def line_rows(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -81,23 +82,25 @@ def distinct_lines(rows: DataFrame) -> DataFrame:
 
 
 def postings(sets: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
-    """(token, salt, split, sid, n, i, bits): the rarest words of each line that a similar line must share one of.
+    """(token, salt, split, sid, n, i, bits, half): the rarest words of each line that a similar line must share one of.
 
+    ``half`` is the bitmap of half the words of a long line, else null; with ``bits`` it gives that of the other half.
     A token is its count, up to 32767, before 48 bits of its hash, so its order is that of the numbers.
     """
     counted = sets.select(F.explode(F.split(_blanks(F.col('line')), ' ')).alias('w'))
     counts = dict(counted.groupBy(F.pmod(F.xxhash64('w'), F.lit(BUCKETS)).alias('k')).count().collect())  # BUCKETS rows
     table = F.split(F.lit(','.join(str(min(counts.get(k, 0), 2_000_000_000)) for k in range(BUCKETS))), ',').cast('array<int>')
     rows = sets.select('sid', tokens(F.col('line')).alias('tokens')).where(F.size('tokens') >= min_words)
-    rows = rows.select('sid', F.size('tokens').alias('n'), parity(F.col('tokens'), 20).alias('bits'), F.sort_array(F.transform(
+    half = F.when(F.size('tokens') > LONG, parity(F.filter('tokens', lambda t: F.shiftright(t, 26).bitwiseAND(F.lit(1)) == 1), 20))
+    rows = rows.select('sid', F.size('tokens').alias('n'), parity(F.col('tokens'), 20).alias('bits'), half.alias('half'), F.sort_array(F.transform(
         'tokens', lambda t: F.shiftleft(F.least(F.get(table, F.pmod(t, F.lit(BUCKETS)).cast('int')), F.lit(32767)).cast('long'), 48)
         .bitwiseOR(t.bitwiseAND(F.lit(0xFFFFFFFFFFFF))))).alias('ranked'))
     must = F.floor((F.col('n') * num + (den - 1)) / den).cast('int')  # shared words at least, were the other line as long
-    rows = rows.select('sid', 'n', 'bits', F.posexplode(F.slice('ranked', F.lit(1), F.col('n') - must + 1)).alias('i', 'token'))
+    rows = rows.select('sid', 'n', 'bits', 'half', F.posexplode(F.slice('ranked', F.lit(1), F.col('n') - must + 1)).alias('i', 'token'))
     # a token of the highest count may be any hot one: dealt to so many groups that none is large
     most = max([0, *counts.values()])
     salts = F.when(F.shiftright('token', 48) == 32767, F.lit(most // GROUP + 1)).otherwise(F.lit(1))
-    return rows.select('token', F.pmod('sid', salts).cast('int').alias('salt'), (salts > 1).alias('split'), 'sid', 'n', 'i', 'bits')
+    return rows.select('token', F.pmod('sid', salts).cast('int').alias('salt'), (salts > 1).alias('split'), 'sid', 'n', 'i', 'bits', 'half')
 
 
 def _part(hashes: str, k: int) -> Column:
@@ -141,14 +144,17 @@ def near_repeats(sets: DataFrame, num: int, den: int, min_words: int) -> DataFra
     near = [F.when(fits(F.col(f'before{k}')), F.col(f'before{k}.sid')) for k in range(1, NEAR + 1)]
     met = met.where('size > 1 or split').withColumn('others', F.array_distinct(F.array_compact(F.array(*near, hub))))
     met = met.withColumn('large', (F.col('size') > NEAR + 1) | F.col('split')).where((F.size('others') > 0) | F.col('large'))
-    met = written(met.select('token', 'sid', 'n', 'i', 'bits', 'others', 'large'), 'postings')
+    met = written(met.select('token', 'sid', 'n', 'i', 'bits', 'half', 'others', 'large'), 'postings')
     settled = similar(met.select('sid', F.explode('others').alias('other')), sets, num, den)
     # groups of a few have all met; in large ones, unsettled lines meet all earlier lines of the word
     large = met.where('large')
     left = large.join(settled, 'sid', 'left_anti')
-    right = large.select('token', *(F.col(c).alias(f'o_{c}') for c in ('sid', 'n', 'i', 'bits')))
+    right = large.select('token', *(F.col(c).alias(f'o_{c}') for c in ('sid', 'n', 'i', 'bits', 'half')))
+    one = F.col('half').bitwiseXOR(F.col('o_half'))
+    apart = F.bit_count(one) + F.bit_count(one.bitwiseXOR(F.col('bits')).bitwiseXOR(F.col('o_bits')))
     pairs = left.join(right, (left['token'] == right['token']) & (F.col('sid') > F.col('o_sid'))
                       & _could_match(*(F.col(c) for c in ('n', 'i', 'bits', 'o_n', 'o_i', 'o_bits')), num, den)
+                      & F.coalesce(_bits_allow(F.col('n'), F.col('o_n'), apart, num, den), F.lit(True))
                       & ~F.array_contains('others', F.col('o_sid')))
     rest = similar(pairs.select('sid', F.col('o_sid').alias('other')), sets, num, den)
     discard(met)

@@ -133,6 +133,25 @@ def test_line_dedup_of_short_lines(spark, documents, tmp_path, seed):
     assert kept == {(d, t) for d, t in enumerate(left) if d not in removed or SPACE.sub('', t)}
 
 
+def test_line_dedup_of_long_lines(documents):
+    """Lines of 100 words that share a rare one, some just at the threshold; a second bitmap tells the others apart."""
+    from corpusward.llm.line_dedup import distinct_lines, line_rows, postings
+    rng = random.Random(3)
+    base = [f'w{k}' for k in range(100)]
+    lines = [' '.join(base)]
+    for number in range(40):
+        gone = rng.sample(range(1, 100), 8 + number % 7)
+        lines.append(' '.join(f'own{number}x{k}' if k in gone else w for k, w in enumerate(base)))
+    lines += [' '.join(['w0', *(f'far{number}x{k}' for k in range(99))]) for number in range(20)] + ['w0 w1 few words', 'few w0 w1 words']
+    rng.shuffle(lines)
+    docs = documents(*lines)
+    removed = without_repeats(lines, least=1)
+    assert 0 < len(removed) < 41
+    assert {r['doc_id']: r['removed'] for r in dedup_lines(docs).collect() if r['removed']} == removed
+    rows = postings(distinct_lines(line_rows(docs, 'text', 'doc_id')), 4, 5, 1).collect()
+    assert {(r['n'] > 80, r['half'] is not None) for r in rows} == {(True, True), (False, False)}
+
+
 def test_line_dedup_leaves_only_tables_that_its_result_reads(spark, documents):
     from pathlib import Path
     from corpusward.llm.common import shared_folder
