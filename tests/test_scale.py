@@ -36,6 +36,16 @@ def test_a_scan_of_documents_has_short_tasks(spark, folder):
     assert max(sizes) <= 20
 
 
+def test_tasks_of_a_scan_grow_with_the_text(spark, tmp_path):
+    """One file that holds much text is cut in more tasks than one that holds little."""
+    pages = spark.range(64, numPartitions=1).selectExpr('id as page_id', "'http://h.io/a' as url", "repeat('x ', 200000) as html")
+    pages.write.parquet(str(tmp_path / 'pages.parquet'))
+    corpus = Q.corpus(spark, str(tmp_path))
+    assert corpus.rdd.getNumPartitions() >= 64 * 400_000 / 2 ** 20
+    assert corpus.count() == 64
+    assert Q.corpus(spark, str(tmp_path)).limit(0).count() == 0
+
+
 def test_a_folder_of_the_tree_is_one_tasks(spark, folder):
     there = set(Path(shared_folder(spark)).glob('tree-*'))
     rows = QUERIES['scan_code_files'](spark, folder).collect()
