@@ -53,8 +53,11 @@ def at_least(part: Column, whole: Column, num: int, den: int) -> Column:
 
 
 def _could_match(n, i, bits, m, j, other_bits, num: int, den: int) -> Column:
-    """Length, place and bitmap filters for two lines that share a word at places i and j (from 0) of their orders."""
-    most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
+    """Length, place and bitmap filters for two lines whose first shared word is at places i and j (from 0) of their orders.
+
+    Similar lines pass at their first shared word, if not at later ones, so a pair need not meet at each word it shares.
+    """
+    most = F.least(n - i, m - j)
     return (at_least(n, m, num, den) & at_least(m, n, num, den)
             & (most * (num + den) >= (n + m) * num) & _bits_allow(n, m, F.bit_count(bits.bitwiseXOR(other_bits)), num, den))
 
@@ -100,7 +103,12 @@ def postings(sets: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
     # a token of the highest count may be any hot one: dealt to so many groups that none is large
     most = max([0, *counts.values()])
     salts = F.when(F.shiftright('token', 48) == 32767, F.lit(most // GROUP + 1)).otherwise(F.lit(1))
-    return rows.select('token', F.pmod('sid', salts).cast('int').alias('salt'), (salts > 1).alias('split'), 'sid', 'n', 'i', 'bits', 'half')
+    salt = F.pmod('sid', salts).cast('int')
+    # dealt out in few columns; the others come from them afterwards
+    place = F.shiftleft(F.col('n').cast('long'), 32).bitwiseOR(F.col('i').cast('long'))
+    rows = rows.select('token', 'bits', 'sid', place.alias('place'), 'half').repartition('token', salt)
+    return rows.select('token', salt.alias('salt'), (salts > 1).alias('split'), 'sid', F.shiftright('place', 32).cast('int').alias('n'),
+                       F.col('place').bitwiseAND(F.lit(0x7FFFFFFF)).cast('int').alias('i'), 'bits', 'half')
 
 
 def _part(hashes: str, k: int) -> Column:

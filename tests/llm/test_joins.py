@@ -5,9 +5,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusward.llm.common import components
-from corpusward.llm.line_dedup import dedup_lines
+from corpusward.llm.line_dedup import _could_match, dedup_lines
 from corpusward.llm.neighbours import build, nearest, nearest_rows, search
 from corpusward.llm.ngram_join import link_documents
 
@@ -115,6 +116,14 @@ def test_line_dedup(documents, seed):
     assert found.count() == len(texts) and dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_meet_at_their_first_common_word(spark):
+    """Ten words each with equal bitmaps: similar lines share nine, so their first common word has eight behind it in both."""
+    rows = spark.createDataFrame([(i, j) for i in range(3) for j in range(3)], 'i int, j int')
+    n, bits = F.lit(10), F.lit(0).cast('long')
+    met = {(r['i'], r['j']) for r in rows.where(_could_match(n, F.col('i'), bits, n, F.col('j'), bits, 4, 5)).collect()}
+    assert met == {(0, 0), (0, 1), (1, 0), (1, 1)}
+
+
 @pytest.mark.parametrize('seed', [1, 2])
 def test_line_dedup_of_short_lines(spark, documents, tmp_path, seed):
     from corpus_pipeline import drop_repeated_lines
