@@ -153,16 +153,17 @@ def linked_classes(classes: DataFrame, docs: DataFrame, text: str, key: str, k:
     first = posts.join(hubs, 'token').where((F.col('cid') != F.col('hub.cid')) & lengths(F.col('n'), F.col('hub.n')))
     first = first.select(F.least('cid', 'hub.cid').alias('a'), F.greatest('cid', 'hub.cid').alias('b'))
     stars = written(_links(first, fronts, classes, docs, text, key, k, num, den), 'links')
-    label = components(stars)
-    named = posts.join(label.withColumnRenamed('node', 'cid'), 'cid', 'left').withColumn('label', F.coalesce('component', 'cid')).drop('component')
-    mixed = (named.join(hubs.where('size > 2').select('token', F.col('hub.cid').alias('hub')), 'token'))
-    hub_label = mixed.where('cid = hub').select('token', F.col('label').alias('hub_label'))
-    mixed = mixed.join(hub_label, 'token')
-    mixed = mixed.join(fronts.select('cid', 'bits', 'front0'), 'cid')
-    strays = mixed.where('label <> hub_label').select(
+    # written without bitmaps and fronts: in the plan of what reads it four times, all that is before it would be there four times
+    label = written(components(stars).toDF('cid', 'label'), 'labels')
+    of_hubs = hubs.where('size > 2').select('token', F.col('hub.cid').alias('hub')).join(label.toDF('hub', 'hub_label'), 'hub', 'left')
+    mixed = posts.select('token', 'cid', 'n').join(of_hubs, 'token').join(label, 'cid', 'left')
+    mixed = written(mixed.withColumns({'label': F.coalesce('label', 'cid'), 'hub_label': F.coalesce('hub_label', 'hub')}), 'mixed')
+    own = fronts.select('cid', 'bits', 'front0')
+    apart = mixed.where('label <> hub_label')
+    strays = apart.join(own, 'cid').select(
         'token', *[F.col(c).alias(a) for c, a in (('cid', 'x'), ('n', 'xn'), ('label', 'xl'), ('bits', 'xbits'), ('front0', 'xfront'))])
     # only the tokens that have strays, and not the hub, which all have met
-    rest = mixed.where('cid <> hub').join(strays.select('token').distinct(), 'token', 'left_semi')
+    rest = mixed.where('cid <> hub').join(apart.select('token').distinct(), 'token', 'left_semi').join(own, 'cid')
     rest = rest.select(F.col('token').alias('t'), 'cid', 'n', 'label', 'hub_label', 'bits', 'front0')
     # all in the join's condition: a pair that cannot be similar is no row, the others are one, at their first common token
     meet = ((F.col('token') == F.col('t')) & (F.col('xl') != F.col('label'))

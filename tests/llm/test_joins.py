@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusward.llm import ngram_join
 from corpusward.llm.common import components
 from corpusward.llm.line_dedup import _could_match, dedup_lines
 from corpusward.llm.neighbours import build, nearest, nearest_rows, search
@@ -74,6 +75,19 @@ def test_ngram_join_edges(spark, documents):
     assert sorted((str(r['doc_id']), r['component_id']) for r in found) == [('2', 2), ('5', 2), ('5', 2), ('9', 2), ('None', None)]
 
 
+def test_the_second_meeting_reads_tables(documents, monkeypatch):
+    """Its plan has only the joins of its own; all before it, once for each reading, was a burden of the driver's memory."""
+    plans, links = [], ngram_join._links
+
+    def spied(pairs, *rest):
+        plans.append(pairs._jdf.queryExecution().optimizedPlan().toString())
+        return links(pairs, *rest)
+    monkeypatch.setattr(ngram_join, '_links', spied)
+    texts = fixture_texts(3)
+    assert sorted(map(tuple, link_documents(documents(*texts)).collect())) == grouped(texts, 5, 4, 5)
+    assert len(plans) == 2 and plans[1].count('Join ') <= 4
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(45)] + [(7, 7)]
