@@ -30,6 +30,7 @@ CLASSES = 1 + TOP + ENDINGS
 STATES = 8
 CHUNK_BYTES = 8_000_000
 SEGMENT = 256  # training cuts texts here; scoring never cuts
+SCALED = 8  # tokens from one scaling to the next in scoring
 SMOOTH = 0.1
 
 
@@ -79,17 +80,29 @@ def lanes(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def log_chances(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of each (non-empty) sequence: forward recursion, scaled at every token."""
+    """Natural log probability of each (non-empty) sequence: forward recursion, scaled every few tokens.
+
+    A token's factor is over 1e-30 whatever the number of texts, so a few of them are far from the smallest double.
+    """
     symbols, active, order = lanes(sequences)
     total = np.zeros(len(sequences))
     alpha, at = None, 0
-    for step, n in enumerate(active):
-        seen = model.emit[symbols[at:at + n]]
-        alpha = (model.start * seen) if step == 0 else (alpha[:n] @ model.move) * seen
+    for first in range(0, len(active), SCALED):
+        steps = active[first:first + SCALED].tolist()
+        seen = model.emit[symbols[at:at + sum(steps)]]
+        at, place = at + len(seen), 0
+        for n in steps:
+            if alpha is None:
+                alpha = model.start * seen[:n]
+            else:
+                if n < len(alpha):  # the texts that have ended
+                    total[n:len(alpha)] += np.log(alpha[n:].sum(1))
+                alpha = alpha[:n] @ model.move
+                alpha *= seen[place:place + n]
+            place += n
         scale = alpha.sum(1)
-        total[:n] += np.log(scale)
+        total[:len(alpha)] += np.log(scale)
         alpha /= scale[:, None]
-        at += n
     found = np.empty(len(sequences))
     found[order] = total
     return found
@@ -98,22 +111,26 @@ def log_chances(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
 def expected(model: Model, sequences: list[np.ndarray], starts: np.ndarray, counts: dict[str, np.ndarray]) -> None:
     """Adds the expected counts of the sequences; only those in ``starts`` say where texts begin."""
     symbols, active, order = lanes(sequences)
-    begin = np.r_[0, np.cumsum(active)]
-    seen = model.emit[symbols]
-    alpha, scale = np.empty((len(symbols), STATES)), np.empty(len(symbols))
+    begin = np.r_[0, np.cumsum(active)].tolist()
+    seen = model.emit[symbols]  # from the forward pass on by the token's scale, which the backward pass needs as well
+    alpha, one = np.empty_like(seen), np.ones(STATES)
     stationary = np.linalg.matrix_power(model.move, 64).mean(0)
     first = np.where(starts[order][:, None], model.start, stationary)
-    for step, n in enumerate(active):
-        a, b = begin[step], begin[step + 1]
-        now = first * seen[a:b] if step == 0 else (alpha[begin[step - 1]:begin[step - 1] + n] @ model.move) * seen[a:b]
-        scale[a:b] = now.sum(1)
-        alpha[a:b] = now / scale[a:b, None]
-    beta = np.ones((len(symbols), STATES))
+    for step, (a, b) in enumerate(zip(begin, begin[1:])):
+        here, now = seen[a:b], alpha[a:b]
+        before = first if step == 0 else np.matmul(alpha[begin[step - 1]:begin[step - 1] + b - a], model.move, out=now)
+        np.multiply(before, here, out=now)
+        scale = (1 / (now @ one))[:, None]
+        now *= scale
+        here *= scale
+    beta, back, moved = np.ones_like(seen), np.ascontiguousarray(model.move.T), np.zeros((STATES, STATES))
     for step in range(len(active) - 2, -1, -1):
-        n, a, b = active[step + 1], begin[step], begin[step + 1]
-        after = seen[b:b + n] * beta[b:b + n] / scale[b:b + n, None]
-        beta[a:a + n] = after @ model.move.T
-        counts['move'] += model.move * (alpha[a:a + n].T @ after)
+        a, b, end = begin[step:step + 3]
+        after = seen[b:end]
+        after *= beta[b:end]
+        np.matmul(after, back, out=beta[a:a + end - b])
+        moved += alpha[a:a + end - b].T @ after
+    counts['move'] += model.move * moved
     gamma = alpha * beta
     for k in range(STATES):
         counts['emit'][:, k] += np.bincount(symbols, gamma[:, k], minlength=CLASSES)

@@ -244,6 +244,23 @@ def test_forward_and_expected_counts():
     assert hmm.log_chances(better, sequences).sum() >= hmm.log_chances(model, sequences).sum()
 
 
+@pytest.mark.parametrize('least', [1, 1e-30])
+def test_texts_end_between_two_scalings(least):
+    """Lengths around the tokens from one scaling to the next, with chances as small as they can be."""
+    rng = np.random.default_rng(1)
+    model = hmm.first_guess(rng.dirichlet(np.ones(hmm.CLASSES)))
+    model.emit[:6] *= least
+    sequences = [rng.integers(0, 6, n).astype(np.int32) for n in (1, 7, 8, 9, 15, 16, 17, 3, 40, 16)]
+
+    def by_steps(symbols):
+        total, alpha = 0.0, model.start
+        for i, k in enumerate(symbols):
+            alpha = (alpha if i == 0 else alpha @ model.move) * model.emit[k]
+            total, alpha = total + math.log(alpha.sum()), alpha / alpha.sum()
+        return total
+    assert hmm.log_chances(model, sequences) == pytest.approx([by_steps(s) for s in sequences], rel=1e-12)
+
+
 def test_scores(spark):
     texts = {r['doc_id']: r['text'] for r in spark.read.parquet(f'{MEDIUM}/documents.parquet').collect()}
     tokens = {i: [*(t or '').encode().lower().split(), b''] for i, t in texts.items()}
