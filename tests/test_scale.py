@@ -58,3 +58,10 @@ def test_a_folder_of_the_tree_is_one_tasks(spark, folder):
         tasks[place].add(re.match('part-([0-9]+)', name)[1])
     assert len(files) == 400
     assert len(tasks) <= 256 and {len(numbers) for numbers in tasks.values()} == {1}
+
+
+def test_pages_are_dealt_out_as_they_are_read(spark, folder):
+    """What makes source code of a page is no work of the task that reads it."""
+    plan = Q.corpus(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert 'md5' in plan and 'RepartitionByExpression' in plan
+    assert 'md5' not in plan[plan.index('RepartitionByExpression'):]
