@@ -91,11 +91,14 @@ def fit(rows: list, ridge: float = 1.0, steps: int = 250, min_rows: int = 3) ->
     # one order for the rows, whatever order they came in
     rows = sorted(rows, key=lambda r: (r['toxic'], len(r['ids']), r['ids'][:50].tolist()))
     toxic = np.array([r['toxic'] for r in rows], bool)
-    ids = [np.asarray(r['ids'], np.int64) for r in rows]
-    of = [np.asarray(r['of'], np.int64) for r in rows]
-    distinct = [np.unique(i) for i in ids]
-    seen = np.bincount(np.concatenate(distinct), minlength=BUCKETS)
-    bad = np.bincount(np.concatenate([d for d, t in zip(distinct, toxic) if t]), minlength=BUCKETS)
+    # views of the sample, counted row by row: of copies the driver would not get all memory back
+    ids = [np.asarray(r['ids'], np.int32) for r in rows]
+    of = [np.asarray(r['of'], np.int32) for r in rows]
+    seen, bad = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for i, t in zip(ids, toxic):
+        distinct = np.unique(i)
+        seen[distinct] += 1
+        bad[distinct] += t
     fine = seen - bad
     # toxic vocabulary: buckets that many toxic texts have and hardly another one
     odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((fine + 0.5) / ((~toxic).sum() + 1))
