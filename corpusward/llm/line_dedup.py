@@ -16,6 +16,8 @@ DataFrame expressions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import discard, free_name, written
@@ -56,10 +58,10 @@ def _could_match(n, i, bits, m, j, other_bits, num: int, den: int) -> Column:
     """Length, place and bitmap filters for two lines whose first shared word is at places i and j (from 0) of their orders.
 
     Similar lines pass at their first shared word, if not at later ones, so a pair need not meet at each word it shares.
+    Lines whose lengths are too different do not pass even at their first places.
     """
-    most = F.least(n - i, m - j)
-    return (at_least(n, m, num, den) & at_least(m, n, num, den)
-            & (most * (num + den) >= (n + m) * num) & _bits_allow(n, m, F.bit_count(bits.bitwiseXOR(other_bits)), num, den))
+    return ((F.least(n - i, m - j) * (num + den) >= (n + m) * num)
+            & _bits_allow(n, m, F.bit_count(bits.bitwiseXOR(other_bits)), num, den))
 
 
 def _bits_allow(n: Column, m: Column, apart: Column, num: int, den: int) -> Column:
@@ -93,7 +95,9 @@ def postings(sets: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
     counted = sets.select(F.explode(F.split(_blanks(F.col('line')), ' ')).alias('w'))
     counts = dict(counted.groupBy(F.pmod(F.xxhash64('w'), F.lit(BUCKETS)).alias('k')).count().collect())  # BUCKETS rows
     table = F.split(F.lit(','.join(str(min(counts.get(k, 0), 2_000_000_000)) for k in range(BUCKETS))), ',').cast('array<int>')
-    rows = sets.select('sid', tokens(F.col('line')).alias('tokens')).where(F.size('tokens') >= min_words)
+    rows = sets.select('sid', tokens(F.col('line')).alias('tokens'))
+    if min_words > 1:  # every line has a word; a condition would take the words of each line a second time
+        rows = rows.where(F.size('tokens') >= min_words)
     half = F.when(F.size('tokens') > LONG, parity(F.filter('tokens', lambda t: F.shiftright(t, 26).bitwiseAND(F.lit(1)) == 1), 20))
     rows = rows.select('sid', F.size('tokens').alias('n'), parity(F.col('tokens'), 20).alias('bits'), half.alias('half'), F.sort_array(F.transform(
         'tokens', lambda t: F.shiftleft(F.least(F.get(table, F.pmod(t, F.lit(BUCKETS)).cast('int')), F.lit(32767)).cast('long'), 48)
@@ -130,9 +134,10 @@ def similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     narrow = narrow.where(_bits_allow(F.col('n'), F.col('o_n'), apart, num, den)).select('sid', 'other')
     texts = lines.select('sid', 'line')
     both = narrow.join(texts, 'sid').join(texts.withColumnsRenamed({'sid': 'other', 'line': 'other_line'}), 'other')
+    # rows of a generator, else the condition would be evaluated on the lines, and take the words again wherever it names them
+    both = both.select('sid', F.inline(F.array(F.struct(words(F.col('line')).alias('w'), words(F.col('other_line')).alias('v')))))
     shared = F.size(F.array_intersect('w', 'v'))
-    found = (both.select('sid', words(F.col('line')).alias('w'), words(F.col('other_line')).alias('v'))
-             .where(at_least(shared, F.size('w') + F.size('v') - shared, num, den)).select('sid').distinct())
+    found = both.where(shared * (num + den) >= (F.size('w') + F.size('v')) * num).select('sid').distinct()
     found = written(found, 'similar')
     discard(pairs, lines)
     return found
@@ -140,33 +145,46 @@ def similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 def near_repeats(sets: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
     """sid of the different lines that an earlier different line is similar to."""
-    group = Window.partitionBy('token', 'salt')
+    # one order for all of them, so the postings are sorted once
+    order = Window.partitionBy('token', 'salt').orderBy('sid')
+    group = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     met = postings(sets, num, den, min_words).withColumns({
-        'size': F.count('*').over(group), 'first': F.min(F.struct('sid', 'n', 'i', 'bits')).over(group),
-        **{f'before{k}': F.lag(F.struct('sid', 'n', 'i', 'bits'), k).over(group.orderBy('sid')) for k in range(1, NEAR + 1)}})
-
-    def fits(p: Column) -> Column:
-        return _could_match(*(F.col(c) for c in ('n', 'i', 'bits')), p['n'], p['i'], p['bits'], num, den)
-
-    hub = F.when((F.col('size') > NEAR + 1) & (F.col('first.sid') < F.col('sid')) & fits(F.col('first')), F.col('first.sid'))
-    near = [F.when(fits(F.col(f'before{k}')), F.col(f'before{k}.sid')) for k in range(1, NEAR + 1)]
-    met = met.where('size > 1 or split').withColumn('others', F.array_distinct(F.array_compact(F.array(*near, hub))))
-    met = met.withColumn('large', (F.col('size') > NEAR + 1) | F.col('split')).where((F.size('others') > 0) | F.col('large'))
+        'size': F.count('*').over(group), 'first': F.first(F.struct('sid', 'n', 'i', 'bits')).over(group),
+        **{f'{c}{k}': F.lag(c, k, none).over(order) for k in range(1, NEAR + 1) for c, none in (('sid', None), ('n', 0), ('i', 0), ('bits', 0))}})
+
+    # numbers, none of them null: the code for all places has to stay so short that the JVM compiles it
+    def fits(n: Column, i: Column, bits: Column) -> Column:
+        return _could_match(*(F.col(c) for c in ('n', 'i', 'bits')), n, i, bits, num, den)
+
+    hub = (F.col('size') > NEAR + 1) & (F.col('first.sid') < F.col('sid')) & fits(*(F.col(f'first.{c}') for c in ('n', 'i', 'bits')))
+    near = {f'sid{k}': fits(*(F.col(f'{c}{k}') for c in ('n', 'i', 'bits'))) for k in range(1, NEAR + 1)} | {'first.sid': hub}
+    any_fits = reduce(Column.__or__, near.values())
+    large = (F.col('size') > NEAR + 1) | F.col('split')
+    # most lines meet none: theirs is an empty array without looking for others
+    others = F.when(any_fits, F.array_except(F.array(*[F.when(fit, F.col(sid)) for sid, fit in near.items()]), F.array(F.lit(None).cast('long'))))
+    others = F.coalesce(others, F.array().cast('array<bigint>'))
+    met = met.where((F.col('size') > 1) | F.col('split')).where(any_fits | large).withColumns({'others': others, 'large': large})
     met = written(met.select('token', 'sid', 'n', 'i', 'bits', 'half', 'others', 'large'), 'postings')
     settled = similar(met.select('sid', F.explode('others').alias('other')), sets, num, den)
     # groups of a few have all met; in large ones, unsettled lines meet all earlier lines of the word
-    large = met.where('large')
-    left = large.join(settled, 'sid', 'left_anti')
-    right = large.select('token', *(F.col(c).alias(f'o_{c}') for c in ('sid', 'n', 'i', 'bits', 'half')))
+    own = ['sid', 'n', 'i', 'bits', 'half', 'others', 'settled']
+    large = met.where('large').join(settled.withColumn('settled', F.lit(True)), 'sid', 'left').withColumn('settled', F.col('settled').isNotNull())
+    left = large.select('token', *own)
+    # of two similar lines the shorter one has their first common word among its first few
+    first_few = (F.col('n') - F.col('i')) * (num + den) >= F.col('n') * (2 * num)
+    right = large.where(first_few).select('token', *(F.col(c).alias(f'o_{c}') for c in own))
     one = F.col('half').bitwiseXOR(F.col('o_half'))
     apart = F.bit_count(one) + F.bit_count(one.bitwiseXOR(F.col('bits')).bitwiseXOR(F.col('o_bits')))
-    pairs = left.join(right, (left['token'] == right['token']) & (F.col('sid') > F.col('o_sid'))
+    later, longer = F.col('sid') > F.col('o_sid'), F.col('n') > F.col('o_n')
+    pairs = left.join(right, (left['token'] == right['token']) & (longer | ((F.col('n') == F.col('o_n')) & later))
+                      & ~F.when(later, F.col('settled')).otherwise(F.col('o_settled'))
                       & _could_match(*(F.col(c) for c in ('n', 'i', 'bits', 'o_n', 'o_i', 'o_bits')), num, den)
                       & F.coalesce(_bits_allow(F.col('n'), F.col('o_n'), apart, num, den), F.lit(True))
-                      & ~F.array_contains('others', F.col('o_sid')))
-    rest = similar(pairs.select('sid', F.col('o_sid').alias('other')), sets, num, den)
+                      & ~F.when(later, F.array_contains('others', F.col('o_sid'))).otherwise(F.array_contains('o_others', F.col('sid'))))
+    pairs = pairs.select(F.greatest('sid', 'o_sid').alias('sid'), F.least('sid', 'o_sid').alias('other'))
+    more = similar(pairs, sets, num, den)
     discard(met)
-    return settled.unionByName(rest).distinct()
+    return settled.unionByName(more).distinct()
 
 
 def dedup_lines(docs: DataFrame, text: str = 'text', key: str = 'doc_id', num: int = 4, den: int = 5, min_words: int = 1) -> DataFrame:

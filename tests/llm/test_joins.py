@@ -254,3 +254,20 @@ def test_neighbour_query_recall(spark):
     expected = sorted(all_pairs(rows, 20, 20))
     assert len(found) == len(expected)
     assert np.mean([f[2] == e[2] for f, e in zip(found, expected)]) >= 0.99
+
+
+def test_line_postings_are_sorted_once(spark, monkeypatch):
+    """One order serves all that a line looks up among the postings of its words, and no filter is left to an interpreter."""
+    from corpusward.llm import line_dedup
+
+    plans, write = {}, line_dedup.written
+
+    def seen(frame, name):
+        plans.setdefault(name, frame._jdf.queryExecution().sparkPlan().toString())
+        return write(frame, name)
+    monkeypatch.setattr(line_dedup, 'written', seen)
+    sets = spark.createDataFrame([(i, f'one two three four five six w{i % 7}') for i in range(30)], 'sid long, line string')
+    # whoever differs in a seventh word only is similar to the first
+    assert sorted(r['sid'] for r in line_dedup.near_repeats(sets, 3, 4, 1).collect()) == list(range(1, 30))
+    assert plans['postings'].count('Window [') == 1
+    assert 'lambdafunction' not in plans['postings'][:plans['postings'].index('Window [')]
